@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.staging import stage
+from lattica.llm.staging import Shared, stage
 
 #: A-Z to a-z; all other ASCII but letters and digits to a space; bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -178,10 +178,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 
 def _scan(spark, cur: DataFrame, schema: T.StructType, automaton: SuffixAutomaton) -> DataFrame:
-    shared = spark.sparkContext.broadcast(automaton)
+    shared = Shared(spark, automaton)
 
     def run(batches):
-        auto = shared.value
+        auto = shared.get()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out = []

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.staging import drop, stage
+from lattica.llm.staging import Shared, stage
 from lattica.llm.textops import LOWER, pieces, raw, spans, word_hashes
 
 #: Stands before and after each text; no byte of UTF-8 has this value.
@@ -169,13 +169,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     codes = counts.where("kind = 0").select("key", "n").limit(most_codes + 1).toPandas()
     if len(codes) > most_codes:
         raise ValueError(f"more than {most_codes} different byte contexts; raise most_codes")
-    trie = spark.sparkContext.broadcast(Trie(codes["key"].to_numpy(), codes["n"].to_numpy()))
+    trie = Shared(spark, Trie(codes["key"].to_numpy(), codes["n"].to_numpy()))
     top = words.orderBy(F.desc("n"), "key").limit(top_words).select("key", "n").toPandas().sort_values("key")
     vocabulary = spark.sparkContext.broadcast((top["key"].to_numpy(), top["n"].to_numpy()))
     below = total + 0.1 * (distinct + 1)
 
     def run(batches):
-        model = trie.value
+        model = trie.get()
         keys, seen = vocabulary.value
         logs = np.log10((seen + 0.1) / below)
         next_row = TaskContext.get().partitionId() << 40
@@ -220,4 +220,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-__all__ = ["Trie", "corpus_counts", "drop", "grams", "score_documents"]
+__all__ = ["Trie", "corpus_counts", "grams", "score_documents"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import decontam, htmltext, langid, mixing, ppm, quality, secretscan
+from lattica.llm import decontam, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, secretscan, substring
 
 
 def _read(spark, sf_dir, name):
@@ -15,10 +15,19 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op2_line_dedup(spark, sf_dir):
+    out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "first_ids", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_html_text(spark, sf_dir):
     return htmltext.extract_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring.dedup_substrings(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_decontaminate(spark, sf_dir):
     leaks = decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("leak.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
@@ -31,6 +40,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality.quality_rules(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_ngram_join(spark, sf_dir):
+    return ngramjoin.ngram_join(_read(spark, sf_dir, "documents"))
+
+
 def op8_ppm_score(spark, sf_dir):
     return ppm.score_documents(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +61,7 @@ def op10_secrets(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op3_html_text, op5_decontaminate, op6_quality_rules, op8_ppm_score, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_html_text, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op7_ngram_join, op8_ppm_score, op9_language, op10_secrets)}
 
 
 def oracle_sql():

@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -56,3 +57,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         _delete(spark, path)
     except Exception:  # the session has gone, and on a cluster so has its driver
         pass
+
+
+class Shared:
+    """A value of bounded size for all executors, with its class, so that they need not have the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return cloudpickle.loads(self.data.value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,9 @@ class Rolling:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, U)
 
+    def __reduce__(self):
+        return Rolling, (self.base,)  # without the tables, which grow again where they are needed
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             size = max(n, 1 << 16)
@@ -119,14 +122,3 @@ def windows(ptr: np.ndarray, k: int) -> np.ndarray:
     n = int(ptr[-1])
     room = np.repeat(ptr[1:], np.diff(ptr)) - np.arange(n)
     return np.flatnonzero(room >= k)
-
-
-def mapper(make: Callable) -> Callable:
-    """Let make() set itself up once in each Python worker and return the function of a batch."""
-
-    def run(batches):
-        f = make()
-        for batch in batches:
-            yield from f(batch)
-
-    return run

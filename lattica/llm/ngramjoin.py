@@ -74,7 +74,7 @@ class Need:
 
 def _first_pass(text: str, n: int, need: Need):
     def run(batches):
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text):
             values, begin = shingle_sets(batch.column(text), n)
             names, size = set_names(values, begin), np.diff(begin)
             _, one = np.unique(names, return_index=True)
@@ -90,8 +90,9 @@ def _first_pass(text: str, n: int, need: Need):
             rank = np.arange(len(hashes)) - np.repeat(first, length)
             shared = np.repeat(length > 1, length)
             local = np.bincount(owner[shared], minlength=len(names))
-            sent = rank < 2
-            m = int(sent.sum())
+            sent = np.flatnonzero(rank < 2)
+            sent = sent[np.argsort(owner[sent], kind="stable")]  # a set's rows together: its name packs well
+            m = len(sent)
             d = batch.num_rows
             cols = ["id", "name", "size", "local", "gram", "open"]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names), pa.array(size.astype(np.int32)), pa.array(local.astype(np.int32)), pa.nulls(d, pa.int64()), pa.nulls(d, pa.int32())], names=cols)
@@ -107,7 +108,7 @@ def _second_pass(text: str, n: int, words):
         wanted = words.value
         for batch in batches:
             batch = batch.filter(pa.array(inside(wanted, batch.column("hash").to_numpy(zero_copy_only=False))))
-            for piece in pieces([batch] if batch.num_rows else [], text, 4 << 20):
+            for piece in pieces([batch] if batch.num_rows else [], text):
                 values, begin = shingle_sets(piece.column(text), n)
                 names, one = np.unique(set_names(values, begin), return_index=True)
                 one = one[names != 0]

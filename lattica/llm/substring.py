@@ -2,7 +2,7 @@
 
 The edges of the graph are windows of ``window`` words. A sparse set of short k-mers (the least hash of each window, the
 minimizer) names candidates: a window whose minimizer has no second place can't recur. The candidates' edges are counted
-by 128-bit hashes; repeated edges at consecutive source coordinates compact into paths, and the coordinates of a path
+by 96-bit hashes; repeated edges at consecutive source coordinates compact into paths, and the coordinates of a path
 say which words of which document it covers.
 """
 
@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bitmaps import bitmap, inside
@@ -60,7 +60,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     two rows for each of its windows and piece.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) % F.lit(1 << 31)).alias("hash"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
     def find(batches):
@@ -74,48 +74,45 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drop(twice)
 
     def edges(batches):
+        """Rows of kind 1: an edge with one place in its piece; 2: one that recurs there; 3: a path of edges settled there."""
         marks = wanted.value
-        cols = ["id", "hash", "start", "n", "one", "two"]
+        cols = ["one", "two", "kind", "id", "hash", "start", "n"]
+
+        def rows(batch, ptr, kind, at, n, one, two):
+            doc = np.searchsorted(ptr, at, side="right") - 1
+            d = pa.array(doc)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(kind.astype(np.int8)), batch.column("id").take(d), batch.column("hash").take(d), pa.array((at - ptr[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], names=cols
+            )
+
         for batch in pieces(batches, "text"):
             words, ptr = _words(batch.column("text"))
             _, first, least = anchors(words, ptr, window, k)
-            if not len(first):
-                continue
-            at = first[inside(marks, least.view(np.int64))]
+            at = first[inside(marks, least.view(np.int64))] if len(first) else first
             if not len(at):
                 continue
             one, two = WINDOW(words, at, at + window), WINDOW2(words, at, at + window)
             order = np.lexsort((two, one))
-            one, two, at = one[order], two[order], at[order]
-            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
             begin = np.flatnonzero(new)
             length = np.diff(np.concatenate([begin, [len(at)]]))
-            settled = np.repeat(length > 1, length)
-            rank = np.arange(len(at)) - np.repeat(begin, length)
-            doc = np.searchsorted(ptr, at, side="right") - 1
-            # Settled here: paths of windows that recur in this piece.
-            here = np.sort(at[settled])
+            settled, head = np.empty(len(at), bool), np.zeros(len(at), bool)
+            settled[order] = np.repeat(length > 1, length)
+            head[order[begin]] = True
+            here = at[settled]
             if len(here):
-                d = np.searchsorted(ptr, here, side="right") - 1
-                head = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(d) != 0)]))
-                n = np.diff(np.concatenate([head, [len(here)]]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(d[head])), batch.column("hash").take(pa.array(d[head])), pa.array((here[head] - ptr[d[head]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.int64())], names=cols
-                )
-            sent = ~settled | (rank == 0)
-            d = pa.array(doc[sent])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(d), batch.column("hash").take(d), pa.array((at[sent] - ptr[doc[sent]]).astype(np.int32)), pa.array(np.where(settled[sent], 2, 1).astype(np.int32)), pa.array(one[sent].view(np.int64)), pa.array(two[sent].view(np.int64))],
-                names=cols,
-            )
+                doc = np.searchsorted(ptr, here, side="right") - 1
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(doc) != 0)]))
+                n = np.diff(np.concatenate([cut, [len(here)]]))
+                yield rows(batch, ptr, np.full(len(cut), 3), here[cut], n, one[settled][cut] + np.arange(len(cut), dtype=np.uint64), two[settled][cut])
+            sent = head  # in the order of the text, so documents' names pack well
+            yield rows(batch, ptr, np.where(settled[sent], 2, 1), at[sent], np.ones(int(sent.sum())), one[sent], two[sent])
 
-    found = stage(slim.mapInArrow(edges, f"id {kind}, hash long, start int, n int, one long, two long"))
-    edge = found.where("one is not null")
-    # n: 2 for an edge that recurs in its piece and has been settled there, else 1.
-    repeated = edge.groupBy("one", "two").agg(F.sum("n").alias("places"), F.max("n").alias("most")).where("places > 1 and places > most").select("one", "two")
-    paths = edge.where("n = 1").join(repeated, ["one", "two"], "left_semi").select("id", "hash", "start", F.lit(1).alias("n"))
-    every = found.where("one is null").select("id", "hash", "start", "n").unionByName(paths)
-    return every.groupBy("id", "hash").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
+    found = slim.mapInArrow(edges, f"one long, two int, kind byte, id {kind}, hash long, start int, n int")
+    # An edge recurs if it has two rows: pieces give one row for it each. The settled paths go along, each alone.
+    edge = Window.partitionBy("one", "two", F.col("kind") == 3)
+    found = found.withColumn("rows", F.count(F.lit(1)).over(edge)).where("kind = 3 or kind = 1 and rows > 1")
+    return found.groupBy("id", "hash").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, with_text: bool = False) -> DataFrame:
@@ -125,10 +122,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows are judged on the input. kept_text joins the words that are left by one space, spans are the removed ones
     (start, end in words). Null texts have no words; texts of fewer words than a window keep all; overlapping and
     repeated windows of one text count as starts of their own; of repeated rows each has a start in the others, so all
-    lose what a window covers. Exact but for collisions of 128-bit hashes.
+    lose what a window covers. Exact but for collisions of 96-bit hashes.
     """
     starts = repeated_windows(docs, id_col, text_col, window, k).withColumnsRenamed({"id": "_id", "hash": "_hash"})
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) % F.lit(1 << 31)).alias("hash"), F.col(text_col).alias("text"))
     joined = slim.join(starts, slim["id"].eqNullSafe(starts["_id"]) & (slim["hash"] == starts["_hash"]), "left").select("id", "text", "starts")
     kind = slim.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -63,7 +63,7 @@ class Need:
 
     def common(self, n):
         """How many prefix elements two linked sets share at least, if the larger has n."""
-        return np.maximum(1, n // 20)
+        return np.maximum(1, n // 8)
 
     def prefix(self, n):
         return n - self.share(n) + self.common(n)
@@ -224,7 +224,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents = stage(rows.where("size is not null").select("id", "name", "size", "local"))
     by_gram = Window.partitionBy("gram")
     shared = rows.where("gram is not null").select("gram", "name", "open").withColumn("few", F.min("name").over(by_gram) == F.max("name").over(by_gram)).where("not few and open = 1").groupBy("name").agg(F.count(F.lit(1)).alias("shared"))
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * percent / 100) / 20))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * percent / 100) / 8))
     sets = documents.where("name <> 0").groupBy("name").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.max("local").alias("local"))
     names = stage(sets.join(shared, "name", "left").where(F.col("local") + F.coalesce("shared", F.lit(0)) >= least).select("name", "id", "size"))
     drop(rows)
@@ -233,8 +233,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grams = slim.withColumn("hash", hashed).mapInArrow(_second_pass("text", n, wanted), "name long, grams array<long>")
     grams = stage(grams.join(names.select("name"), "name", "left_semi").groupBy("name").agg(F.first("grams").alias("grams")))
     pairs = grams.select("name", F.explode("grams").alias("gram"))
-    often = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
-    ordered = pairs.join(often, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("lists", "gram"))).alias("of"))
+    ordered = pairs.withColumn("lists", F.count(F.lit(1)).over(by_gram)).where("lists > 1").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("lists", "gram"))).alias("of"))
     size = F.size("grams")
     spare = F.size("of") - F.ceil(size * percent / 100) + 1
     prefix = stage(ordered.join(grams, "name").where(spare > 0).select("name", F.explode(F.slice("of", F.lit(1), spare.cast("int"))).alias("x")).select("name", "x.gram"))

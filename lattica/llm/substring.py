@@ -124,7 +124,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated windows of one text count as starts of their own; of repeated rows each has a start in the others, so all
     lose what a window covers. Exact but for collisions of 96-bit hashes.
     """
-    starts = repeated_windows(docs, id_col, text_col, window, k).withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    starts = stage(repeated_windows(docs, id_col, text_col, window, k)).withColumnsRenamed({"id": "_id", "hash": "_hash"})
     slim = docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) % F.lit(1 << 31)).alias("hash"), F.col(text_col).alias("text"))
     joined = slim.join(starts, slim["id"].eqNullSafe(starts["_id"]) & (slim["hash"] == starts["_hash"]), "left").select("id", "text", "starts")
     kind = slim.schema["id"].dataType.simpleString()

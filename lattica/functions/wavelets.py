@@ -34,11 +34,9 @@ def ormsby(t, f=(5.0, 10.0, 45.0, 50.0), taper=None):
 
 
 def klauder(t, f=(5.0, 20.0), taper=None):
+    """Autocorrelation of a sweep whose frequency is the mean of f at time 0 and the higher one at the end."""
     t = _axis(t)
-    length = t[-1] - t[0]
-    k = (f[1] - f[0]) / length
-    mid = np.pi * (f[0] + f[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        w = np.real(np.sin(np.pi * k * t * (length - t)) / (np.pi * k * t) * np.exp(1j * mid * t))
-    w[len(t) // 2] = length
+    start = (f[0] + f[1]) / 2
+    sweep = np.cos(2 * np.pi * (start * t + 0.5 * (f[1] - start) / t[-1] * t**2))
+    w = np.correlate(sweep, sweep, mode="same")
     return _made(w / w.max(), t, taper)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.llm import decontam, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, secretscan, substring
+from lattica.llm.sql import SQL
 
 
 def _read(spark, sf_dir, name):
@@ -65,4 +66,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lattica.functions.tapers import taper
-from lattica.operators.basic import AxisMatrix, BlockDiag, Diagonal, Restriction, _Composite, relation_frame
+from lattica.operators.basic import AxisMatrix, BlockDiag, Diagonal, OnAxis, Restriction, _Composite, relation_frame
 from lattica.operators.core import LinOp, Relation, Stencil, Traces, as_dims, batch, coordinate, parts, position, size, totalled
 
 
@@ -120,9 +120,11 @@ class _NonStationary(Relation):
         super().__init__(dims if inp is None else shape, dims, make, name=name)
 
 
-class NonStationaryConvolve1D(_NonStationary):
-    def __init__(self, dims, hs, ih):
-        super().__init__(dims, hs, [ih], name="NonStationaryConvolve1D")
+class NonStationaryConvolve1D(_Composite):
+    def __init__(self, dims, hs, ih, axis: int = -1):
+        dims = as_dims(dims)
+        one = _NonStationary((dims[axis],), hs, [ih])
+        super().__init__(one if len(dims) == 1 else OnAxis(one, dims, axis), "NonStationaryConvolve1D", dims, dims)
 
 
 class NonStationaryConvolve2D(_NonStationary):

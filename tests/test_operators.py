@@ -48,6 +48,8 @@ REAL = {
     "convolve1d long": lambda: signal.Convolve1D(3, [1, 2, 3.0, 4, 5], 2),
     "convolvend": lambda: signal.ConvolveND((4, 4, 4), rng.normal(size=(2, 3, 2)), (0, 1, 1), (0, 1, 2)),
     "nonstationary1d": lambda: signal.NonStationaryConvolve1D(12, rng.normal(size=(3, 5)), (2, 5, 8)),
+    "nonstationary1d axis": lambda: signal.NonStationaryConvolve1D((12, 2), rng.normal(size=(3, 5)), (2, 5, 8), 0),
+    "nonstationary3d": lambda: signal.NonStationaryConvolve3D((4, 4, 5), rng.normal(size=(2, 2, 2, 3, 3, 1)), (1, 3), (0, 2), (1, 4)),
     "nonstationary2d": lambda: signal.NonStationaryConvolve2D((6, 7), rng.normal(size=(2, 3, 3, 3)), (1, 4), (1, 3, 5)),
     "nonstationary filters": lambda: signal.NonStationaryFilters2D(rng.normal(size=(6, 7)), (3, 3), (1, 4), (1, 3, 5)),
     "real fft": lambda: signal.FFT(9, nfft=12, real=True, norm="1/n"),

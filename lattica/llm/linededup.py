@@ -253,7 +253,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grouped = met.join(line, "name").repartition(parts, "key").sortWithinPartitions("key")
     links = stage(grouped.mapInArrow(_verify(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drop(met)
+    for table in (met, names, line):
+        drop(table)
     return places, components(links).withColumnRenamed("node", "name")
 
 

@@ -251,6 +251,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"name": pa.array(names), "root": pa.array(names[block_components(sets, percent)])})
 
     roots = stage(grams.join(blocks, "name").groupBy("block").applyInArrow(link, "name long, root long"))
+    for table in (names, grams, prefix):
+        drop(table)
     of_set = documents.where("name <> 0").groupBy("name").agg(F.min("id").alias("low")).join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     lowest = of_set.groupBy("root").agg(F.min("low").alias("component"))
     of_set = of_set.join(lowest, "root").select("name", "component")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lattica.llm.bitmaps import bitmap, inside
 from lattica.llm.graph import Union, components
 from lattica.llm.staging import drop, stage
-from lattica.llm.textops import BYTES, mix, pieces, raw
+from lattica.llm.textops import BYTES, mix, pieces, raw, tidy
 
 SPACE = np.array([32, 9, 10, 11, 12, 13], np.uint32)
 
@@ -98,7 +98,13 @@ def within(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
     out = np.zeros(len(a), bool)
     one, two = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     order = np.argsort(two, kind="stable")
-    for part in np.array_split(order, max(1, -(-len(order) // 4096))) if len(order) else []:
+    # Pairs of like length together, at most 4096 and about a million code points a side.
+    cut, first = [], 0
+    for i in range(len(order)):
+        if i - first >= 4096 or (i > first and (i - first + 1) * int(two[order[i]]) > 1 << 20):
+            cut.append(i)
+            first = i
+    for part in np.split(order, cut) if len(order) else []:
         part = part[np.abs(one[part] - two[part]) <= k]
         if not len(part):
             continue
@@ -202,9 +208,11 @@ def _verify(k: int):
             table = pa.Table.from_batches(ready)
             if table.num_rows:
                 yield links(table.column("key").to_numpy(), table.column("name").to_numpy(), table.column("probe").to_numpy(), table.column("line").to_pylist())
+                tidy()
         if held:
             table = pa.Table.from_batches(held)
             yield links(table.column("key").to_numpy(), table.column("name").to_numpy(), table.column("probe").to_numpy(), table.column("line").to_pylist())
+        tidy()
 
     return run
 

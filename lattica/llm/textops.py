@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows in order, in batches of about ``most`` bytes of text: a longer text is a batch of its own."""
     for batch in batches:
@@ -51,6 +61,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             total += n
         if len(sizes) > i:
             yield batch.slice(i, len(sizes) - i)
+        tidy()
 
 
 def spans(data: np.ndarray, off: np.ndarray, table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -217,11 +217,13 @@ def _verify(k: int):
     return run
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(places, classes): places (id, hash, number, name) of all lines of ``least`` code points, classes (name, root).
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, least: int = 30, shortest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(places, classes): places (id, hash, number, name) of all lines of ``shortest`` code points, classes (name, root).
 
-    Lines equal but for white space around have one name; classes holds the names that link with another.
+    Lines equal but for white space around have one name; classes holds the names that link with another, of lines of
+    ``least`` code points. Without ``shortest`` both begin at ``least``.
     """
+    shortest = least if shortest is None else max(1, min(shortest, least))
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
@@ -230,11 +232,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cols = ["id", "hash", "number", "name", "key", "probe"]
         for batch in pieces(batches, "text"):
             lines = Lines(batch.column("text"))
-            long = np.flatnonzero(lines.size >= least)
+            some = np.flatnonzero(lines.size >= shortest)
+            if not len(some):
+                continue
+            d = pa.array(lines.doc[some])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(d), batch.column("hash").take(d), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.name[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32())], names=cols)
+            long = some[lines.size[some] >= least]
             if not len(long):
                 continue
-            d = pa.array(lines.doc[long])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(d), batch.column("hash").take(d), pa.array(lines.number[long].astype(np.int32)), pa.array(lines.name[long]), pa.nulls(len(long), pa.int64()), pa.nulls(len(long), pa.int32())], names=cols)
             _, one = np.unique(lines.name[long], return_index=True)
             key, owner, probe = keys_of(lines, long[one], threshold, least)
             n = len(key)
@@ -266,16 +271,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return places, components(links).withColumnRenamed("node", "name")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, least: int = 30) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, least: int = 30, shortest: int | None = None) -> DataFrame:
     """(row, n_lines, removed, first_ids, kept_text): row holds the columns of docs as they were.
 
     Of the lines that are equal or link, directly or by others, the one of the least id, then the least number, stays;
     removed lists the numbers of the others, first_ids the documents of the lines that stand for them. Lines of fewer
-    than ``least`` code points (white space around not counted) say little and stay. kept_text has the lines that stay.
+    than ``least`` code points (white space around not counted) link with none by edits; equal ones of ``shortest`` code
+    points (``least`` if not given) are one line all the same, and those shorter still stay, as do lines of white space
+    alone. kept_text has the lines that stay.
     Null text stays null and has no lines; empty text is one line. Rows of equal id and text count as one document and
     fare alike. An empty table gives an empty table; very long lines take part whole.
     """
-    places, classes = line_classes(docs, id_col, text_col, threshold, least)
+    places, classes = line_classes(docs, id_col, text_col, threshold, least, shortest)
     of = places.join(classes, "name", "left").withColumn("class", F.coalesce("root", "name")).drop("root")
     here = F.struct("id", "number", "hash")
     first = of.groupBy("class").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
@@ -284,7 +291,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = slim.join(gone, slim["id"].eqNullSafe(gone["_id"]) & (slim["hash"] == gone["_hash"]), "left").select("row", "text", "gone")
     numbers = F.transform("gone", lambda g: g["number"])
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(numbers, i)), "\n")
+    # Time in proportion to the lines, however many go: array_except hashes, and split runs once.
+    stay = lambda some: F.array_except(F.sequence(F.lit(0), F.size(some) - 1), numbers)
+    kept = F.transform(F.array(lines), lambda some: F.array_join(F.transform(stay(some), lambda i: some[i]), "\n"))[0]
     return joined.select(
         "row",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

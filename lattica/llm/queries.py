@@ -17,7 +17,7 @@ def op1_mix_sources(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    out = linededup.dedup_lines(_read(spark, sf_dir, "documents"), shortest=1)
     return out.select("row.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "first_ids", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

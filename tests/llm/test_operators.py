@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from lattica.llm import decontam, graph, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, secretscan, substring
+from lattica.llm import decontam, graph, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, queries, secretscan, substring
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string, id string, name int, hash string, row int"
@@ -118,6 +118,20 @@ def test_line_classes(docs, plain):
         assert r["kept_text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
 
 
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    """Equal lines of any length are one; lines under 30 code points don't link by edits, and blank lines stay."""
+    long = "A line of more than thirty code points, for sure"
+    texts_ = ["版权所有。\n\nAll rights reserved.\n" + long, "Other\n All rights reserved.\t\n\n版权所有。\n \nOther", "All rights reserved!\n" + long + "!", None, "\n".join(["0", "1"] * 50_000)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["row"]["doc_id"]: r for r in linededup.dedup_lines(docs, shortest=1).collect()}
+    assert [got[i]["removed"] for i in range(4)] == [[], [1, 3, 5], [1], []] and got[4]["removed"] == list(range(2, 100_000))
+    assert [got[i]["kept_text"] for i in range(5)] == [texts_[0], "Other\n\n ", "All rights reserved!", None, "0\n1"]
+    assert got[1]["first_ids"] == [0, 1] or got[1]["first_ids"] == [1, 0]
+    query = {r["doc_id"]: r["removed"] for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert query == {i: r["removed"] for i, r in got.items()}
+
+
 def distance(a, b, most):
     before = np.arange(len(b) + 1)
     for i, x in enumerate(a, 1):

@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and nearly equal lines one stays; a document that lost lines and has none of 30 code points left goes."""
-    out = linededup.dedup_lines(docs, shortest=1).where((F.size("removed") == 0) | F.col("kept_text").rlike(r"[^\n]{30}"))
+    """Of equal and nearly equal lines one stays; a document that lost lines and has no word left goes."""
+    out = linededup.dedup_lines(docs, shortest=1).where((F.size("removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept_text"), "n_chars": F.when(F.size("removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -34,3 +34,13 @@ def test_stages(spark, tmp_path):
     assert set(left["mix"]) == set(left["benchmark"]) and set(range(20)) <= set(left["mix"])
     got = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i: r["taken"] for i, r in left["mix"].items()}
+
+
+def test_lines_keeps_short_lines_of_its_own(spark, tmp_path):
+    """A document of short lines that shares a long footer loses the footer alone; a copy without a word left goes."""
+    footer = "Printed with the kind permission of all the heirs"
+    poem = "\n".join(f"The {w} is near" for w in ("sea", "hill", "mill", "wood"))
+    texts = [f"Something else that is long enough to count here\n{footer}", f"{poem}\n{footer}", f"{poem}\n \n{footer}", "没有人\n知道\n" + footer, None, " \n "]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: (poem, len(poem)), 3: ("没有人\n知道", 6), 4: (None, 0), 5: (" \n ", 3)}

@@ -127,12 +127,12 @@ class SuffixAutomaton:
         spans.append([start, end])
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about ``most`` words; the driver holds one block at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items with words, those of null id too, in blocks of about ``most`` words; the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = normal_words((row["t"] or "").encode())
-        if words and row["i"] is not None:
+        if words:
             block.append((row["i"], words))
             size += len(words)
         if size >= most:
@@ -160,8 +160,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     Returns (row, leak): row holds the columns of docs as they were, leak is (n_words, spans, items): the words of the
     document, the spans of words inside occurrences (touching ones merged) and the items that have occurring windows,
-    sorted as strings. The automaton of one block of items (``block_words``, about 100 MB) goes to the executors at a
-    time; more blocks mean more passes. Null and empty texts have no words; items of null id or without words are none;
+    sorted as strings; one null at the end stands for all items of null id. The automaton of one block of items (``block_words``, about 100 MB) goes to the executors at a
+    time; more blocks mean more passes. Null and empty texts have no words; items without words are none;
     repeated rows are each reported; an empty table of either kind gives no spans.
     """
     spark = docs.sparkSession
@@ -192,7 +192,7 @@ def _scan(spark, cur: DataFrame, schema: T.StructType, automaton: SuffixAutomato
                 if was is not None:
                     spans = spans + [[x["start"], x["end"]] for x in was["spans"]]
                     names |= set(was["items"])
-                out.append({"n_words": len(words), "spans": _merge(spans), "items": sorted(names)})
+                out.append({"n_words": len(words), "spans": _merge(spans), "items": sorted(names - {None}) + [None] * (None in names)})
             at = batch.schema.get_field_index("leak")
             kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
             yield batch.set_column(at, "leak", pa.array(out, kind))

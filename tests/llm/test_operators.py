@@ -224,6 +224,22 @@ def test_decontamination(spark, docs, plain, data, items):
         assert hit and all(data[0][i] != cut[i] and data[1][0].split()[5] not in (cut[i] or "").split("\n")[1:2] for i in hit)
 
 
+def test_items_without_an_id_count(spark, tmp_path):
+    """Items of null id are found like others; as in the SQL they count as one item and add nothing to the ids' hash."""
+    words = [" ".join(f"{c}{i}" for i in range(12)) for c in "abc"]
+    rows = [(0, words[0]), (1, f"{words[1]} and {words[2]}"), (2, "clean"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, words[0]), (7, words[1]), (None, words[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "benchmark"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {(0, 12, 12, 1, sha(""), True), (1, 25, 24, 2, sha("7"), True), (2, 1, 0, 0, sha(""), False), (3, 0, 0, 0, sha(""), False)}
+    assert {tuple(r) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()} == want
+    for most in (1, 200_000):
+        got = {r["row"]["doc_id"]: r["leak"]["items"] for r in decontam.find_leaks(docs, bench, block_words=most).collect()}
+        assert got == {0: [None], 1: ["7", None], 2: [], 3: []}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()} == {2, 3}
+
+
 def test_quality(docs, plain):
     got = quality.quality_rules(docs).collect()
     want = Counter()

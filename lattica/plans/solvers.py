@@ -367,7 +367,7 @@ def regularized_inversion(Op, y, Regs=(), x0=None, Weight=None, dataregs=None, e
         rhs = Frame(union(frames), op.shape[0])
     else:
         rhs = np.concatenate([y, *[np.zeros(r.shape[0]) if d is None else e * np.ravel(d) for r, d, e in zip(Regs, dataregs, eps, strict=True)]])
-    return {"lsqr": lsqr, "scipy": lsqr, "cgls": cgls, "pylops": cgls}[engine](op, rhs, x0, niter=niter, **kwargs)
+    return {"lsqr": lsqr, "cgls": cgls}[engine](op, rhs, x0, niter=niter, **kwargs)
 
 
 def preconditioned_inversion(Op, y, P, x0=None, niter=10, **kwargs):  # noqa: N803

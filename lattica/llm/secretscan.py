@@ -9,6 +9,9 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.staging import stage
+from lattica.llm.textops import pieces
+
 #: Fixed patterns. A match of the first is dropped unless group 2 has 6 characters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -72,24 +75,38 @@ def battery(s: str) -> tuple[float, float]:
     return min(1.0, 3 * min(flat, runs, serial)), math.exp(-half) * (1 + half + half * half / 2)
 
 
-def discoveries(found: list[tuple[int, int, str]], rate: float = 0.0002, random_at: float = 0.001) -> list[tuple[int, int]]:
-    """Spans of candidates that pass for random and not for text.
+#: p-values are rounded up to powers of 10 in steps of 1/STEPS, down to 10**-LEAST.
+STEPS, LEAST = 50, 30
+
+
+def length_class(n: int) -> int:
+    """0 for up to 31 characters, 1 for up to 63, 2 beyond: short strings tell text from keys less well."""
+    return (n >= 32) + (n >= 64)
+
 
-    Benjamini-Hochberg at ``rate`` among a document's candidates of like length (20-31, 32-63, 64 and more characters),
-    for short strings tell text from keys less well and must not lend their share to long ones.
+def level_of(s: str, random_at: float = 0.001) -> int:
+    """How small a candidate's p-value under ordinary text is, in steps; 0 if it doesn't pass for random."""
+    p_random, p_text = battery(s)
+    if p_random < random_at or p_text >= 1:
+        return 0
+    return min(STEPS * LEAST, int(-math.log10(max(p_text, 1e-300)) * STEPS))
+
+
+def cuts(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
+    """Benjamini-Hochberg: the least level that is a discovery, for each length class with one.
+
+    counts holds the candidates by (class, level). Of m candidates of a class, those of level l and above are
+    discoveries if 10**(-l / STEPS) <= rate * their number / m, for the least l of which that is true.
     """
-    by: dict[int, list[tuple[float, int, int]]] = {}
-    for start, end, s in found:
-        if s.rstrip("=").isdigit():
-            continue
-        p_random, p_text = battery(s)
-        by.setdefault((end - start >= 32) + (end - start >= 64), []).append((p_text if p_random >= random_at else 1.0, start, end))
-    out = []
-    for group in by.values():
-        group.sort()
-        last = max((i for i, (p, _, _) in enumerate(group, 1) if p <= rate * i / len(group)), default=0)
-        out += [(start, end) for _, start, end in group[:last]]
-    return sorted(out)
+    out: dict[int, int] = {}
+    for kind in {k for k, _ in counts}:
+        levels = sorted(((level, n) for (k, level), n in counts.items() if k == kind), reverse=True)
+        m, above = sum(n for _, n in levels), 0
+        for level, n in levels:
+            above += n
+            if level and 10 ** (-level / STEPS) <= rate * above / m:
+                out[kind] = level
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -104,38 +121,59 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, spans that the battery adds); added ones don't overlap base ones."""
+def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, int]]]:
+    """(base spans, candidates (start, end, length class, level) that overlap none of them), in time linear in both."""
     if not text:
         return [], []
     base = base_spans(text)
-    taken = [(s, e) for s, e, _ in base]
-    found = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
-    return base, [(s, e, "random") for s, e in discoveries(found)] if found else []
+    found, i, end = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        while i < len(base) and base[i][0] < m.end():  # end: how far the base spans that begin before the candidate's end reach
+            end = max(end, base[i][1])
+            i += 1
+        if end <= m.start() and not m[0].rstrip("=").isdigit():
+            found.append((m.start(), m.end(), length_class(m.end() - m.start()), level_of(m[0])))
+    return base, found
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans): arrays of (start, end, kind), by start and then kind; offsets in code points, end exclusive.
-
-    base has the pattern matches, spans those and the ones that the battery adds. Null and empty texts have none; texts
-    are read whole; each row is judged alone, whatever its other columns; an empty table gives an empty table.
-    """
-    kind = "array<struct<start:long,end:long,kind:string>>"
+def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, base, candidates) of each document."""
 
     def run(batches):
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        for batch in batches:
+        candidate = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("level", pa.int32())]))
+        for batch in pieces(batches, "text"):
             base, every = [], []
             for text in batch.column("text"):
                 b, more = scan_text(text.as_py())
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in b])
-                every.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(b + more, key=lambda x: (x[0], KINDS.index(x[2])))])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, span), pa.array(every, span)], names=["id", "base", "spans"])
+                every.append([{"start": s, "end": e, "class": k, "level": v} for s, e, k, v in more])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, span), pa.array(every, candidate)], names=["id", "base", "candidates"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, base {kind}, spans {kind}").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, base array<struct<start:long,end:long,kind:string>>, candidates array<struct<start:long,end:long,class:int,level:int>>")
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.001) -> DataFrame:
+    """(id, base, spans): arrays of (start, end, kind), by start and then kind; offsets in code points, end exclusive.
+
+    base has the pattern matches, spans those and the ones that the battery adds: the discoveries among the candidates of
+    all documents, by length class, of which ``rate`` at most are expected to be ordinary text. Only counts by class and
+    level (some thousand numbers) come to the driver. A document's added spans so depend on the whole table, its base
+    spans on its own text. Null and empty texts have none; texts are read whole, in linear time; repeated rows count each
+    and fare alike; equal p-values are decided alike; other columns don't matter; an empty table gives an empty table.
+    """
+    found = stage(find_candidates(docs, id_col, text_col))
+    levels = found.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.level").agg(F.count(F.lit(1)).alias("n")).collect()
+    least = cuts({(r["class"], r["level"]): r["n"] for r in levels}, rate)
+    wanted = lambda c: F.coalesce(*[F.when((c["class"] == k) & (c["level"] >= v), True) for k, v in least.items()], F.lit(False))
+    added = F.transform(F.filter("candidates", wanted), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
+    place = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k).cast("int")
+    key = lambda s: F.struct(s["start"].alias("start"), place(s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))
+    ordered = F.transform(F.array_sort(F.transform(F.concat("base", added), key)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return found.select(F.col("id").alias(id_col), "base", ordered.alias("spans"))
 
 
 def redact(docs: DataFrame, spans_col: str = "spans", text_col: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Efraimidis-Spirakis sampling: each document gets the key -ln(u) / weight with u from a hash of its id and text, documents
 of a source are taken in the order of their keys until the source's budget is spent. Whole epochs of a source come first,
-and only the fraction that is left is selected.
+and only the fraction that is left is selected. A source's documents are dealt into ranges by quantiles of their keys, so no
+task sorts a whole source; the ranges' sums, prefix-summed, say where each range begins.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from lattica.llm.staging import stage
 
 #: A word.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Ranges of a source's keys, a power of two.
+RANGES = 1024
 
 
 def words_in(text: Column) -> Column:
@@ -55,7 +58,7 @@ def source_targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, ca
         .withColumn("_weights_left", F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("_level", F.first(F.when(level <= F.col("_full"), level), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("_w")), F.col("_cap")))
-        .select("source", "source_size", "target", "_n", "_mean_weight")
+        .select("target", *sources.columns)
     )
 
 
@@ -65,30 +68,36 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns (id, source, size, source_size, target, weight, epochs, taken) and the columns in ``keep``, a row for each
     row of docs. size is the number of words, taken the words the mix takes with repeats counted: epochs whole passes,
     and what of the fraction falls to the document. The document at which the budget ends gives the words that are left,
-    so each source meets its target to the word. Null text and empty text have size 0 and give nothing; null is a source
-    of its own; equal rows are taken in any order among themselves; an empty table gives an empty table; other columns
-    don't matter.
+    so each source meets its target to the word. quality is the weight of the sampling: documents of weight 0, less, or
+    NaN come after all others, in random order, and null counts as 0.05; infinite weights come first. Null text and empty
+    text have size 0 and give nothing, very long texts are counted whole; null is a source of its own; equal rows are
+    taken in any order among themselves; an empty table gives an empty table; other columns, whatever their names, don't
+    matter. A source's keys go by their quantiles into ``RANGES`` ranges: a task sorts a range.
     """
     text = F.col(text_col)
-    weight = (text_quality(text) if quality is None else quality).cast("double")
-    slim = stage(
-        docs.select(
-            F.col(id_col).alias("id"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("rest"), F.col(source_col).alias("source"), words_in(text).alias("size"), F.coalesce(weight, F.lit(0.05)).alias("weight"), uniform(seed, F.col(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u")
-        ).withColumn("key", -F.log("u") / F.col("weight"))
-    )
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("weight").alias("_mean_weight"))
+    weight = F.coalesce((text_quality(text) if quality is None else quality).cast("double"), F.lit(0.05))
+    slim = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("rest"), F.col(source_col).alias("source"), words_in(text).alias("size"), weight.alias("weight"), uniform(seed, F.col(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u"))
+    positive = (F.col("weight") > 0) & ~F.isnan("weight")
+    infinite = F.lit(float("inf"))
+    key = F.when(positive, F.try_divide(-F.log("u"), F.col("weight"))).otherwise(infinite)
+    # The keys' order in [0, 2], with those of no weight behind all others by u, so that they spread over ranges too.
+    rank = F.when(positive, F.when(F.col("key") < infinite, F.col("key") / (1 + F.col("key"))).otherwise(1.0)).otherwise(1 + F.col("u"))
+    slim = stage(slim.withColumn("key", key).withColumn("rank", rank))
+    cuts = F.percentile_approx("rank", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(20 * RANGES))
+    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), cuts.alias("_cuts"))
     targets = source_targets(sources, weights, share, cap)
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0))
     targets = targets.withColumn("_budget", budget).withColumn("epochs", whole.cast("long")).withColumn("_rest", F.col("_budget") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_source")
-    # The keys of a source fall into about sqrt(n) ranges of about sqrt(n) documents, so no task sorts a whole source.
-    ranges = F.ceil(F.sqrt(F.col("_n").cast("double")))
-    placed = slim.join(targets, slim["source"].eqNullSafe(targets["_source"])).withColumn("bucket", F.least(F.floor(ranges * (F.lit(1.0) - F.exp(-F.col("key") * F.col("_mean_weight")))), ranges - 1).cast("long")).drop("_source")
+    # Range: how many of the cuts are below, by binary search.
+    steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col("rank") > F.element_at("_cuts", at + step), at + step).otherwise(at))
+    placed = slim.join(targets, slim["source"].eqNullSafe(targets["_source"])).withColumn("bucket", bucket).drop("_source", "_cuts")
     totals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("_sum"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("_sum").over(running), F.lit(0)).alias("_offset"))
     joined = placed.join(totals, placed["source"].eqNullSafe(totals["_s"]) & (placed["bucket"] == totals["_b"]))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("rank", "key", "u", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before")))
     out = joined.withColumn("_before", before).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.staging import Shared, stage
+from lattica.llm.staging import Shared, drop, stage
+from lattica.llm.textops import pieces
 
 #: A-Z to a-z; all other ASCII but letters and digits to a space; bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: The same words in Spark: A-Z are lower-cased, then these are words.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -50,6 +56,11 @@ class SuffixAutomaton:
             if self.length[self.link[s]] >= window:
                 own[self.link[s]] |= own[s]
         self.own = own
+        # The state of each state's last ``window`` words: where the climb along suffix links would end.
+        self.top = list(range(len(own)))
+        for s in sorted(range(1, len(own)), key=lambda s: self.length[s]):
+            if self.length[self.link[s]] >= window:
+                self.top[s] = self.top[self.link[s]]
         self.short: list[tuple[tuple[int, int], ...]] | None = None
         if whole:
             self.short = [()] * len(own)
@@ -88,7 +99,7 @@ class SuffixAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[int]]:
         """Spans of words inside an occurrence of a window, and the items with occurring windows."""
-        nxt, link, length, own, short, window = self.next, self.link, self.length, self.own, self.short, self.window
+        nxt, link, length, own, short, window, top = self.next, self.link, self.length, self.own, self.short, self.window, self.top
         spans: list[list[int]] = []
         items: set[int] = set()
         state = matched = 0
@@ -108,10 +119,7 @@ class SuffixAutomaton:
             state = to
             matched += 1
             if matched >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
-                items |= own[s]
+                items |= own[top[state]]
                 self._cover(spans, i + 1 - matched, i + 1)
             if short is not None and short[state]:
                 for n, k in short[state]:
@@ -142,7 +150,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Itera
         yield block
 
 
-OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
+SPANS = "array<struct<start:long,end:long>>"
 
 
 def _merge(spans: list[list[int]]) -> list[dict]:
@@ -155,87 +163,105 @@ def _merge(spans: list[list[int]]) -> list[dict]:
     return [{"start": s, "end": e} for s, e in out]
 
 
+def _items(names: set) -> list:
+    return sorted(names - {None}) + [None] * (None in names)
+
+
+def _scan(spark, automaton: SuffixAutomaton, only_hits: bool):
+    """Arrow function: the batch's other columns with n_words, spans and items; rows without a hit go if only_hits."""
+    shared = Shared(spark, automaton)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        auto = shared.get()
+        for batch in pieces(batches, "text"):
+            n, spans, items = [], [], []
+            for text in batch.column("text"):
+                words = normal_words(text.as_py())
+                hit, found = auto.scan(words)
+                n.append(len(words))
+                spans.append(_merge(hit))
+                items.append(_items({auto.names[k] for k in found}))
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=[*[c for c in batch.schema.names if c != "text"], "n_words", "spans", "items"])
+            yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if only_hits else out
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000) -> DataFrame:
     """Where windows of the items occur in the documents.
 
     Returns (row, leak): row holds the columns of docs as they were, leak is (n_words, spans, items): the words of the
     document, the spans of words inside occurrences (touching ones merged) and the items that have occurring windows,
-    sorted as strings; one null at the end stands for all items of null id. The automaton of one block of items (``block_words``, about 100 MB) goes to the executors at a
-    time; more blocks mean more passes. Null and empty texts have no words; items without words are none;
-    repeated rows are each reported; an empty table of either kind gives no spans.
+    sorted as strings; one null at the end stands for all items of null id. The automaton of one block of items
+    (``block_words``, about 100 MB) goes to the executors at a time. One block is one pass over the documents; of more
+    blocks each is a pass that writes the documents with hits alone (their text's 96-bit hash and the spans), and the hits
+    are joined at the end. Null and empty texts have no words, very long ones are read whole, in linear time; items
+    without words are none; equal items each count; repeated rows are each reported; an empty table of either kind gives
+    no spans; the columns of docs may have any names.
     """
     spark = docs.sparkSession
-    cur = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast(OUT).alias("leak"))
-    schema = cur.schema
-    last = None
-    for block in blocks(benchmark, item_id, item_text, block_words):
-        if last is not None:
-            cur = stage(_scan(spark, cur, schema, last))
-        last = SuffixAutomaton(block, window)
-    if last is None:
-        last = SuffixAutomaton([], window)
-    return _scan(spark, cur, schema, last).select("row", "leak")
-
-
-def _scan(spark, cur: DataFrame, schema: T.StructType, automaton: SuffixAutomaton) -> DataFrame:
-    shared = Shared(spark, automaton)
-
-    def run(batches):
-        auto = shared.get()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out = []
-            for text, was in zip(texts, batch.column("leak").to_pylist(), strict=True):
-                words = normal_words(text)
-                spans, items = auto.scan(words)
-                names = {auto.names[k] for k in items}
-                if was is not None:
-                    spans = spans + [[x["start"], x["end"]] for x in was["spans"]]
-                    names |= set(was["items"])
-                out.append({"n_words": len(words), "spans": _merge(spans), "items": sorted(names - {None}) + [None] * (None in names)})
-            at = batch.schema.get_field_index("leak")
-            kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-            yield batch.set_column(at, "leak", pa.array(out, kind))
-
-    return cur.mapInArrow(run, schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.0, block_words: int = 200_000) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    every = iter(blocks(benchmark, item_id, item_text, block_words))
+    block, second = next(every, []), next(every, None)
+    if second is None:
+        slim = docs.select(row, F.col(text_col).cast("binary").alias("text"))
+        schema = T.StructType().add("row", slim.schema["row"].dataType).add("n_words", "long").add("spans", T.DataType.fromDDL(SPANS)).add("items", T.ArrayType(T.StringType()))
+        found = slim.mapInArrow(_scan(spark, SuffixAutomaton(block, window), False), schema)
+        return found.select("row", F.struct("n_words", "spans", "items").alias("leak"))
+    key = (F.xxhash64(F.col(text_col)).alias("one"), F.hash(F.col(text_col)).alias("two"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).cast("binary").alias("text"))
+    parts = []
+    for part in chain([block, second], every):
+        parts.append(stage(texts.mapInArrow(_scan(spark, SuffixAutomaton(part, window), True), f"one long, two int, n_words long, spans {SPANS}, items array<string>")))
+    hits = reduce(DataFrame.unionByName, parts).groupBy("one", "two").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    merged = F.aggregate(
+        F.array_sort("spans"),
+        F.array().cast(SPANS),
+        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+    )
+    hits = stage(hits.select("one", "two", merged.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")))
+    for part in parts:
+        drop(part)
+    n_words = F.regexp_count(F.translate(F.col(text_col), UPPER, UPPER.lower()), F.lit(WORDS)).cast("long")
+    slim = docs.select(row, *key, F.coalesce(n_words, F.lit(0)).alias("n_words"))
+    none = (F.array().cast(SPANS), F.array().cast("array<string>"))
+    return slim.join(hits, ["one", "two"], "left").select("row", F.struct("n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")).alias("leak"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.0, block_words: int = 200_000) -> DataFrame:
     """The documents without those that leak: columns of docs as they were.
 
-    Spans of at least ``min_span`` words count, and so do shorter ones (whole items of fewer words) in documents of which
-    more than half is hit. A document goes if counted spans cover more than ``max_coverage`` of its words; with 0.0 each
-    counted span is too much. Below the limit the spans are cut from the text. Documents without words stay.
+    A document goes if the words inside occurrences of windows (whole items of fewer words included) are more than
+    ``max_coverage`` of its words; with 0.0 each is too much. Below the limit the spans are cut from the text. Documents
+    without words stay.
     """
     leaks = find_leaks(docs, benchmark, text_col, item_id, item_text, window, block_words)
     hit = F.aggregate("leak.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    long_ones = F.filter("leak.spans", lambda s: s["end"] - s["start"] >= min_span)
-    covered = F.aggregate(long_ones, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    counted = F.when(2 * hit > F.col("leak.n_words"), hit).otherwise(covered)
-    kept = leaks.where(counted <= F.lit(max_coverage) * F.col("leak.n_words"))
+    kept = leaks.where(hit <= F.lit(max_coverage) * F.col("leak.n_words"))
     if max_coverage <= 0:
         return kept.select("row.*")
-    cut = _cut(min_span)
-    return kept.select(*[(cut(F.col(f"row.`{c}`"), F.col("leak.spans")) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def _cut(min_span: int):
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        out = []
-        for text, found in zip(texts, spans, strict=True):
-            found = [s for s in found if s["end"] - s["start"] >= min_span] if text is not None else []
-            if found:
-                data = text.encode()
-                normal = np.frombuffer(data.translate(NORMAL), np.uint8) != 32
-                edge = np.diff(np.concatenate([[0], normal.view(np.int8), [0]]))
-                starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                for s in reversed(found):
-                    data = data[: starts[s["start"]]] + data[ends[s["end"] - 1] :]
-                text = data.decode()
-            out.append(text)
-        return pd.Series(out)
-
-    return cut
+    return kept.select(*[(_cut(F.col(f"row.`{c}`"), F.col("leak.spans")) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _cut_spans(texts, spans):
+    import pandas as pd
+
+    out = []
+    for text, found in zip(texts, spans, strict=True):
+        if text is not None and len(found):
+            data = text.encode()
+            normal = np.frombuffer(data.translate(NORMAL), np.uint8) != 32
+            edge = np.diff(np.concatenate([[0], normal.view(np.int8), [0]]))
+            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            left, at = [], 0
+            for s in sorted(found, key=lambda s: s["start"]):
+                left.append(data[at : starts[s["start"]]])
+                at = int(ends[s["end"] - 1])
+            text = b"".join([*left, data[at:]]).decode()
+        out.append(text)
+    return pd.Series(out)
+
+
+def _cut(text, spans):
+    return F.pandas_udf(_cut_spans, "string")(text, spans)

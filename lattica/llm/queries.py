@@ -26,7 +26,7 @@ def op3_html_text(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return substring.dedup_substrings(_read(spark, sf_dir, "documents")).drop("spans")
+    return substring.dedup_substrings(_read(spark, sf_dir, "documents")).drop("spans", "paths")
 
 
 def op5_decontaminate(spark, sf_dir):
@@ -42,7 +42,7 @@ def op6_quality_rules(spark, sf_dir):
 
 
 def op7_ngram_join(spark, sf_dir):
-    return ngramjoin.ngram_join(_read(spark, sf_dir, "documents"))
+    return ngramjoin.ngram_join(_read(spark, sf_dir, "documents")).drop("name")
 
 
 def op8_ppm_score(spark, sf_dir):

@@ -1,9 +1,13 @@
-"""Substring dedup: windows of words that start anywhere else, from a De Bruijn graph of word k-mers.
+"""Substring dedup: windows of words that start anywhere else, as paths of a De Bruijn graph of word k-mers.
 
-The edges of the graph are windows of ``window`` words. A sparse set of short k-mers (the least hash of each window, the
-minimizer) names candidates: a window whose minimizer has no second place can't recur. The candidates' edges are counted
-by 96-bit hashes; repeated edges at consecutive source coordinates compact into paths, and the coordinates of a path
-say which words of which document it covers.
+1. Windows of ``window`` words are counted. A sparse set of short k-mers (the least hash of each window, its minimizer)
+   names candidates first: a window whose minimizer has no second place can't recur. The candidates are counted by 96-bit
+   hashes. Repeated windows at consecutive places of a document are a run.
+2. The runs' words make a sparse De Bruijn graph: nodes are the k-mers whose hash falls in one of ``every`` classes, and
+   the ends of runs; an edge is the words from one such k-mer of a run to the next. Degrees are counted over the distinct
+   edges. Where a node has one edge in and one out, the two belong to one path: pointer doubling by joins gives each edge
+   its path and its offset there.
+3. A path's edges that stand at matching offsets and touch in a document's coordinates are one span. Spans are removed.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bitmaps import bitmap, inside
+from lattica.llm.skew import split_join
 from lattica.llm.staging import drop, stage
 from lattica.llm.textops import WINDOW, WINDOW2, pieces, raw, spans, windows, word_hashes
 
@@ -52,16 +57,40 @@ def anchors(words: np.ndarray, ptr: np.ndarray, window: int, k: int) -> tuple[np
     return grams[(most == grams) & (most > 0)], first, mine
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8) -> DataFrame:
-    """(id, text_hash, starts): first words of paths of windows that start anywhere else, and their lengths.
+class Seen:
+    """Windows that a task has met before: a table of bounded size, so that a passage in every piece of the input sends
+    some rows for each task, not for each piece. What it forgets is counted like anything new."""
 
-    starts is an array of (start, n): n windows in a row from word start on. Documents without any aren't returned.
-    Windows that recur within a piece of the input are settled there, so a passage that very many documents share sends
-    two rows for each of its windows and piece.
+    def __init__(self, bits: int = 20):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.one, self.two = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
+        self.state = np.zeros(1 << bits, np.int8)  # 1: sent as a window of one place; 2: told to recur
+
+    def meet(self, one: np.ndarray, two: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(met before, to be told to recur) of distinct windows; many says which recur in this piece."""
+        slot = (one & self.mask).astype(np.int64)
+        met = (self.state[slot] > 0) & (self.one[slot] == one) & (self.two[slot] == two)
+        tell = np.where(met, self.state[slot] == 1, many)
+        self.state[slot[met]] = 2
+        free = ~met & ((self.state[slot] < 2) | (two & np.uint32(15) == 0))
+        at = slot[free]
+        self.one[at], self.two[at], self.state[at] = one[free], two[free], np.where(many[free], 2, 1)
+        return met, tell
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, key2, id, text): 96 bits of id and text name a row; rows equal in both share them and fare alike."""
+    both = (F.col(id_col), F.col(text_col))
+    return docs.select(F.xxhash64(*both).alias("key"), F.hash(*both).alias("key2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
+    """(key, key2, runs) of the keyed documents that have any: runs is an array of (start, n), n windows in a row that
+    start anywhere else, from word start on.
+
+    Windows that recur within a piece or, as far as Seen remembers, a task are settled there.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) % F.lit(1 << 31)).alias("hash"), F.col(text_col).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
 
     def find(batches):
         for batch in pieces(batches, "text"):
@@ -69,21 +98,19 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             found, n = np.unique(hashes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["anchor", "n"])
 
-    twice = stage(slim.select("text").mapInArrow(find, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
+    twice = stage(docs.select("text").mapInArrow(find, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     wanted = spark.sparkContext.broadcast(bitmap(twice, F.col("anchor"), twice.count()))
     drop(twice)
 
     def edges(batches):
-        """Rows of kind 1: an edge with one place in its piece; 2: one that recurs there; 3: a path of edges settled there."""
-        marks = wanted.value
-        cols = ["one", "two", "kind", "id", "hash", "start", "n"]
+        """Rows of kind 1: a window with one place in its piece; 2: one that recurs; 3: a run of windows settled here."""
+        marks, seen = wanted.value, Seen()
+        cols = ["one", "two", "kind", "key", "key2", "start", "n"]
 
         def rows(batch, ptr, kind, at, n, one, two):
             doc = np.searchsorted(ptr, at, side="right") - 1
             d = pa.array(doc)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(kind.astype(np.int8)), batch.column("id").take(d), batch.column("hash").take(d), pa.array((at - ptr[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], names=cols
-            )
+            return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), pa.array(kind.astype(np.int8)), batch.column("key").take(d), batch.column("key2").take(d), pa.array((at - ptr[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], names=cols)
 
         for batch in pieces(batches, "text"):
             words, ptr = _words(batch.column("text"))
@@ -91,56 +118,166 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             at = first[inside(marks, least.view(np.int64))] if len(first) else first
             if not len(at):
                 continue
-            one, two = WINDOW(words, at, at + window), WINDOW2(words, at, at + window)
+            one, two = WINDOW(words, at, at + window), (WINDOW2(words, at, at + window) >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((two, one))
             new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
             begin = np.flatnonzero(new)
             length = np.diff(np.concatenate([begin, [len(at)]]))
-            settled, head = np.empty(len(at), bool), np.zeros(len(at), bool)
-            settled[order] = np.repeat(length > 1, length)
-            head[order[begin]] = True
+            heads = order[begin]
+            many = length > 1
+            met, tell = seen.meet(one[heads], two[heads], many)
+            settled = np.empty(len(at), bool)
+            settled[order] = np.repeat(many | met, length)
             here = at[settled]
             if len(here):
                 doc = np.searchsorted(ptr, here, side="right") - 1
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(doc) != 0)]))
                 n = np.diff(np.concatenate([cut, [len(here)]]))
                 yield rows(batch, ptr, np.full(len(cut), 3), here[cut], n, one[settled][cut] + np.arange(len(cut), dtype=np.uint64), two[settled][cut])
-            sent = head  # in the order of the text, so documents' names pack well
-            yield rows(batch, ptr, np.where(settled[sent], 2, 1), at[sent], np.ones(int(sent.sum())), one[sent], two[sent])
+            kind = np.zeros(len(at), np.int8)
+            kind[heads] = np.where(tell, 2, np.where(many | met, 0, 1))
+            sent = kind > 0  # in the order of the text, so documents' names pack well
+            yield rows(batch, ptr, kind[sent], at[sent], np.ones(int(sent.sum())), one[sent], two[sent])
+
+    found = docs.select("key", "key2", "text").mapInArrow(edges, "one long, two int, kind byte, key long, key2 int, start int, n int")
+    # A window recurs if it has two rows. The settled runs go along, each alone.
+    same = Window.partitionBy("one", "two", F.col("kind") == 3)
+    found = found.withColumn("rows", F.count(F.lit(1)).over(same)).where("kind = 3 or kind = 1 and rows > 1")
+    return found.groupBy("key", "key2").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"))
+
+
+def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int) -> DataFrame:
+    """(key, key2, start, n, a, b, edge): the edges of the runs; start and n in words, a and b their nodes, edge the hash of
+    their words."""
+    spark = docs.sparkSession
+    marks = spark.sparkContext.broadcast(bitmap(runs, F.col("key"), runs.count(), 1 << 26))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(inside(marks.value, batch.column("key").to_numpy())))
+
+    joined = docs.select("key", "key2", "text").mapInArrow(some, "key long, key2 int, text string").dropDuplicates(["key", "key2"]).join(runs, ["key", "key2"])
+
+    def cut(batches):
+        for batch in pieces(batches, "text"):
+            words, ptr = _words(batch.column("text"))
+            nodes = WINDOW(words, np.arange(len(words) - k + 1), np.arange(len(words) - k + 1) + k) if len(words) >= k else np.zeros(0, np.uint64)
+            station = nodes % np.uint64(every) == 0
+            of = batch.column("runs")
+            doc = np.repeat(np.arange(batch.num_rows), of.value_lengths().to_numpy())
+            start = of.flatten().field("start").to_numpy() + ptr[doc]
+            end = start + of.flatten().field("n").to_numpy()
+            # Runs that go on in one another are one: ends of windows, in words, by document.
+            order = np.lexsort((start, doc))
+            doc, start, end = doc[order], start[order], end[order]
+            if not len(doc):
+                continue
+            reach = np.maximum.accumulate(end)  # places grow from document to document
+            new = np.flatnonzero(np.concatenate([[True], (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])]))
+            first, last = start[new], np.concatenate([reach[new[1:] - 1], reach[-1:]]) - 1 + window - k
+            doc = doc[new]
+            # Nodes of each run: its first and last k-mer and the stations between.
+            at = np.flatnonzero(station)
+            low, high = np.searchsorted(at, first, side="right"), np.searchsorted(at, last)
+            inner = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)])[:-1], high - low) + np.arange((high - low).sum())
+            which = np.concatenate([np.arange(len(first)), np.repeat(np.arange(len(first)), high - low), np.arange(len(first))])
+            place = np.concatenate([first, at[inner], last])
+            order = np.lexsort((place, which))
+            which, place = which[order], place[order]
+            one = np.flatnonzero(which[1:] == which[:-1])
+            p, q = place[one], place[one + 1]
+            d = doc[which[one]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(d)), batch.column("key2").take(pa.array(d)), pa.array((p - ptr[d]).astype(np.int32)), pa.array((q - p).astype(np.int32)), pa.array(nodes[p].view(np.int64)), pa.array(nodes[q].view(np.int64)), pa.array(WINDOW2(words, p, q + k).view(np.int64))],
+                names=["key", "key2", "start", "n", "a", "b", "edge"],
+            )
+
+    return joined.mapInArrow(cut, "key long, key2 int, start int, n int, a long, b long, edge long")
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """(edge, path, offset) of distinct edges (edge, a, b, n): the nonbranching path that an edge is on, named by its first
+    edge, and how many words into it. Edges on a cycle without a branch are paths of their own."""
+    ins = edges.groupBy(F.col("b").alias("v")).agg(F.min("edge").alias("into"), F.min("n").alias("n"), F.count(F.lit(1)).alias("ins"))
+    outs = edges.groupBy(F.col("a").alias("v")).agg(F.min("edge").alias("edge"), F.count(F.lit(1)).alias("outs"))
+    before = ins.where("ins = 1").join(outs.where("outs = 1"), "v").where("into <> edge").select("edge", F.col("into").alias("to"), "n")
+    # to: the edge reached so far, going back; done: it is the first of its path.
+    at = stage(edges.select("edge").join(before, "edge", "left").select("edge", F.coalesce("to", "edge").alias("to"), F.coalesce("n", F.lit(0)).cast("long").alias("offset"), F.col("to").isNull().alias("done")))
+    left = at.where("not done").count()
+    while left:
+        far = at.select(F.col("edge").alias("to"), F.col("to").alias("next"), F.col("offset").alias("more"), F.col("done").alias("ends"))
+        moved = at.where("not done").join(far, "to").select("edge", F.col("next").alias("to"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"))
+        new = stage(at.where("done").unionByName(moved))
+        drop(at)
+        at, was, left = new, left, new.where("not done").count()
+        if left == was:  # each round resolves the edges twice as far from the first as before: these are cycles
+            break
+    alone = ~F.col("done")
+    return at.select("edge", F.when(alone, F.col("edge")).otherwise(F.col("to")).alias("path"), F.when(alone, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
 
-    found = slim.mapInArrow(edges, f"one long, two int, kind byte, id {kind}, hash long, start int, n int")
-    # An edge recurs if it has two rows: pieces give one row for it each. The settled paths go along, each alone.
-    edge = Window.partitionBy("one", "two", F.col("kind") == 3)
-    found = found.withColumn("rows", F.count(F.lit(1)).over(edge)).where("kind = 3 or kind = 1 and rows > 1")
-    return found.groupBy("id", "hash").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, every: int = 16) -> DataFrame:
+    """(key, key2, edges) of the documents with repeated windows; edges is an array of (path, base, start, end).
+
+    Words start to end of the document are an edge of the path, whose first word would stand at base: edges of one path and
+    base that touch are one place of the passage. keyed() gives key and key2 of a row.
+    """
+    named = keyed(docs, id_col, text_col)
+    runs = stage(repeated_windows(named, window, k))
+    places = stage(run_edges(named, runs, window, k, every))
+    drop(runs)
+    distinct = stage(places.groupBy("edge").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n")))
+    paths = stage(compact(distinct))
+    drop(distinct)
+    found = split_join(places, paths, ["edge"]).select("key", "key2", F.struct("path", (F.col("start") - F.col("offset")).alias("base"), "start", (F.col("start") + F.col("n") + k).alias("end")).alias("e"))
+    out = stage(found.groupBy("key", "key2").agg(F.sort_array(F.collect_list("e")).alias("edges")))
+    drop(places)
+    drop(paths)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, with_text: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256, spans[, kept_text]) of each document.
+    """(id, n_words, n_removed, kept_sha256, spans, paths[, kept_text]) of each document.
 
     Each word covered by a window of ``window`` words that starts anywhere else, in the same document too, is removed;
     windows are judged on the input. kept_text joins the words that are left by one space, spans are the removed ones
-    (start, end in words). Null texts have no words; texts of fewer words than a window keep all; overlapping and
-    repeated windows of one text count as starts of their own; of repeated rows each has a start in the others, so all
-    lose what a window covers. Exact but for collisions of 96-bit hashes.
+    (start, end in words), paths the passages with places there (path, start, end). Null texts have no words; texts of
+    fewer words than a window keep all; very long texts take part whole; overlapping and repeated windows of one text
+    count as starts of their own; of repeated rows each has a start in the others, so all lose what a window covers; an
+    empty table gives an empty table; other columns, whatever their names, don't matter. Exact but for collisions of 96-bit
+    hashes of windows (made of 64-bit hashes of words) and of rows.
     """
-    starts = stage(repeated_windows(docs, id_col, text_col, window, k)).withColumnsRenamed({"id": "_id", "hash": "_hash"})
-    slim = docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) % F.lit(1 << 31)).alias("hash"), F.col(text_col).alias("text"))
-    joined = slim.join(starts, slim["id"].eqNullSafe(starts["_id"]) & (slim["hash"] == starts["_hash"]), "left").select("id", "text", "starts")
-    kind = slim.schema["id"].dataType.simpleString()
+    found = repeated_passages(docs, id_col, text_col, window, k)
+    named = keyed(docs, id_col, text_col)
+    joined = named.join(found, ["key", "key2"], "left").select("id", "text", "edges")
+    kind = named.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    of_path = pa.list_(pa.struct([("path", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def touching(edges):
+        """Places of paths: edges in order of path, base and start, joined where one goes on in the next."""
+        out: list[list[int]] = []
+        base = None
+        for e in edges or ():
+            if out and out[-1][0] == e["path"] and base == e["base"] and e["start"] <= out[-1][2]:
+                out[-1][2] = max(out[-1][2], e["end"])
+            else:
+                out.append([e["path"], e["start"], e["end"]])
+                base = e["base"]
+        return out
 
     def cut(batches):
-        for batch in batches:
-            n_words, removed, digests, found, kept = [], [], [], [], []
-            for text, paths in zip(batch.column("text"), batch.column("starts").to_pylist(), strict=True):
+        for batch in pieces(batches, "text"):
+            n_words, removed, digests, found, places, kept = [], [], [], [], [], []
+            for text, edges in zip(batch.column("text"), batch.column("edges").to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
+                own = touching(edges)
                 gone: list[list[int]] = []
-                for p in paths or ():
-                    if gone and gone[-1][1] >= p["start"]:
-                        gone[-1][1] = max(gone[-1][1], p["start"] + p["n"] + window - 1)
+                for s, e in sorted((s, e) for _, s, e in own):
+                    if gone and gone[-1][1] >= s:
+                        gone[-1][1] = max(gone[-1][1], e)
                     else:
-                        gone.append([p["start"], p["start"] + p["n"] + window - 1])
+                        gone.append([s, e])
                 left, at = [], 0
                 for s, e in gone:
                     left += words[at:s]
@@ -151,8 +288,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 removed.append(len(words) - len(left))
                 digests.append(hashlib.sha256(joined).hexdigest())
                 found.append([{"start": s, "end": e} for s, e in gone])
+                places.append([{"path": p, "start": s, "end": e} for p, s, e in own])
                 kept.append(joined.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(found, span), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(found, span), pa.array(places, of_path), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "paths", "kept_text"]
+            )
 
-    out = joined.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string").withColumnRenamed("id", id_col)
+    out = joined.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, paths array<struct<path:long,start:long,end:long>>, kept_text string").withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept_text")

@@ -4,15 +4,20 @@ Two documents link when the Jaccard similarity of their sets of word n-grams rea
 share of its set with the other. Sets are known by 64-bit hashes of their n-grams, equal sets by a hash of the set.
 
 1. Each set's least hashes (a prefix that linked sets must share a number of) go by hash; a set that shares too few with
-   any other has no links. What is frequent is settled where the rows are read, so a hot n-gram sends two rows a piece.
-2. Of the sets left, n-grams are ordered by frequency: the rare lists of a set are its prefix, the frequent ones need no
-   merging. Sets that share a rare list, directly or by others, form a block; links never leave a block.
-3. Within a block: rare lists are merged and counted, long lists are probed by binary search for the candidates that
-   could still reach the overlap.
+   any other has no links. What recurs is settled where the rows are read, so a hot n-gram sends some rows a task.
+2. Of the sets left, each n-gram has an inverted list, and a set's lists are ordered by length. If a set of n must share T
+   n-grams, all but its T - 1 longest lists are short: what links with it stands in one of them.
+3. In rounds, some members of each short list are its heads, twice as many in each round, until all have been. Members of
+   other components than a head are searched for it: the heads' sets are indexed in small buckets, and a query merges its
+   short lists there with a heap, and looks the candidates up in its long lists by binary search. Links join components,
+   and a list whose members are all in one is done. So a group of near copies meets some heads, not all of itself, and
+   only sets that stay apart meet each other.
 """
 
 from __future__ import annotations
 
+import heapq
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bitmaps import bitmap, inside
-from lattica.llm.graph import Union, components
+from lattica.llm.graph import components
+from lattica.llm.skew import split_join
 from lattica.llm.staging import drop, stage
-from lattica.llm.textops import LOWER, WINDOW, mix, pieces, raw, spans, windows, word_hashes
+from lattica.llm.textops import LOWER, WINDOW, mix, pieces, raw, spans, tidy, windows, word_hashes
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +78,36 @@ class Need:
         return 100 * overlap >= self.percent * (n + m - overlap)
 
 
+class _Met:
+    """What a task has met: a table of bounded size. state 1: once, sent; 2: again by another set, sent. What it forgets is
+    sent again."""
+
+    def __init__(self, bits: int = 20):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.value, self.by = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        self.state = np.zeros(1 << bits, np.int8)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (mix(values) & self.mask).astype(np.int64)
+        return slot, (self.state[slot] > 0) & (self.value[slot] == values)
+
+    def put(self, slot: np.ndarray, values: np.ndarray, by: np.ndarray, state: np.ndarray) -> None:
+        free = (self.state[slot] < 2) | (values & np.uint64(15) == 0)
+        at = slot[free]
+        self.value[at], self.by[at], self.state[at] = values[free], by[free], state[free]
+
+
 def _first_pass(text: str, n: int, need: Need):
     def run(batches):
+        sets, seen = _Met(18), _Met()
         for batch in pieces(batches, text):
             values, begin = shingle_sets(batch.column(text), n)
             names, size = set_names(values, begin), np.diff(begin)
             _, one = np.unique(names, return_index=True)
             one = one[size[one] > 0]
+            slot, old = sets.find(names[one].view(np.uint64))  # equal sets have sent their n-grams already
+            sets.put(slot[~old], names[one[~old]].view(np.uint64), names[one[~old]], np.ones(int((~old).sum()), np.int8))
+            one = one[~old]
             take = np.minimum(need.prefix(size[one]), size[one])
             index = np.repeat(begin[one] - np.concatenate([[0], np.cumsum(take)])[:-1], take) + np.arange(take.sum())
             hashes, owner = values[index], np.repeat(one, take)
@@ -88,9 +117,14 @@ def _first_pass(text: str, n: int, need: Need):
             first = np.flatnonzero(new)
             length = np.diff(np.concatenate([first, [len(hashes)]]))
             rank = np.arange(len(hashes)) - np.repeat(first, length)
-            shared = np.repeat(length > 1, length)
+            slot, met = seen.find(hashes[first])
+            met &= seen.by[slot] != names[owner[first]]
+            told = met & (seen.state[slot] == 2)  # two sets have sent it from here: that is enough for all tasks
+            seen.state[slot[met]] = 2
+            seen.put(slot[~met], hashes[first[~met]], names[owner[first[~met]]], np.where(length[~met] > 1, 2, 1).astype(np.int8))
+            shared = np.repeat((length > 1) | met, length)
             local = np.bincount(owner[shared], minlength=len(names))
-            sent = np.flatnonzero(rank < 2)
+            sent = np.flatnonzero((rank < 2) & ~np.repeat(told, length))
             sent = sent[np.argsort(owner[sent], kind="stable")]  # a set's rows together: its name packs well
             m = len(sent)
             d = batch.num_rows
@@ -106,13 +140,16 @@ def _first_pass(text: str, n: int, need: Need):
 def _second_pass(text: str, n: int, words):
     def run(batches):
         wanted = words.value
+        sets = _Met(18)
         for batch in batches:
             batch = batch.filter(pa.array(inside(wanted, batch.column("hash").to_numpy(zero_copy_only=False))))
             for piece in pieces([batch] if batch.num_rows else [], text):
                 values, begin = shingle_sets(piece.column(text), n)
                 names, one = np.unique(set_names(values, begin), return_index=True)
-                one = one[names != 0]
-                names = names[names != 0]
+                one, names = one[names != 0], names[names != 0]
+                slot, old = sets.find(names.view(np.uint64))
+                sets.put(slot[~old], names[~old].view(np.uint64), names[~old], np.ones(int((~old).sum()), np.int8))
+                one, names = one[~old], names[~old]
                 grams = [values[begin[i] : begin[i + 1]].view(np.int64) for i in one]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(grams, pa.list_(pa.int64()))], names=["name", "grams"])
 
@@ -120,101 +157,157 @@ def _second_pass(text: str, n: int, words):
 
 
 class Index:
-    """Inverted lists of a block's sets, each n-gram a small number, and T-occurrence search over them."""
+    """Inverted lists of some sets of hashes, and T-occurrence search over them."""
 
     def __init__(self, sets: list[np.ndarray], need: Need):
-        self.need = need
-        self.size = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
+        self.need, self.size = need, [len(s) for s in sets]
         owner = np.repeat(np.arange(len(sets)), self.size)
-        _, code = np.unique(flat, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        self.owner = owner[order]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
-        self.codes = np.split(code, np.cumsum(self.size)[:-1])
-
-    def list(self, code: int) -> np.ndarray:
-        return self.owner[self.begin[code] : self.begin[code + 1]]
-
-    def search(self, q: int, percent: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Sets that reach the similarity with set q, and the overlaps: DivideSkip."""
-        need = self.need if percent is None else Need(percent)
-        codes = self.codes[q]
-        length = self.begin[codes + 1] - self.begin[codes]
-        codes = codes[np.argsort(length, kind="stable")]
-        least = int(need.share(len(codes)))
-        skip = max(0, least - 1)  # so many long lists a result can be in without being in a short one
-        short, long = codes[: len(codes) - skip], codes[len(codes) - skip :]
-        merged = np.concatenate([self.list(c) for c in short])
-        found, overlap = np.unique(merged, return_counts=True)
-        keep = (found != q) & (100 * self.size[found] >= need.percent * len(codes)) & (need.percent * self.size[found] <= 100 * len(codes))
-        found, overlap = found[keep], overlap[keep]
-        left = len(long)
-        for c in long:
-            if not len(found):
-                break
-            at = self.list(c)
-            i = np.searchsorted(at, found)
-            overlap = overlap + (at[np.minimum(i, len(at) - 1)] == found)
-            left -= 1
-            could = need.linked(overlap + left, len(codes), self.size[found])
-            if not could.all():
-                found, overlap = found[could], overlap[could]
-        keep = need.linked(overlap, len(codes), self.size[found])
-        return found[keep], overlap[keep]
-
-
-def block_components(sets: list[np.ndarray], percent: int) -> list[int]:
-    """Least index that each set of a block reaches by links.
-
-    Leaders first: a set that links with a leader follows it, another becomes one. As 1 - Jaccard is a metric, a set can
-    link beyond its own component only if it is within twice the threshold's distance of a leader there; only those
-    sets are searched against the block.
-    """
+        self.grams, code = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+        self.n = max(1, len(sets))
+        self.keys = np.sort(code * self.n + owner)  # the lists one after the other, each in order of its members
+        self.begin = np.searchsorted(self.keys, np.arange(len(self.grams) + 1) * self.n)
+
+    def search(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """(set, overlap) of the sets that link with the query: DivideSkip.
+
+        The query's T - 1 longest lists are long, T being the least overlap. The short ones are merged with a heap, and
+        what they hold is looked up in the long ones by binary search.
+        """
+        n = len(query)
+        if not len(self.grams):
+            return []
+        at = np.minimum(np.searchsorted(self.grams, query), len(self.grams) - 1)
+        codes = at[self.grams[at] == query]
+        least = int(self.need.share(n))
+        if len(codes) < least:
+            return []
+        codes = codes[np.argsort(self.begin[codes + 1] - self.begin[codes], kind="stable")]
+        short, long = codes[: len(codes) - least + 1], codes[len(codes) - least + 1 :]
+        merged = heapq.merge(*[(self.keys[self.begin[c] : self.begin[c + 1]] % self.n).tolist() for c in short.tolist()])
+        out = []
+        for one, times in groupby(merged):
+            m = self.size[one]
+            if 100 * m < self.need.percent * n or 100 * n < self.need.percent * m:
+                continue
+            wanted = long * self.n + one
+            found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            overlap = sum(1 for _ in times) + int((self.keys[found] == wanted).sum())
+            if self.need.linked(overlap, n, m):
+                out.append((one, overlap))
+        return out
+
+
+def _search(need: Need):
+    """Rows by (bucket, part, kind): the heads of a bucket (kind 0), then its queries. Gives links (a, b)."""
+
+    def run(batches):
+        here, heads, sets, index = None, [], [], None
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                a, b = [], []
+                places = zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True)
+                kinds, names, grams = batch.column("kind").to_pylist(), batch.column("name").to_pylist(), batch.column("grams")
+                for row, place in enumerate(places):
+                    if place != here:
+                        here, heads, sets, index = place, [], [], None
+                    own = grams[row].values.to_numpy()
+                    if kinds[row] == 0:
+                        heads.append(names[row])
+                        sets.append(own)
+                        continue
+                    if index is None:
+                        index = Index(sets, need)
+                    for k, _ in index.search(own):
+                        if heads[k] != names[row]:
+                            a.append(names[row])
+                            b.append(heads[k])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            tidy()
+
+    return run
+
+
+def _verify(pairs: DataFrame, grams: DataFrame, need: Need, per_bucket: int = 256, per_part: int = 4096) -> DataFrame:
+    """Links among candidate pairs (name, head): the heads go into buckets of about ``per_bucket``, whose queries go into
+    parts of about ``per_part``, each with the bucket's index."""
+    heads = pairs.select("head").distinct()
+    n = max(1, -(-heads.count() // per_bucket))
+    bucket = F.pmod(F.xxhash64("head"), F.lit(n))
+    queries = stage(pairs.select(bucket.alias("bucket"), "name").distinct())
+    parts = stage(queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts")))
+    asked = split_join(queries, parts, ["bucket"]).select("bucket", F.pmod(F.hash("name"), F.col("parts")).alias("part"), F.lit(1).alias("kind"), "name")
+    told = heads.select(bucket.alias("bucket"), F.col("head").alias("name")).join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "name")
+    rows = told.unionByName(asked).join(grams, "name")
+    out = stage(rows.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket", "part").sortWithinPartitions("bucket", "part", "kind", "name").select("bucket", "part", "kind", "name", "grams").mapInArrow(_search(need), "a long, b long"))
+    drop(queries)
+    drop(parts)
+    return out
+
+
+def short_lists(grams: DataFrame, percent: int) -> DataFrame:
+    """(gram, n, name, size, u, part): each set's short lists, n being how many sets have the gram, and u a number in [0, 1)
+    of the set. A long list's members are in parts of some thousand."""
+    pairs = grams.select("name", F.explode("grams").alias("gram"))
+    lists = stage(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    ordered = split_join(pairs, lists, ["gram"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("of"))
+    size = F.size("grams")
+    spare = F.size("of") - F.ceil(size * percent / 100) + 1
+    u = F.pmod(F.xxhash64("name", F.lit(7)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    short = ordered.join(grams, "name").where(spare > 0).select("name", size.alias("size"), F.explode(F.slice("of", F.lit(1), spare.cast("int"))).alias("x"))
+    out = stage(short.select("x.gram", "x.n", "name", "size", u.alias("u"), F.pmod(F.hash("name"), _parts(F.col("x.n"))).alias("part")))
+    drop(lists)
+    return out
+
+
+def _parts(n):
+    return F.ceil(n / 2048).cast("int")
+
+
+def linked_sets(grams: DataFrame, percent: int) -> DataFrame:
+    """(name, root) of sets (name, grams): root names the component of a set's links. Sets without short lists are left out."""
     need = Need(percent)
-    n = len(sets)
-    union = Union(n)
-    if n == 2:
-        if need.linked(len(np.intersect1d(sets[0], sets[1], assume_unique=True)), len(sets[0]), len(sets[1])):
-            union.join(0, 1)
-        return [union.find(i) for i in range(n)]
-    index = Index(sets, need)
-    lists: dict[int, list[int]] = {}
-    leaders: list[int] = []
-
-    def overlaps(i: int) -> tuple[np.ndarray, np.ndarray]:
-        hits = [k for c in index.codes[i].tolist() for k in lists.get(c, ())]
-        return np.unique(np.array(hits, np.int64), return_counts=True)
-
-    for i in range(n):
-        k, o = overlaps(i)
-        at = np.array(leaders, np.int64)[k] if len(k) else k
-        hit = np.flatnonzero(need.linked(o, len(sets[i]), index.size[at])) if len(k) else k
-        if len(hit):
-            for h in hit:
-                union.join(i, int(at[h]))
-        else:
-            for c in index.codes[i].tolist():
-                lists.setdefault(c, []).append(len(leaders))
-            leaders.append(i)
-    if len({union.find(x) for x in leaders}) > 1:
-        far = Need(max(0, 2 * percent - 100))
-        for i in range(n):
-            k, o = overlaps(i)
-            at = np.array(leaders, np.int64)[k]
-            near = at[far.linked(o, len(sets[i]), index.size[at])]
-            if any(union.find(int(x)) != union.find(i) for x in near):
-                for j in index.search(i)[0].tolist():
-                    union.join(i, j)
-    return [union.find(i) for i in range(n)]
+    members = short_lists(grams, percent)
+    roots = stage(members.groupBy("name").agg(F.first("name").alias("root")))
+    most = 2  # heads that a list has had by the end of the round
+    while True:
+        now = members.join(roots, "name")
+        was = 0 if most == 2 else most // 2
+        open_ = now.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where((F.col("low") < F.col("high")) & (F.col("n") > was))
+        open_ = open_.select("gram", F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1)).alias("part"))
+        left = stage(now.join(open_, ["gram", "part"]).where(F.col("u") * F.col("n") >= was))
+        if left.isEmpty():
+            break
+        is_head = F.col("u") * F.col("n") < most
+        heads = left.where(is_head).select("gram", F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1)).alias("part"), F.col("name").alias("head"), F.col("root").alias("other"), F.col("size").alias("m"))
+        like = (100 * F.col("m") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("m"))
+        pairs = left.join(heads, ["gram", "part"]).where((F.col("root") != F.col("other")) & like & (~is_head | (F.col("name") < F.col("head")))).select("name", "head").distinct()
+        pairs = stage(pairs)
+        drop(left)
+        if not pairs.isEmpty():
+            links = _verify(pairs, grams, need)
+            of = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
+            between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct()
+            joined = stage(components(between).select(F.col("node").alias("root"), F.col("root").alias("least")))
+            new = stage(split_join(roots, joined, ["root"], "left").select("name", F.coalesce("least", "root").alias("root")))
+            for table in (links, joined, roots):
+                drop(table)
+            roots = new
+        drop(pairs)
+        most *= 2
+    drop(members)
+    return roots
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id) of each document: the size of its set and the least id it reaches by links.
+    """(id, n_shingles, component_id, name) of each document: the size of its set, the least id it reaches by links, and
+    its set's hash (0 for the empty set), which with the id names a row for what follows.
 
     Documents with equal sets link. Null texts and texts without words have the empty set, link with nothing and are
-    their own component. Repeated rows are each returned. Exact but for collisions of 64-bit hashes. The id can be of
-    any type that has an order; rows of null id take part, and a component of such rows alone has null as its id.
+    their own component; very long texts take part whole. Repeated rows are each returned; of equal least ids any will
+    do. Exact but for collisions of 64-bit hashes. The id can be of any type that has an order; rows of null id take part,
+    and a component of such rows alone has null as its id. An empty table gives an empty table; other columns, whatever
+    their names, don't matter.
     """
     spark = docs.sparkSession
     need = Need(percent)
@@ -225,40 +318,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_gram = Window.partitionBy("gram")
     shared = rows.where("gram is not null").select("gram", "name", "open").withColumn("few", F.min("name").over(by_gram) == F.max("name").over(by_gram)).where("not few and open = 1").groupBy("name").agg(F.count(F.lit(1)).alias("shared"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * percent / 100) / 8))
-    sets = documents.where("name <> 0").groupBy("name").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.max("local").alias("local"))
+    sets = stage(documents.where("name <> 0").groupBy("name").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.max("local").alias("local")))
     names = stage(sets.join(shared, "name", "left").where(F.col("local") + F.coalesce("shared", F.lit(0)) >= least).select("name", "id", "size"))
     drop(rows)
     hashed = F.xxhash64("id")
     wanted = spark.sparkContext.broadcast(bitmap(names, hashed, names.count(), 1 << 26))
     grams = slim.withColumn("hash", hashed).mapInArrow(_second_pass("text", n, wanted), "name long, grams array<long>")
     grams = stage(grams.join(names.select("name"), "name", "left_semi").groupBy("name").agg(F.first("grams").alias("grams")))
-    pairs = grams.select("name", F.explode("grams").alias("gram"))
-    ordered = pairs.withColumn("lists", F.count(F.lit(1)).over(by_gram)).where("lists > 1").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("lists", "gram"))).alias("of"))
-    size = F.size("grams")
-    spare = F.size("of") - F.ceil(size * percent / 100) + 1
-    prefix = stage(ordered.join(grams, "name").where(spare > 0).select("name", F.explode(F.slice("of", F.lit(1), spare.cast("int"))).alias("x")).select("name", "x.gram"))
-    heads = prefix.groupBy("gram").agg(F.min("name").alias("head"))
-    edges = prefix.join(heads, "gram").where("name <> head").select(F.col("name").alias("a"), F.col("head").alias("b")).distinct()
-    blocks = components(edges).withColumnRenamed("root", "block").withColumnRenamed("node", "name")
-
-    def link(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("name").to_numpy())
-        names = table.column("name").to_numpy()[order]
-        grams = table.column("grams").combine_chunks()
-        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-        flat, off = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-        sets = [flat[off[i] : off[i + 1]] for i in order]
-        return pa.table({"name": pa.array(names), "root": pa.array(names[block_components(sets, percent)])})
-
-    roots = stage(grams.join(blocks, "name").groupBy("block").applyInArrow(link, "name long, root long"))
-    for table in (names, grams, prefix):
+    drop(names)
+    roots = linked_sets(grams, percent)
+    drop(grams)
+    of_set = stage(sets.select("name", F.col("id").alias("low")).join(roots, "name", "left").select("name", "low", F.coalesce("root", "name").alias("root")))
+    lowest = stage(of_set.groupBy("root").agg(F.min("low").alias("component_id")))
+    of_set = stage(split_join(of_set, lowest, ["root"]).select("name", "component_id"))
+    for table in (lowest, roots, sets):
         drop(table)
-    of_set = documents.where("name <> 0").groupBy("name").agg(F.min("id").alias("low")).join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    lowest = of_set.groupBy("root").agg(F.min("low").alias("component"))
-    of_set = of_set.join(lowest, "root").select("name", "component")
-    linked = documents.where("name <> 0").join(of_set, "name").select("id", "size", "component")
-    out = linked.unionByName(documents.where("name = 0").select("id", "size", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    linked = split_join(documents.where("name <> 0").select("id", "size", "name"), of_set, ["name"])
+    out = linked.select("id", "size", "name", "component_id").unionByName(documents.where("name = 0").select("id", "size", "name", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), "component_id", "name")
 
 
-__all__ = ["Index", "Need", "block_components", "ngram_join", "shingle_sets"]
+__all__ = ["Index", "Need", "linked_sets", "ngram_join", "shingle_sets"]

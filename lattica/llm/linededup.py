@@ -12,11 +12,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bitmaps import bitmap, inside
 from lattica.llm.graph import Union, components
+from lattica.llm.skew import split_join
 from lattica.llm.staging import drop, stage
 from lattica.llm.textops import BYTES, mix, pieces, raw, tidy
 
@@ -151,67 +152,109 @@ def within(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def group_links(names: np.ndarray, probe: np.ndarray, codes: list[np.ndarray], k: int) -> list[tuple[int, int]]:
-    """Links of a group of lines that met at a key, enough of them to join all that link: its index rows by its probes."""
-    index, probes = np.flatnonzero(probe == 0), np.flatnonzero(probe == 1)
-    place: dict[int, int] = {}
-    for i, name in enumerate(names.tolist()):
-        place.setdefault(name, i)
-    same = np.array([place[x] for x in names.tolist()])
-    union = Union(len(names))
-    out: list[tuple[int, int]] = []
-    for i in sorted(set(same[index].tolist())):
-        others = np.array(sorted({j for j in same[probes].tolist() if j != i and union.find(j) != union.find(i)}), np.int64)
-        for at in range(0, len(others), 50_000):
-            some = others[at : at + 50_000]
-            for j in some[within([codes[i]] * len(some), [codes[j] for j in some], k)].tolist():
-                if union.join(i, j):
-                    out.append((int(names[i]), int(names[j])))
-    return out
+class Group:
+    """Links between a group's index rows (at most some hundred, given first) and its probes, which come in batches:
+    enough of them to join all that link."""
+
+    def __init__(self, k: int):
+        self.k, self.names, self.codes = k, [], []
+        self.place: dict[int, int] = {}
+        self.up: Union | None = None
+
+    def add(self, name: int, codes: np.ndarray) -> None:
+        if name not in self.place:
+            self.place[name] = len(self.names)
+            self.names.append(name)
+            self.codes.append(codes)
+
+    def links(self, probes: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+        """A probe meets one line of each component of the index first, and the component's others if that doesn't link."""
+        if self.up is None:
+            self.up = Union(len(self.names))
+        out: list[tuple[int, int]] = []
+        for at in range(0, len(probes), 64):
+            some = probes[at : at + 64]
+            members: dict[int, list[int]] = {}
+            for i in range(len(self.names)):
+                members.setdefault(self.up.find(i), []).append(i)
+            own = {j: self.up.find(self.place[name]) if name in self.place else -1 for j, (name, _) in enumerate(some)}
+            todo = [(j, r) for j in range(len(some)) for r in members if own[j] != r]
+            joined: dict[int, list[int]] = {j: [r] if r >= 0 else [] for j, r in own.items()}
+            for rest in (False, True):
+                pairs = [(j, r, i) for j, r in todo for i in (members[r][1:] if rest else members[r][:1])]
+                linked = set()
+                for first in range(0, len(pairs), 50_000):
+                    part = pairs[first : first + 50_000]
+                    ok = within([self.codes[i] for _, _, i in part], [some[j][1] for j, _, _ in part], self.k)
+                    linked |= {(j, r, i) for (j, r, i), y in zip(part, ok.tolist(), strict=True) if y}
+                seen = set()
+                for j, r, i in sorted(linked):
+                    if (j, r) not in seen:
+                        seen.add((j, r))
+                        joined[j].append(r)
+                        out.append((self.names[i], some[j][0]))
+                todo = [x for x in todo if x not in seen]
+            for roots in joined.values():
+                for r in roots[1:]:
+                    self.up.join(roots[0], r)
+        return out
 
 
 def _verify(k: int):
+    """Rows (key, part, probe, name, line) in this order; gives links (a, b)."""
+
     def run(batches):
-        def links(key, names, probe, texts):
-            cut = np.flatnonzero(np.diff(key)) + 1
-            small_a, small_b, out = [], [], []
-            codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-            seen: set[tuple[int, int]] = set()
-            for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(key)]]).tolist(), strict=True):
-                if (e - s) > 40:
-                    out += group_links(names[s:e], probe[s:e], codes[s:e], k)
-                    continue
-                for i in range(s, e):
-                    if probe[i] == 0:
-                        for j in range(s, e):
-                            if probe[j] == 1 and names[i] != names[j]:
-                                pair = (int(min(names[i], names[j])), int(max(names[i], names[j])))
-                                if pair not in seen:
-                                    seen.add(pair)
-                                    small_a.append(i)
-                                    small_b.append(j)
-            ok = within([codes[i] for i in small_a], [codes[j] for j in small_b], k)
-            out += [(int(names[i]), int(names[j])) for i, j, y in zip(small_a, small_b, ok.tolist(), strict=True) if y]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
+        here, group, waiting = None, Group(k), []
+        one, two = [], []  # pairs of small groups, verified together
+        out: list[tuple[int, int]] = []
+        seen: set[tuple[int, int]] = set()
+
+        def settle():
+            ok = within([c for _, c in one], [c for _, c in two], k)
+            out.extend((a, b) for (a, _), (b, _), y in zip(one, two, ok.tolist(), strict=True) if y)
+            one.clear()
+            two.clear()
+            seen.clear()
+
+        def ask():
+            if len(group.names) > 40:
+                out.extend(group.links(waiting))
+            else:
+                for name, codes in waiting:
+                    for other, its in zip(group.names, group.codes, strict=True):
+                        pair = (min(name, other), max(name, other))
+                        if name != other and pair not in seen:
+                            seen.add(pair)
+                            one.append((other, its))
+                            two.append((name, codes))
+            waiting.clear()
+
+        def rows():
+            found = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+            out.clear()
+            return found
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key = batch.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # sorted: the last group may go on in the next batch
-            if last == 0 and held and held[-1].column("key")[0].as_py() == key[0]:
-                held.append(batch)
-                continue
-            ready = [*held, batch.slice(0, last)]
-            held = [batch.slice(last)]
-            table = pa.Table.from_batches(ready)
-            if table.num_rows:
-                yield links(table.column("key").to_numpy(), table.column("name").to_numpy(), table.column("probe").to_numpy(), table.column("line").to_pylist())
-                tidy()
-        if held:
-            table = pa.Table.from_batches(held)
-            yield links(table.column("key").to_numpy(), table.column("name").to_numpy(), table.column("probe").to_numpy(), table.column("line").to_pylist())
+            places = zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), strict=True)
+            for place, probe, name, line in zip(places, batch.column("probe").to_pylist(), batch.column("name").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if place != here:
+                    ask()
+                    here, group = place, Group(k)
+                codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+                if probe == 0:
+                    group.add(name, codes)
+                else:
+                    waiting.append((name, codes))
+                    if len(waiting) >= 1024:
+                        ask()
+                if len(one) >= 20_000:
+                    settle()
+            settle()
+            yield rows()
+            tidy()
+        ask()
+        settle()
+        yield rows()
         tidy()
 
     return run
@@ -247,10 +290,21 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = stage(slim.mapInArrow(cut, f"id {kind}, hash long, number int, name long, key long, probe int"))
     places = stage(rows.where("key is null").select("id", "hash", "number", "name"))
-    by_key = Window.partitionBy("key")
-    met = rows.where("key is not null").select("key", "name", "probe").withColumn("few", (F.min("name").over(by_key) == F.max("name").over(by_key)) | (F.min("probe").over(by_key) == F.max("probe").over(by_key)))
-    met = stage(met.where(~F.col("few")).select("key", "name", "probe").distinct())
+    # Keys of two lines at least, by partial sums; the few rows that have them; and of those the keys with both kinds of rows.
+    shared = stage(rows.where("key is not null").groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high").select("key"))
+    marks = spark.sparkContext.broadcast(bitmap(shared, F.col("key"), shared.count()))
+    drop(shared)
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(inside(marks.value, batch.column("key").to_numpy())))
+
+    near = stage(rows.where("key is not null").select("key", "name", "probe").mapInArrow(some, "key long, name long, probe int").distinct())
     drop(rows)
+    keys = stage(near.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.sum("probe").alias("probes"), F.count(F.lit(1)).alias("n")).where("low < high and probes > 0 and probes < n").select("key", F.ceil((F.col("n") - F.col("probes")) / 1024).cast("int").alias("parts")))
+    met = stage(split_join(near, keys, ["key"]))
+    for table in (near, keys):
+        drop(table)
     names = stage(met.select("name").distinct())
     wanted = spark.sparkContext.broadcast(bitmap(names, F.col("name"), names.count()))
 
@@ -263,8 +317,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(lines.name[one]), pa.array([lines.text(i) for i in one.tolist()], pa.string())], names=["name", "line"])
 
     line = stage(slim.select("text").mapInArrow(texts, "name long, line string").join(names, "name", "left_semi").groupBy("name").agg(F.min("line").alias("line")))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grouped = met.join(line, "name").repartition(parts, "key").sortWithinPartitions("key")
+    # A key's index rows go into parts of about 1024, and its probes to each of them.
+    own = F.array(F.pmod(F.hash("name"), F.col("parts")))
+    spread = met.withColumn("part", F.explode(F.when(F.col("probe") == 0, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grouped = spread.join(line, "name").select("key", "part", "probe", "name", "line").repartition(n, "key", "part").sortWithinPartitions("key", "part", "probe")
     links = stage(grouped.mapInArrow(_verify(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for table in (met, names, line):
         drop(table)
@@ -278,15 +335,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed lists the numbers of the others, first_ids the documents of the lines that stand for them. Lines of fewer
     than ``least`` code points (white space around not counted) link with none by edits; equal ones of ``shortest`` code
     points (``least`` if not given) are one line all the same, and those shorter still stay, as do lines of white space
-    alone. kept_text has the lines that stay.
+    alone. kept_text has the lines that stay; of ties nothing depends on the order of rows.
     Null text stays null and has no lines; empty text is one line. Rows of equal id and text count as one document and
-    fare alike. An empty table gives an empty table; very long lines take part whole.
+    fare alike. An empty table gives an empty table; very long lines and
+    texts take part whole; other columns of docs, whatever their names, don't matter.
     """
     places, classes = line_classes(docs, id_col, text_col, threshold, least, shortest)
-    of = places.join(classes, "name", "left").withColumn("class", F.coalesce("root", "name")).drop("root")
+    of = stage(split_join(places, classes, ["name"], "left").select("id", "hash", "number", F.coalesce("root", "name").alias("class")))
     here = F.struct("id", "number", "hash")
-    first = of.groupBy("class").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    gone = of.join(first, "class").where(~here.eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.array_sort(F.collect_set(F.struct("number", F.col("first.id").alias("first")))).alias("gone"))
+    first = stage(of.groupBy("class").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("class", "first"))
+    gone = split_join(of, first, ["class"]).where(~here.eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.array_sort(F.collect_set(F.struct("number", F.col("first.id").alias("first")))).alias("gone"))
+    gone = stage(gone)
+    for table in (places, classes, of, first):
+        drop(table)
     slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     joined = slim.join(gone, slim["id"].eqNullSafe(gone["_id"]) & (slim["hash"] == gone["_hash"]), "left").select("row", "text", "gone")
     numbers = F.transform("gone", lambda g: g["number"])

@@ -1,13 +1,14 @@
 """Tables written between steps, in the shared folder that ``spark.checkpoint.dir`` names.
 
-A written table cuts the lineage and survives the loss of any executor. The folder is read from the session; only where
-it is unset (tests, notebooks) a temporary folder of this process takes its place.
+A written table cuts the lineage and survives the loss of any executor. The folder is read from the session; only in
+local mode (tests, notebooks), where it may be unset, a temporary folder of this process takes its place.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="lattica-")
     return _own["dir"]

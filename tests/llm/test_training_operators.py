@@ -168,8 +168,16 @@ def test_big_group_of_lines_keeps_its_links():
             s[rng.randrange(20, 60)] = rng.choice("xyz")
         texts_.append("".join(s))
         names.append(i)
-    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts_] * 2
-    links = linededup.group_links(np.array(names * 2), np.array([0] * 80 + [1] * 80), codes, 2)
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts_]
+    group, links = linededup.Group(2), []
+    for i in range(0, 80, 2):
+        group.add(names[i], codes[i])
+    probes = list(zip(names, codes, strict=True))
+    links += group.links(probes[:30]) + group.links(probes[30:])
+    odd = linededup.Group(2)
+    for i in range(1, 80, 2):
+        odd.add(names[i], codes[i])
+    links += odd.links(probes)
     union, want = graph.Union(80), graph.Union(80)
     for a, b in links:
         union.join(a, b)
@@ -288,7 +296,7 @@ def test_ngram_join(docs, plain):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
-def test_block_components_are_exact():
+def near_copy_sets():
     rng = np.random.default_rng(2)
     sets = []
     for _ in range(6):
@@ -297,18 +305,119 @@ def test_block_components_are_exact():
             s = s.copy()
             s[rng.integers(0, 80, rng.integers(1, 14))] = rng.integers(4000, 40000, 1)
             sets.append(np.unique(s))
-    order = rng.permutation(len(sets))
-    sets = [sets[i] for i in order]
-    got, union = ngramjoin.block_components(sets, 75), graph.Union(len(sets))
+    return [sets[i] for i in rng.permutation(len(sets))]
+
+
+def test_divide_skip_search_is_exact():
+    sets = near_copy_sets()
+    index = ngramjoin.Index(sets, ngramjoin.Need(75))
+    for q in (*sets[::7], np.array([1]), np.array([], np.int64)):
+        want = {(j, o) for j, s in enumerate(sets) if (o := len(np.intersect1d(q, s))) and 100 * o >= 75 * (len(q) + len(s) - o)}
+        assert set(index.search(q)) == want
+    assert ngramjoin.Index([], ngramjoin.Need(75)).search(sets[0]) == []
+
+
+def test_linked_sets_are_exact(spark):
+    """Groups of sets that link in chains, over many buckets, parts and rounds."""
+    sets = near_copy_sets()
+    rows = [(1000 + 7 * i, s.tolist()) for i, s in enumerate(sets)]
+    grams = spark.createDataFrame(rows, "name long, grams array<long>").repartition(3)
+    got = {r["name"]: r["root"] for r in ngramjoin.linked_sets(grams, 75).collect()}
+    union = graph.Union(len(sets))
     for i, a in enumerate(sets):
         for j in range(i):
             o = len(np.intersect1d(a, sets[j]))
             if 100 * o >= 75 * (len(a) + len(sets[j]) - o):
                 union.join(i, j)
-    assert got == [union.find(i) for i in range(len(sets))]
-    index = ngramjoin.Index(sets, ngramjoin.Need(75))
-    found, overlap = index.search(3)
-    assert {(j, o) for j, o in zip(found.tolist(), overlap.tolist(), strict=True)} == {(j, o) for j, s in enumerate(sets) if j != 3 and 100 * (o := len(np.intersect1d(sets[3], s))) >= 75 * (len(sets[3]) + len(s) - o)}
+    assert all(got.get(name, name) == rows[union.find(i)][0] for i, (name, _) in enumerate(rows))
+    pairs = spark.createDataFrame([(rows[i][0], rows[j][0]) for i in range(60) for j in range(60, 90)], "name long, head long")
+    links = {(r["a"], r["b"]) for r in ngramjoin._verify(pairs, grams, ngramjoin.Need(75), per_bucket=4, per_part=7).collect()}
+    want = set()
+    for i in range(60):
+        for j in range(60, 90):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
+                want.add((rows[i][0], rows[j][0]))
+    assert want and links == want
+
+
+def test_ngram_join_of_a_big_group(spark):
+    """Hundreds of near copies of one text, copies of them, texts that share half of it, and repeated and missing ids."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        x = list(base)
+        for _ in range(rng.randint(0, 4)):
+            x[rng.randrange(len(x))] = f"e{rng.randrange(1000)}"
+        rows.append((i % 250 if i % 9 else None, " ".join(x)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"u{i}_{k}" for k in range(60)])) for i in range(80)]
+    rows += [(2000, "two words"), (2001, "Two Words"), (2002, "two words more"), (3000, "x " * 30_000)]
+    got = ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    sets = []
+    for _, t in rows:
+        x = lower(t).split()
+        sets.append(frozenset(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))))
+    distinct = sorted(set(sets), key=sets.index)
+    union = graph.Union(len(distinct))
+    for i, a in enumerate(distinct):
+        for j in range(i):
+            if 100 * len(a & distinct[j]) >= 75 * len(a | distinct[j]):
+                union.join(i, j)
+    root = {s: union.find(i) for i, s in enumerate(distinct)}
+    least = {}
+    for (d, _), s in zip(rows, sets, strict=True):
+        if d is not None:
+            least[root[s]] = min(d, least.get(root[s], d))
+    want = Counter((d, len(s), least.get(root[s])) for (d, _), s in zip(rows, sets, strict=True))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_what_a_task_has_met():
+    """A window or n-gram is told of at most twice while it is remembered, and forgotten ones count as new."""
+    seen = substring.Seen(4)
+    one, two = np.array([5, 9], np.uint64), np.array([1, 2], np.uint32)
+    assert [x.tolist() for x in seen.meet(one, two, np.array([False, True]))] == [[False, False], [False, True]]
+    assert [x.tolist() for x in seen.meet(one, two, np.array([False, False]))] == [[True, True], [True, False]]
+    assert [x.tolist() for x in seen.meet(one, two, np.array([True, False]))] == [[True, True], [False, False]]
+    met, tell = seen.meet(np.array([21], np.uint64), np.array([16], np.uint32), np.array([False]))  # takes the place of 5
+    assert not met[0] and not tell[0] and not seen.meet(one[:1], two[:1], np.array([False]))[0][0]
+
+
+def test_paths_of_the_graph(spark):
+    """Chains, a branch, a cycle and a lone edge; offsets in words."""
+    rows = [(k, k, k + 1, 10 + k) for k in range(40)]  # edge, a, b, n: one chain
+    rows += [(100, 200, 201, 3), (101, 201, 202, 4), (102, 201, 203, 5), (103, 202, 204, 6)]  # 201 branches
+    rows += [(300, 400, 401, 1), (301, 401, 402, 1), (302, 402, 400, 1), (500, 600, 601, 2), (700, 800, 800, 9)]
+    got = {r["edge"]: (r["path"], r["offset"]) for r in substring.compact(spark.createDataFrame(rows, "edge long, a long, b long, n int")).collect()}
+    want = {k: (0, sum(10 + j for j in range(k))) for k in range(40)} | {100: (100, 0), 101: (101, 0), 102: (102, 0), 103: (101, 4)}
+    assert got == want | {k: (k, 0) for k in (300, 301, 302, 500, 700)}
+
+
+def test_substrings_of_a_hot_passage(spark):
+    """A passage in every text, over many pieces and tasks; repeated words that make cycles; null and repeated ids."""
+    rng = random.Random(31)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = own(90)
+    rows = []
+    for i in range(300):
+        s, e = sorted(rng.sample(range(91), 2))
+        rows.append((None if i % 3 == 0 else i % 100, " ".join(own(rng.randint(0, 40)) + passage[s:e] + own(rng.randint(0, 40)))))
+    rows += [(400 + i, " ".join(["a b c"] * (12 + i))) for i in range(4)] + [(410, " ".join(["same"] * 80)), (411, " ".join(own(20_000) + passage))]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), with_text=True).collect()
+    words = [t.split() for _, t in rows]
+    places = Counter(tuple(x[i : i + 35]) for x in words for i in range(len(x) - 34))
+    want = Counter()
+    for (i, _), x in zip(rows, words, strict=True):
+        hit = np.zeros(len(x), bool)
+        for k in range(len(x) - 34):
+            if places[tuple(x[k : k + 35])] > 1:
+                hit[k : k + 35] = True
+        want[i, " ".join(w for w, h in zip(x, hit, strict=True) if not h)] += 1
+    assert Counter((r["doc_id"], r["kept_text"]) for r in got) == want
+    for r in got:
+        covered = {k for p in r["paths"] for k in range(p["start"], p["end"])}
+        assert covered == {k for s in r["spans"] for k in range(s["start"], s["end"])} and len(covered) == r["n_removed"]
 
 
 def test_components(spark):

@@ -76,7 +76,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(text_col)
     weight = F.coalesce((text_quality(text) if quality is None else quality).cast("double"), F.lit(0.05))
-    slim = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("rest"), F.col(source_col).alias("source"), words_in(text).alias("size"), weight.alias("weight"), uniform(seed, F.col(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u"))
+    slim = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("rest"), F.col(source_col).alias("source"), words_in(text).alias("size"), weight.alias("weight"), uniform(seed, F.col(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u"))
     positive = (F.col("weight") > 0) & ~F.isnan("weight")
     infinite = F.lit(float("inf"))
     key = F.when(positive, F.try_divide(-F.log("u"), F.col("weight"))).otherwise(infinite)

@@ -187,13 +187,17 @@ class LinOp:
         out = f(frame)
         return collected(out.withColumn("k", F.col("k") * x.shape[1] + F.col("rhs")).drop("rhs"), rows * x.shape[1]).reshape(rows, -1)
 
-    def matmat(self, x: np.ndarray) -> np.ndarray:
-        """All columns in one job, the column's number being a batch key."""
+    def matmat(self, x):
+        """All columns in one job, the column's number being a batch key; a frame has its columns as batch keys already."""
         self.matmat_count += 1
+        if isinstance(x, DataFrame):
+            return self._forward(x)
         return self._columns(np.asarray(x), self._forward, self.shape[1], self.shape[0])
 
-    def rmatmat(self, y: np.ndarray) -> np.ndarray:
+    def rmatmat(self, y):
         self.rmatmat_count += 1
+        if isinstance(y, DataFrame):
+            return self._adjoint(y)
         return self._columns(np.asarray(y), self._adjoint, self.shape[0], self.shape[1])
 
     def dot(self, x):

@@ -40,13 +40,13 @@ class ConvolveND(LinOp):
     def _send(self, df, sign):
         at = [coordinate(F.col("k"), self.dims, a) for a in range(len(self.dims))]
         shift = F.explode(F.array(*[F.struct(*[F.lit(sign * d).alias(f"d{j}") for j, d in enumerate(off)], F.lit(c).alias("c")) for off, c in self.taps]))
-        df = df.select(*batch(df), *[i.alias(f"i{a}") for a, i in enumerate(at)], *parts(df), shift.alias("t"))
-        ok, new = F.lit(True), [F.col(f"i{a}") for a in range(len(self.dims))]
+        df = df.select(*batch(df), *[i.alias(f"_i{a}") for a, i in enumerate(at)], *parts(df), shift.alias("_t"))
+        ok, new = F.lit(True), [F.col(f"_i{a}") for a in range(len(self.dims))]
         for j, a in enumerate(self.axes):
-            new[a] = new[a] + F.col(f"t.d{j}")
+            new[a] = new[a] + F.col(f"_t.d{j}")
             ok &= new[a].between(0, self.dims[a] - 1)
-        keys = [c for c in batch(df) if c != "t" and not (c[0] == "i" and c[1:].isdigit())]
-        return totalled(df.where(ok).select(*keys, position(new, self.dims).alias("k"), *[(F.col("t.c") * F.col(p)).alias(p) for p in parts(df)]))
+        keys = [c for c in batch(df) if c not in {"_t", *(f"_i{a}" for a in range(len(self.dims)))}]
+        return totalled(df.where(ok).select(*keys, position(new, self.dims).alias("k"), *[(F.col("_t.c") * F.col(p)).alias(p) for p in parts(df)]))
 
     def _forward(self, df):
         return self._send(df, 1)

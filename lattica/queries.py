@@ -306,7 +306,7 @@ def seismic_events(spark, sf_dir):
     from lattica.sources.generators import hyperbolic2d
 
     w = ricker(np.arange(15) * 0.004, 25)[0]
-    return grid(hyperbolic2d(spark, np.arange(40) * 10.0, np.arange(100) * 0.004, [0.1, 0.2], [1500.0, 1800.0], [1.0, -0.5], w), (40, 100))
+    return grid(hyperbolic2d(spark, np.arange(40) * 10.0, np.arange(100) * 0.004, [0.1, 0.2], [1500.0, 1800.0], [1.0, -0.5], w)[1], (40, 100))
 
 
 for _f in (first_derivative_smoothed, percentile_threshold, spmv, spmv_adjoint, normal_matvec, metrics_smoothed, taper_hanning, ricker_wavelet, lsqr_distributed, cgls_distributed, ista_distributed, shift_fractional, seismic_events):

@@ -6,24 +6,23 @@ Vectors are numpy arrays, or Frames: then they stay distributed, and each new it
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import metrics, thresholds
 from lattica.operators.basic import Diagonal, Identity, VStack
-from lattica.operators.core import LinOp, complexed, is_complex, parts, scaled, totalled, union
+from lattica.operators.core import LinOp, batch, collected, complexed, filled, is_complex, parts, scaled, totalled, union, vector
+from lattica.plans import storage
 
 
 class Frame:
-    """Distributed vector."""
+    """Distributed vector; path is where it is written, if it is."""
 
-    def __init__(self, df: DataFrame, size: int):
-        self.df, self.size = df, size
+    def __init__(self, df: DataFrame, size: int, path: str | None = None):
+        self.df, self.size, self.path = df, size, path
 
     def through(self, f: Callable) -> Frame:
         return Frame(f(self.df), self.size)
@@ -48,24 +47,43 @@ class Frame:
             return complex(x[0] or 0, x[1] or 0)
         return both.agg(F.sum(F.expr("a.v * b.v"))).first()[0] or 0.0
 
+    def sizes(self) -> Column:
+        """Modulus of each entry."""
+        return F.abs("v") if "v" in self.df.columns else F.hypot("re", "im")
+
     def norm(self) -> float:
         return float(np.sqrt(self.df.agg(F.sum(sum((F.col(p) * F.col(p) for p in parts(self.df)), F.lit(0.0)))).first()[0] or 0.0))
 
+    def norm1(self) -> float:
+        return float(self.df.agg(F.sum(self.sizes())).first()[0] or 0.0)
+
+    def percentile(self, q: float) -> float:
+        """Exact percentile of the entries' moduli, those that are 0 and have no row included."""
+        return thresholds.percentile(self.df.select(self.sizes().alias("x")), q, self.size)
+
+    def largest(self) -> int:
+        """Place of the largest modulus, the first of equal ones to a relative 1e-12."""
+        top = self.df.agg(F.max(self.sizes())).first()[0] or 0.0
+        return int(self.df.where(self.sizes() >= top * (1 - 1e-12)).agg(F.min("k")).first()[0] or 0)
+
     def kept(self) -> Frame:
-        spark = self.df.sparkSession
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-        path = f"{base}/lattica-vector-{uuid.uuid4().hex}"
-        self.df.write.parquet(path)
-        return Frame(spark.read.schema(self.df.schema).parquet(path), self.size)
+        df, path = storage.write(self.df)
+        return Frame(df, self.size, path)
+
 
+class FrameDiagonal(LinOp):
+    """Multiplies by a distributed vector; where it has no row, by ``rest``."""
 
-_folder: list[str] = []
+    def __init__(self, d: Frame, rest: float = 0.0):
+        super().__init__(d.size)
+        self.d, self.rest = d, float(rest)
 
+    def _forward(self, df):
+        d = self.d.df.select(F.col("k").alias("_k"), F.col("v").alias("_d"))
+        hit = df.join(d, F.col("k") == F.col("_k"), "left" if self.rest else "inner")
+        return hit.select(*batch(df), "k", *[(F.coalesce("_d", F.lit(self.rest)) * F.col(p)).alias(p) for p in parts(df)])
 
-def _own_folder() -> str:
-    if not _folder:
-        _folder.append("file://" + tempfile.mkdtemp(prefix="lattica-"))
-    return _folder[0]
+    _adjoint = _forward
 
 
 def dot(a, b):
@@ -145,20 +163,31 @@ class Solver:
         return 8 * vectors * max(self.op.shape)
 
     def run(self, x, niter: int):
+        """Steps; the vectors that a step leaves behind are deleted after it."""
         self._tell("run_begin", x)
+        since = getattr(self, "since", len(storage.written))
         while self.iiter < niter and not self.stop():
             self._tell("step_begin", x)
             x = self.step(x)
             self.iiter += 1
             self._tell("step_end", x)
+            storage.sweep(since, self._live(x, self))
         self._tell("run_end", x)
         return x
 
+    def _live(self, x, *holders) -> set[str]:
+        held = [x, *(v for h in (*holders, *self.callbacks) for v in vars(h).values())]
+        return {f.path for h in held for f in (h if isinstance(h, list) else [h]) if isinstance(f, Frame)}
+
     def solve(self, y, x0=None, niter: int = 10, **kwargs):
+        """setup() and run(); of distributed vectors only the solution (and what callbacks hold) stays written."""
+        self.since = len(storage.written)
         self._tell("setup_begin", x0)
         x = self.setup(y, x0, **kwargs)
         self._tell("setup_end", x)
-        return self.run(x, niter)
+        x = self.run(x, niter)
+        storage.sweep(self.since, self._live(x))
+        return x
 
     def _zero(self, y):
         if isinstance(y, Frame):
@@ -328,7 +357,7 @@ def _same_number(regs, dataregs, eps):
     dataregs = [None] * len(regs) if dataregs is None else list(dataregs)
     eps = [1.0] * len(regs) if eps is None else list(eps)
     if not len(regs) == len(dataregs) == len(eps):
-        raise ValueError("Regs, dataregs and epsRs must have the same number of elements")
+        raise ValueError(f"{len(regs)} regularisations, but {len(dataregs)} data and {len(eps)} weights for them")
     return dataregs, eps
 
 
@@ -399,9 +428,9 @@ class ISTA(Solver):
 
     def setup(self, y, x0=None, SOp=None, eps=0.1, alpha=None, tol=1e-10, threshkind="soft", perc=None, decay=None, monitorres=False):  # noqa: N803
         if threshkind not in ("soft", "hard", "half", *(f"{k}-percentile" for k in ("soft", "hard", "half"))):
-            raise NotImplementedError("threshkind should be hard, soft, half, or one of them with -percentile")
+            raise NotImplementedError(f"no threshold is called {threshkind}: soft, hard and half are known, alone or followed by -percentile")
         if threshkind.endswith("percentile") and perc is None:
-            raise ValueError("Provide a percentile when choosing thresholds by percentiles")
+            raise ValueError("a threshold by percentile needs perc")
         self.y, self.sop, self.tol, self.kind, self.perc, self.decay, self.monitor = y, SOp, tol, threshkind, perc, decay, monitorres
         if alpha is None:
             value = power_iteration(self.op.H @ self.op, 20, 1e-5)[0] if self.op.shape[1] > 1 else self.op.H.matvec(self.op.matvec(np.ones(1)))[0]
@@ -419,7 +448,8 @@ class ISTA(Solver):
         kind = self.kind.split("-")[0]
         f = getattr(thresholds, f"{kind}threshold")
         if self.perc is not None:
-            t = getattr(thresholds, f"{kind}_level")(np.percentile(np.abs(x), 100 - self.perc))
+            level = x.percentile(100 - self.perc) if isinstance(x, Frame) else np.percentile(np.abs(x), 100 - self.perc)
+            t = getattr(thresholds, f"{kind}_level")(level)
         if isinstance(x, Frame):
             return x.through(lambda df: thresholds.frame(df, kind, t))
         return f(x, t)
@@ -429,7 +459,7 @@ class ISTA(Solver):
         res = self.y - self.op @ at
         size = norm(res)
         if self.monitor and size > self.residual:
-            raise ValueError(f"ISTA stopped at iteration {self.iiter} due to residual increasing, consider modifying eps and/or alpha")
+            raise ValueError(f"the residual grew in step {self.iiter}: a smaller alpha or another eps is needed")
         self.residual = size
         new = at + self.alpha * (self.op.H @ res)
         new = self._shrink(new) if self.sop is None else self.sop @ self._shrink(self.sop.H @ new)
@@ -464,81 +494,185 @@ def fista(Op, y, x0=None, niter=10, **kwargs):  # noqa: N803
     return _sparse(FISTA, Op, y, x0, niter, **kwargs)
 
 
-def irls(Op, y, x0=None, nouter=10, threshR=False, epsR=1e-10, epsI=1e-10, tolIRLS=1e-10, kind="data", warm=False, niter=50):  # noqa: N803
-    """(x, outer iterations): weights 1/(|r| + eps), or 1/max(|r|, eps) with threshR, on data, model, or both."""
-    if kind not in ("data", "model", "datamodel"):
-        raise NotImplementedError("kind must be data, model or datamodel")
-    x, i = (np.zeros(Op.shape[1]) if x0 is None else np.ravel(x0)), 0
-    weight = lambda r, eps: 1.0 / np.maximum(np.abs(r), eps) if threshR else 1.0 / (np.abs(r) + eps)
-    for i in range(1, nouter + 1):  # noqa: B007
-        first = i == 1 and x0 is None
-        rw = np.ones(Op.shape[0]) if first or kind == "model" else weight(y - Op.matvec(x), epsR)
-        xw = np.ones(Op.shape[1]) if first or kind == "data" else np.abs(x)
-        root = Diagonal(np.sqrt(rw / rw.max()))
-        scale = xw / xw.max() if xw.max() > 0 else np.ones_like(xw)
-        start = x if warm and kind == "data" else None
-        if kind == "data":
-            new = normal_equations_inversion(root @ Op, root @ y, epsI=epsI, x0=start, niter=niter, tol=1e-14)[0]
+def _diagonal(w) -> LinOp:
+    return FrameDiagonal(w) if isinstance(w, Frame) else Diagonal(w)
+
+
+def _dense(x):
+    """All entries of a vector as rows."""
+    return Frame(filled(x.df, x.size), x.size) if isinstance(x, Frame) else x
+
+
+def _each(x, on_frame: Callable[[Column], Column], on_array: Callable):
+    """A real function of the entries' moduli."""
+    if isinstance(x, Frame):
+        return Frame(x.df.select("k", on_frame(x.sizes()).alias("v")), x.size)
+    return on_array(np.abs(x))
+
+
+def _top(x) -> float:
+    return float(x.df.agg(F.max("v")).first()[0] or 0.0) if isinstance(x, Frame) else float(np.max(x))
+
+
+def _nothing(like, n: int):
+    return Frame(like.df.limit(0), n) if isinstance(like, Frame) else np.zeros(n, complex if np.iscomplexobj(like) else float)
+
+
+class IRLS(Solver):
+    """Weights 1/(|r| + eps), or 1/max(|r|, eps) with threshR, on the data, or |x| on the model, or both; a step solves the
+    weighted system. Vectors may be distributed."""
+
+    def setup(self, y, x0=None, threshR=False, epsR=1e-10, epsI=1e-10, tolIRLS=1e-10, kind="data", warm=False, inner=50):  # noqa: N803
+        if kind not in ("data", "model", "datamodel"):
+            raise NotImplementedError(f"{kind} is no kind of weights: data, model and datamodel are")
+        self.y, self.thresh, self.eps_r, self.eps_i, self.tol, self.kind, self.warm, self.inner = y, threshR, epsR, epsI, tolIRLS, kind, warm, inner
+        self.first, self.change = x0 is None, np.inf
+        return _nothing(y, self.op.shape[1]) if x0 is None else x0 if isinstance(x0, Frame) else np.ravel(x0)
+
+    def stop(self):
+        return self.change < self.tol
+
+    def step(self, x):
+        op, y = self.op, self.y
+        if not (self.first or self.kind == "model"):
+            eps = self.eps_r
+            weigh = (lambda r: 1.0 / F.greatest(r, F.lit(eps)), lambda r: 1.0 / np.maximum(r, eps)) if self.thresh else (lambda r: 1.0 / (r + F.lit(eps)), lambda r: 1.0 / (r + eps))
+            w = keep(_each(_dense(y - op @ x), *weigh))
+            top = _top(w)
+            root = _diagonal(keep(_each(w, lambda v: F.sqrt(v / F.lit(top)), lambda v: np.sqrt(v / top))))
+            op, y = root @ op, root @ y
+        if self.kind == "data":
+            new = normal_equations_inversion(op, y, epsI=self.eps_i, x0=x if self.warm else None, niter=self.inner, tol=1e-14)[0]
+        elif self.first:
+            new = lsqr(op, y, damp=self.eps_i, niter=self.inner)[0]
         else:
-            p = Diagonal(scale)
-            new = scale * lsqr(root @ Op @ p, root @ y, damp=epsI, niter=niter)[0]
-        change = np.linalg.norm(new - x)
-        x = new
-        if change < tolIRLS:
-            break
-    return x, i
-
-
-def omp(Op, y, niter_outer=10, niter_inner=40, sigma=1e-4, normalizecols=False, optimal_coeff=False):  # noqa: N803
-    """(x, outer iterations, cost): matching pursuit, orthogonal if niter_inner > 0. Of equal correlations the first wins."""
-    res, cols, x, cost, i = y, [], np.zeros(Op.shape[1], y.dtype), [np.linalg.norm(y)], 0
-    lengths = np.linalg.norm(Op.todense(), axis=0) if normalizecols or optimal_coeff else None
-    for i in range(1, niter_outer + 1):  # noqa: B007
-        c = Op.rmatvec(res)
-        score = np.abs(c) / lengths if normalizecols else np.abs(c)
-        best = int(np.argmax(score >= score.max() * (1 - 1e-12)))
-        if niter_inner == 0:
-            step = c[best] / lengths[best] ** 2 if optimal_coeff else c[best]
-            x[best] += step
-            unit = np.zeros_like(x)
-            unit[best] = step
-            res = res - Op.matvec(unit)
+            size = _each(x, lambda v: v, lambda v: v)
+            top = _top(size) or 1.0
+            p = _diagonal(keep((1.0 / top) * size))
+            new = p @ lsqr(op @ p, y, damp=self.eps_i, niter=self.inner)[0]
+        new = keep(new)
+        self.first, self.change = False, norm(new - x)
+        return new
+
+
+def irls(Op, y, x0=None, nouter=10, threshR=False, epsR=1e-10, epsI=1e-10, tolIRLS=1e-10, kind="data", warm=False, niter=50, callback=()):  # noqa: N803
+    """(x, outer iterations): see IRLS."""
+    s = IRLS(Op, callback)
+    x = s.solve(y, x0, nouter, threshR=threshR, epsR=epsR, epsI=epsI, tolIRLS=tolIRLS, kind=kind, warm=warm, inner=niter)
+    return x, s.iiter
+
+
+class OMP(Solver):
+    """Matching pursuit, orthogonal if niter_inner > 0: a step takes the column of the largest correlation, the first of equal
+    ones. The columns chosen are held by the driver; data and correlations may be distributed. Norms of all columns (for
+    normalizecols and optimal_coeff) take the dense matrix."""
+
+    def setup(self, y, x0=None, niter_inner=40, sigma=1e-4, normalizecols=False, optimal_coeff=False):
+        self.y, self.res, self.inner, self.sigma = y, y, niter_inner, sigma
+        self.normalise, self.optimal = normalizecols, optimal_coeff
+        self.cols: list[int] = []
+        self.lengths = np.linalg.norm(self.op.todense(), axis=0) if normalizecols or optimal_coeff else None
+        self.cost = [norm(y)]
+        return _nothing(y, self.op.shape[1])
+
+    def stop(self):
+        return self.cost[-1] < self.sigma
+
+    def _put(self, values: dict[int, complex], like):
+        if isinstance(like, Frame):
+            out = np.array([values[k] for k in sorted(values)])
+            unit = vector(like.df.sparkSession, out)
+            at = like.df.sparkSession.createDataFrame(list(enumerate(sorted(values))), "k long, _to long")
+            return Frame(unit.join(F.broadcast(at), "k").select(F.col("_to").alias("k"), *parts(unit)), self.op.shape[1])
+        x = np.zeros(self.op.shape[1], complex if np.iscomplexobj(list(values.values())) else float)
+        x[list(values)] = list(values.values())
+        return x
+
+    def step(self, x):
+        c = keep(self.op.H @ self.res)
+        if isinstance(c, Frame):
+            inverse = FrameDiagonal(Frame(vector(c.df.sparkSession, 1.0 / self.lengths), c.size)) if self.normalise else None
+            best = (inverse @ c if self.normalise else c).largest()
         else:
-            if best not in cols:
-                cols.append(best)
-            part = lsqr(Op.apply_columns(cols), y, niter=niter_inner)[0]
-            x = np.zeros(Op.shape[1], part.dtype)
-            x[cols] = part
-            res = y - Op.matvec(x)
-        cost.append(np.linalg.norm(res))
-        if cost[-1] < sigma:
-            break
-    return x, i, np.array(cost)
-
-
-def splitbregman(Op, y, RegsL1, x0=None, niter_outer=3, niter_inner=5, RegsL2=(), dataregsL2=None, mu=1.0, epsRL1s=None, epsRL2s=None, tol=1e-10, tau=1.0, restart=False, niter=20):  # noqa: N803
-    """(x, outer iterations, cost): sparse in each R x of RegsL1, with squared terms of RegsL2."""
-    eps1 = [1.0] * len(RegsL1) if epsRL1s is None else list(epsRL1s)
-    dataregs2, eps2 = _same_number(RegsL2, dataregsL2, epsRL2s)
-    b, d = [np.zeros(r.shape[0]) for r in RegsL1], [np.zeros(r.shape[0]) for r in RegsL1]
-    x, cost, i = (np.zeros(Op.shape[1]) if x0 is None else np.ravel(x0)), [], 0
-    weights = [np.sqrt(e / 2) / np.sqrt(mu / 2) for e in eps2] + [np.sqrt(e / 2) / np.sqrt(mu / 2) for e in eps1]
-    dataregs2 = [np.zeros(r.shape[0]) if q is None else q for r, q in zip(RegsL2, dataregs2, strict=True)]
-    for i in range(1, niter_outer + 1):  # noqa: B007
-        old = x
-        for _ in range(niter_inner):
-            x = regularized_inversion(Op, y, [*RegsL2, *RegsL1], x0=None if restart else x, dataregs=[*dataregs2, *[p - q for p, q in zip(d, b, strict=True)]], epsRs=weights, niter=niter)[0]
-            rx = [r.matvec(x) for r in RegsL1]
-            d = [thresholds.softthreshold(v + q, e) for v, q, e in zip(rx, b, eps1, strict=True)]
-        b = [q + tau * (v - p) for q, v, p in zip(b, rx, d, strict=True)]
-        cost.append(0.5 * mu * np.linalg.norm(y - Op.matvec(x)) ** 2 + sum(e * np.abs(v).sum() for e, v in zip(eps1, rx, strict=True)))
-        if np.linalg.norm(x - old) < tol:
-            break
-    return x, i, np.array(cost)
+            score = np.abs(c) / self.lengths if self.normalise else np.abs(c)
+            best = int(np.argmax(score >= score.max() * (1 - 1e-12)))
+        if self.inner == 0:
+            if isinstance(c, Frame):
+                at = c.df.where(F.col("k") == best).first()
+                step = complex(at["re"], at["im"]) if is_complex(c.df) else at["v"]
+            else:
+                step = c[best]
+            unit = self._put({best: step / self.lengths[best] ** 2 if self.optimal else step}, self.y)
+            x, self.res = keep(x + unit), keep(self.res - self.op @ unit)
+        else:
+            if best not in self.cols:
+                self.cols.append(best)
+            part = lsqr(self.op.apply_columns(self.cols), self.y, niter=self.inner)[0]
+            part = collected(part.df, len(self.cols)) if isinstance(part, Frame) else part
+            x = keep(self._put(dict(zip(self.cols, part.tolist(), strict=True)), self.y))
+            self.res = keep(self.y - self.op @ x)
+        self.cost.append(norm(self.res))
+        return x
 
 
-def l1_project(x: np.ndarray, tau: float) -> np.ndarray:
-    """Nearest point of the L1 ball of radius tau."""
+def omp(Op, y, niter_outer=10, niter_inner=40, sigma=1e-4, normalizecols=False, optimal_coeff=False, callback=()):  # noqa: N803
+    """(x, outer iterations, cost): see OMP."""
+    s = OMP(Op, callback)
+    x = s.solve(y, None, niter_outer, niter_inner=niter_inner, sigma=sigma, normalizecols=normalizecols, optimal_coeff=optimal_coeff)
+    return x, s.iiter, np.array(s.cost)
+
+
+def soft(x, t: float):
+    return x.through(lambda df: thresholds.frame(df, "soft", t)) if isinstance(x, Frame) else thresholds.softthreshold(x, t)
+
+
+class SplitBregman(Solver):
+    """Sparse in each R x of RegsL1, with squared terms of RegsL2; vectors may be distributed."""
+
+    def setup(self, y, x0=None, RegsL1=(), niter_inner=5, RegsL2=(), dataregsL2=None, mu=1.0, epsRL1s=None, epsRL2s=None, tol=1e-10, tau=1.0, restart=False, niter_lsqr=20):  # noqa: N803
+        self.y, self.regs1, self.regs2, self.inner, self.niter = y, list(RegsL1), list(RegsL2), niter_inner, niter_lsqr
+        self.mu, self.tol, self.tau, self.restart, self.change = mu, tol, tau, restart, np.inf
+        self.eps1 = [1.0] * len(self.regs1) if epsRL1s is None else list(epsRL1s)
+        self.data2, eps2 = _same_number(self.regs2, dataregsL2, epsRL2s)
+        self.weights = [np.sqrt(e / 2) / np.sqrt(mu / 2) for e in eps2] + [np.sqrt(e / 2) / np.sqrt(mu / 2) for e in self.eps1]
+        self.b, self.d = [_nothing(y, r.shape[0]) for r in self.regs1], [_nothing(y, r.shape[0]) for r in self.regs1]
+        return _nothing(y, self.op.shape[1]) if x0 is None else x0 if isinstance(x0, Frame) else np.ravel(x0)
+
+    def stop(self):
+        return self.change < self.tol
+
+    def step(self, x):
+        old, rx = x, []
+        for _ in range(self.inner):
+            data = [*self.data2, *[p - q for p, q in zip(self.d, self.b, strict=True)]]
+            x = regularized_inversion(self.op, self.y, [*self.regs2, *self.regs1], x0=None if self.restart else x, dataregs=data, epsRs=self.weights, niter=self.niter)[0]
+            rx = [keep(r @ x) for r in self.regs1]
+            self.d = [keep(soft(v + q, e)) for v, q, e in zip(rx, self.b, self.eps1, strict=True)]
+        self.b = [keep(q + self.tau * (v - p)) for q, v, p in zip(self.b, rx, self.d, strict=True)]
+        self.cost.append(0.5 * self.mu * norm(self.y - self.op @ x) ** 2 + sum(e * (v.norm1() if isinstance(v, Frame) else np.abs(v).sum()) for e, v in zip(self.eps1, rx, strict=True)))
+        self.change = norm(x - old)
+        return x
+
+
+def splitbregman(Op, y, RegsL1, x0=None, niter_outer=3, niter_inner=5, RegsL2=(), dataregsL2=None, mu=1.0, epsRL1s=None, epsRL2s=None, tol=1e-10, tau=1.0, restart=False, niter=20, callback=()):  # noqa: N803
+    """(x, outer iterations, cost): see SplitBregman."""
+    s = SplitBregman(Op, callback)
+    x = s.solve(y, x0, niter_outer, RegsL1=RegsL1, niter_inner=niter_inner, RegsL2=RegsL2, dataregsL2=dataregsL2, mu=mu, epsRL1s=epsRL1s, epsRL2s=epsRL2s, tol=tol, tau=tau, restart=restart, niter_lsqr=niter)
+    return x, s.iiter, np.array(s.cost)
+
+
+def l1_project(x, tau: float):
+    """Nearest point of the L1 ball of radius tau. A distributed vector is cut by sums over what is above the level so far,
+    which rises to its place in some steps."""
+    if isinstance(x, Frame):
+        if x.norm1() <= tau:
+            return x
+        level, n = 0.0, -1
+        while True:
+            total, count = x.df.where(x.sizes() > level).agg(F.sum(x.sizes()), F.count(F.lit(1))).first()
+            if count == n or not count:
+                return soft(x, level)
+            level, n = (total - tau) / count, count
     a = np.abs(x)
     if a.sum() <= tau:
         return x
@@ -547,27 +681,89 @@ def l1_project(x: np.ndarray, tau: float) -> np.ndarray:
     return thresholds.softthreshold(x, (np.cumsum(u)[at] - tau) / (at + 1))
 
 
-def spgl1(Op, y, x0=None, SOp=None, tau=0.0, sigma=0.0, niter=200, roots=12, tol=1e-6):  # noqa: N803
-    """(x, p, info): least squares in an L1 ball, whose radius grows by Newton steps until the residual is sigma."""
-    op = Op @ SOp.H if SOp is not None else Op
-    p = np.zeros(op.shape[1]) if x0 is None else x0
-    alpha = 1.0 / abs(power_iteration(op.H @ op, 30)[0]) / 1.01
-    history = []
-    for _ in range(1 if tau else roots):
-        res = y - op.matvec(p)
-        if not tau or history:
-            g = np.abs(op.rmatvec(res)).max()
-            if np.linalg.norm(res) <= sigma * (1 + tol) + tol or g == 0:
-                break
-            radius = (history[-1][0] if history else 0.0) + (np.linalg.norm(res) - sigma) * np.linalg.norm(res) / g
+class SPGL1(Solver):
+    """Least squares in an L1 ball; a step solves for one radius, which grows by Newton steps until the residual is sigma.
+    Vectors may be distributed."""
+
+    def setup(self, y, x0=None, SOp=None, tau=0.0, sigma=0.0, inner=200, tol=1e-6):  # noqa: N803
+        self.y, self.sop, self.tau, self.sigma, self.inner, self.tol = y, SOp, tau, sigma, inner, tol
+        self.all = self.op @ SOp.H if SOp is not None else self.op
+        self.alpha = 1.0 / abs(power_iteration(self.all.H @ self.all, 30)[0]) / 1.01
+        self.history: list[tuple[float, float]] = []
+        self.done = False
+        return _nothing(y, self.all.shape[1]) if x0 is None else x0
+
+    def stop(self):
+        return self.done
+
+    def step(self, p):
+        op = self.all
+        res = keep(self.y - op @ p)
+        if not self.tau or self.history:
+            back = op.H @ res
+            g = float(back.df.agg(F.max(back.sizes())).first()[0] or 0.0) if isinstance(back, Frame) else np.abs(back).max()
+            if norm(res) <= self.sigma * (1 + self.tol) + self.tol or g == 0:
+                self.done = True
+                return p
+            radius = (self.history[-1][0] if self.history else 0.0) + (norm(res) - self.sigma) * norm(res) / g
         else:
-            radius = tau
+            radius, self.done = self.tau, True
         z, t = p, 1.0
-        for _ in range(niter):
-            new = l1_project(z + alpha * op.rmatvec(y - op.matvec(z)), radius)
+        for _ in range(self.inner):
+            new = keep(l1_project(keep(z + self.alpha * (op.H @ (self.y - op @ z))), radius))
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            z, change, p, t = new + (t - 1) / t_new * (new - p), np.linalg.norm(new - p), new, t_new
-            if change < tol * max(1.0, np.linalg.norm(p)):
+            z, change, p, t = keep(new + ((t - 1) / t_new) * (new - p)), norm(new - p), new, t_new
+            if change < self.tol * max(1.0, norm(p)):
                 break
-        history.append((radius, float(np.linalg.norm(y - op.matvec(p)))))
-    return (SOp.H @ p if SOp is not None else p), p, {"tau": history[-1][0] if history else 0.0, "rnorm": history[-1][1] if history else float(np.linalg.norm(y)), "history": history}
+        self.history.append((radius, norm(self.y - op @ p)))
+        return p
+
+
+def spgl1(Op, y, x0=None, SOp=None, tau=0.0, sigma=0.0, niter=200, roots=12, tol=1e-6, callback=()):  # noqa: N803
+    """(x, p, info): see SPGL1."""
+    s = SPGL1(Op, callback)
+    p = s.solve(y, x0, 1 if tau else roots, SOp=SOp, tau=tau, sigma=sigma, inner=niter, tol=tol)
+    return (SOp.H @ p if SOp is not None else p), p, {"tau": s.history[-1][0] if s.history else 0.0, "rnorm": s.history[-1][1] if s.history else norm(y), "history": s.history}
+
+
+class _Inversion(Solver):
+    """Inversion that another solver carries out: setup() makes its system, run() solves it; it has no steps of its own."""
+
+    def step(self, x):
+        raise NotImplementedError("the system's solver takes the steps: use run()")
+
+    def run(self, x, niter: int):
+        self._tell("run_begin", x)
+        self.result = self._solve(x, niter)
+        self._tell("run_end", self.result[0])
+        return self.result[0]
+
+
+class NormalEquationsInversion(_Inversion):
+    def setup(self, y, x0=None, Regs=(), **kwargs):  # noqa: N803
+        self.of = (y, Regs, kwargs)
+        return x0
+
+    def _solve(self, x, niter):
+        y, regs, kwargs = self.of
+        return normal_equations_inversion(self.op, y, regs, x, niter=niter, **kwargs)
+
+
+class RegularizedInversion(_Inversion):
+    def setup(self, y, x0=None, Regs=(), **kwargs):  # noqa: N803
+        self.of = (y, Regs, kwargs)
+        return x0
+
+    def _solve(self, x, niter):
+        y, regs, kwargs = self.of
+        return regularized_inversion(self.op, y, regs, x, niter=niter, **kwargs)
+
+
+class PreconditionedInversion(_Inversion):
+    def setup(self, y, x0=None, P=None, **kwargs):  # noqa: N803
+        self.of = (y, P, kwargs)
+        return x0
+
+    def _solve(self, x, niter):
+        y, p, kwargs = self.of
+        return preconditioned_inversion(self.op, y, p, x, niter=niter, **kwargs)

@@ -205,10 +205,10 @@ select user_id, event_id, round(coalesce(0.5e0 * (lead(m) over w - lag(m) over w
 
 
 def percentile_threshold(spark, sf_dir):
-    """Soft threshold of all event values at their 75th percentile of size, found exactly by one aggregation."""
+    """Soft threshold of all event values at their 75th percentile of size, found exactly by counting passes."""
     df = _read(spark, sf_dir, "events").select("event_id", "value")
-    level = df.agg(F.percentile(F.abs("value"), F.lit(0.75)).alias("level"))
-    return df.join(F.broadcast(level)).select("event_id", rounded(thresholds.column(F.col("value"), "soft", F.col("level"))).alias("v"))
+    level = thresholds.percentile(df.select(F.abs("value").alias("x")), 75)
+    return df.select("event_id", rounded(thresholds.column(F.col("value"), "soft", level)).alias("v"))
 
 
 SQL["percentile_threshold"] = "select event_id, round(greatest(abs(value) - l, 0e0) * sign(value), 6) + 0e0 v from events, (select quantile_cont(abs(value), 0.75) l from events)"

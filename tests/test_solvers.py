@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from lattica.operators.basic import Diagonal, FirstDerivative, Identity, MatrixMult, SecondDerivative
 from lattica.operators.core import collected, vector
-from lattica.plans import solvers
+from lattica.functions import thresholds
+from lattica.plans import solvers, storage
 from lattica.plans.solvers import Frame
 
 rng = np.random.default_rng(1)
@@ -56,6 +57,54 @@ def test_sparse(spark):
         solvers.ista(b, y, threshkind="soft-percentile")
 
 
+def test_sparse_distributed(spark):
+    """The same results from distributed vectors as from arrays, percentiles included; old iterates are deleted."""
+    b = MatrixMult(np.eye(6)[::-1] * 1.0)
+    y = np.array([2.0, 0.01, 0, -1, 0.02, 0.5])
+    frame = Frame(vector(spark, y), 6)
+    before = len(storage.written)
+    for f, kw in ((solvers.ista, {"eps": 0.2}), (solvers.fista, {"threshkind": "hard-percentile", "perc": 40}), (solvers.ista, {"threshkind": "soft-percentile", "perc": 50}), (solvers.ista, {"threshkind": "half-percentile", "perc": 70})):
+        want = f(b, y, niter=3, alpha=1.0, **kw)[0]
+        assert np.allclose(collected(f(b, frame, niter=3, alpha=1.0, **kw)[0].df, 6), want)
+    assert len(storage.written) - before <= 4
+    for kw in ({}, {"niter_inner": 0}, {"normalizecols": True}, {"niter_inner": 0, "normalizecols": True, "optimal_coeff": True}):
+        want = solvers.omp(b, y, niter_outer=2, **kw)
+        got = solvers.omp(b, frame, niter_outer=2, **kw)
+        assert np.allclose(collected(got[0].df, 6), want[0]) and np.allclose(got[2], want[2])
+    big = Frame(vector(spark, np.arange(-50.0, 51)), 200)
+    values = np.abs(np.concatenate([np.arange(-50.0, 51), np.zeros(99)]))
+    assert all(np.isclose(big.percentile(q), np.percentile(values, q)) for q in (0, 10, 49.7, 50, 77.7, 100))
+    assert np.isclose(thresholds._kth(big.df.selectExpr("v as x"), 30, bins=4, few=3), -20)
+    for tau in (0.5, 300.0, 1e9):
+        assert np.allclose(collected(solvers.l1_project(big, tau).df, 200)[:101], solvers.l1_project(np.arange(-50.0, 51), tau))
+
+
+def test_weighted_and_blocky_distributed(spark):
+    m = MatrixMult(A[:5] + 3 * np.eye(5))
+    y = m @ X
+    y[2] += 5
+    frame = Frame(vector(spark, y), 5)
+    for kind in ("data", "model"):
+        want = solvers.irls(m, y, nouter=2, epsR=1e-3, kind=kind, niter=6)[0]
+        assert np.allclose(collected(solvers.irls(m, frame, nouter=2, epsR=1e-3, kind=kind, niter=6)[0].df, 5), want, atol=1e-5)
+    args = ([FirstDerivative(5)],)
+    kw = {"niter_outer": 2, "niter_inner": 1, "epsRL1s": [0.1], "niter": 4}
+    want, _, cost = solvers.splitbregman(m, y, *args, **kw)
+    got = solvers.splitbregman(m, frame, *args, **kw)
+    assert np.allclose(collected(got[0].df, 5), want, atol=1e-6) and np.allclose(got[2], cost)
+    want = solvers.spgl1(m, y, tau=1.0, niter=3)[0]
+    assert np.allclose(collected(solvers.spgl1(m, frame, tau=1.0, niter=3)[0].df, 5), want, atol=1e-6)
+
+
+def test_inversion_classes(spark):
+    m = MatrixMult(A)
+    assert np.allclose(solvers.RegularizedInversion(m).solve(Y, niter=30, Regs=[SecondDerivative(5)], epsRs=[2.0]), solvers.regularized_inversion(m, Y, [SecondDerivative(5)], epsRs=[2.0], niter=30)[0])
+    assert np.allclose(solvers.NormalEquationsInversion(m).solve(Y, niter=30, Regs=[], epsI=0.1), solvers.normal_equations_inversion(m, Y, epsI=0.1, niter=30)[0])
+    assert np.allclose(solvers.PreconditionedInversion(m).solve(Y, niter=30, P=Diagonal(np.arange(1, 6.0))), X)
+    with pytest.raises(NotImplementedError):
+        solvers.RegularizedInversion(m).step(Y)
+
+
 def test_robust_and_blocky(spark):
     m = MatrixMult(A)
     y = Y.copy()

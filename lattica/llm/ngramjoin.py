@@ -5,13 +5,13 @@ share of its set with the other. Sets are known by 64-bit hashes of their n-gram
 
 1. Each set's least hashes (a prefix that linked sets must share a number of) go by hash; a set that shares too few with
    any other has no links. What recurs is settled where the rows are read, so a hot n-gram sends some rows a task.
-2. Of the sets left, each n-gram has an inverted list, and a set's lists are ordered by length. If a set of n must share T
-   n-grams, all but its T - 1 longest lists are short: what links with it stands in one of them.
-3. In rounds, some members of each short list are its heads, twice as many in each round, until all have been. Members of
-   other components than a head are searched for it: the heads' sets are indexed in small buckets, and a query merges its
-   short lists there with a heap, and looks the candidates up in its long lists by binary search. Links join components,
-   and a list whose members are all in one is done. So a group of near copies meets some heads, not all of itself, and
-   only sets that stay apart meet each other.
+2. Of the sets left, each n-gram has an inverted list, and a set's lists are ordered by length, to a factor of four. If a
+   set of n must share T n-grams, what links with it stands in one of all but its T - 1 last lists: its short lists.
+3. In rounds, some members of each short list are its heads, eight times as many in each round, until all have been. The
+   heads' sets are indexed in buckets of some hundred. The list's members of other components are searched in the buckets
+   with heads of it: a query merges its short lists there, and looks up what occurs often enough in its long lists by
+   binary search. Links join components, and a list whose members are all in one is done. So a group of near copies meets
+   some heads, not all of itself, and only sets that stay apart meet each other; no row stands for a pair that doesn't link.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bitmaps import bitmap, inside
-from lattica.llm.graph import components
+from lattica.llm.graph import Union, components
 from lattica.llm.skew import split_join
 from lattica.llm.staging import drop, stage
 from lattica.llm.textops import LOWER, WINDOW, mix, pieces, raw, spans, tidy, windows, word_hashes
@@ -170,8 +170,9 @@ class Index:
     def search(self, query: np.ndarray) -> list[tuple[int, int]]:
         """(set, overlap) of the sets that link with the query: DivideSkip.
 
-        The query's T - 1 longest lists are long, T being the least overlap. The short ones are merged with a heap, and
-        what they hold is looked up in the long ones by binary search.
+        T is the least overlap. Of the query's lists the L longest are long, L = T / (log2(longest) + 1) as merging costs
+        more the longer the lists. The others are merged, by a heap if they are few: what links occurs T - L times there.
+        Those are looked up in the long lists by binary search.
         """
         n = len(query)
         if not len(self.grams):
@@ -179,29 +180,42 @@ class Index:
         at = np.minimum(np.searchsorted(self.grams, query), len(self.grams) - 1)
         codes = at[self.grams[at] == query]
         least = int(self.need.share(n))
-        if len(codes) < least:
+        if not len(codes) or len(codes) < least:
             return []
-        codes = codes[np.argsort(self.begin[codes + 1] - self.begin[codes], kind="stable")]
-        short, long = codes[: len(codes) - least + 1], codes[len(codes) - least + 1 :]
-        merged = heapq.merge(*[(self.keys[self.begin[c] : self.begin[c + 1]] % self.n).tolist() for c in short.tolist()])
+        length = self.begin[codes + 1] - self.begin[codes]
+        order = np.argsort(length, kind="stable")
+        codes, length = codes[order], length[order]
+        skip = min(least - 1, int(least / (np.log2(length[-1]) + 1)))
+        short, long = codes[: len(codes) - skip], codes[len(codes) - skip :]
+        total = int(length[: len(codes) - skip].sum())
+        if total <= 64:
+            merged = heapq.merge(*[(self.keys[self.begin[c] : self.begin[c + 1]] % self.n).tolist() for c in short.tolist()])
+            counts = [(one, sum(1 for _ in times)) for one, times in groupby(merged)]
+        else:
+            first = np.repeat(self.begin[short] - np.concatenate([[0], np.cumsum(length[: len(short)])])[:-1], length[: len(short)])
+            times = np.bincount(self.keys[first + np.arange(total)] % self.n, minlength=self.n)
+            often = np.flatnonzero(times >= least - skip)
+            counts = list(zip(often.tolist(), times[often].tolist(), strict=True))
         out = []
-        for one, times in groupby(merged):
+        for one, overlap in counts:
             m = self.size[one]
-            if 100 * m < self.need.percent * n or 100 * n < self.need.percent * m:
+            if overlap < least - skip or 100 * m < self.need.percent * n or 100 * n < self.need.percent * m:
                 continue
-            wanted = long * self.n + one
-            found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            overlap = sum(1 for _ in times) + int((self.keys[found] == wanted).sum())
+            if skip:
+                wanted = long * self.n + one
+                found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+                overlap += int((self.keys[found] == wanted).sum())
             if self.need.linked(overlap, n, m):
                 out.append((one, overlap))
         return out
 
 
 def _search(need: Need):
-    """Rows by (bucket, part, kind): the heads of a bucket (kind 0), then its queries. Gives links (a, b)."""
+    """Rows by (bucket, part, kind): the heads of a bucket (kind 0), then its queries. Gives links (a, b), of those in one
+    part enough to join all that link there."""
 
     def run(batches):
-        here, heads, sets, index = None, [], [], None
+        here, heads, sets, index, index_of, joined = None, [], [], None, {}, None
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
@@ -217,9 +231,12 @@ def _search(need: Need):
                         sets.append(own)
                         continue
                     if index is None:
-                        index = Index(sets, need)
-                    for k, _ in index.search(own):
-                        if heads[k] != names[row]:
+                        index, joined = Index(sets, need), Union(len(sets))
+                        index_of = {name: k for k, name in enumerate(heads)}
+                    found = [k for k, _ in index.search(own)]
+                    self_ = index_of.get(names[row], -1)
+                    for k in found:
+                        if k != self_ and (self_ < 0 and k == found[0] or joined.join(k, self_ if self_ >= 0 else found[0])):
                             a.append(names[row])
                             b.append(heads[k])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -228,64 +245,97 @@ def _search(need: Need):
     return run
 
 
-def _verify(pairs: DataFrame, grams: DataFrame, need: Need, per_bucket: int = 256, per_part: int = 4096) -> DataFrame:
-    """Links among candidate pairs (name, head): the heads go into buckets of about ``per_bucket``, whose queries go into
-    parts of about ``per_part``, each with the bucket's index."""
-    heads = pairs.select("head").distinct()
-    n = max(1, -(-heads.count() // per_bucket))
-    bucket = F.pmod(F.xxhash64("head"), F.lit(n))
-    queries = stage(pairs.select(bucket.alias("bucket"), "name").distinct())
+def _links(queries: DataFrame, heads: DataFrame, grams: DataFrame, need: Need, per_part: int = 4096) -> DataFrame:
+    """(a, b) of queries (bucket, name) and the heads (bucket, name) of their bucket that link with them. A bucket's queries
+    go into parts of about ``per_part``, each with the bucket's index."""
     parts = stage(queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts")))
     asked = split_join(queries, parts, ["bucket"]).select("bucket", F.pmod(F.hash("name"), F.col("parts")).alias("part"), F.lit(1).alias("kind"), "name")
-    told = heads.select(bucket.alias("bucket"), F.col("head").alias("name")).join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "name")
+    told = heads.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "name")
     rows = told.unionByName(asked).join(grams, "name")
-    out = stage(rows.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket", "part").sortWithinPartitions("bucket", "part", "kind", "name").select("bucket", "part", "kind", "name", "grams").mapInArrow(_search(need), "a long, b long"))
-    drop(queries)
+    n = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = stage(rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "kind", "name").select("bucket", "part", "kind", "name", "grams").mapInArrow(_search(need), "a long, b long"))
     drop(parts)
     return out
 
 
+def _parts(n):
+    return F.ceil(n / 2048).cast("int")
+
+
+#: Lists of more than these lengths come after all others, in this order.
+TIERS = (1, 4, 16, 64, 256, 1024, 4096)
+
+
 def short_lists(grams: DataFrame, percent: int) -> DataFrame:
-    """(gram, n, name, size, u, part): each set's short lists, n being how many sets have the gram, and u a number in [0, 1)
-    of the set. A long list's members are in parts of some thousand."""
-    pairs = grams.select("name", F.explode("grams").alias("gram"))
-    lists = stage(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    ordered = split_join(pairs, lists, ["gram"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("of"))
-    size = F.size("grams")
-    spare = F.size("of") - F.ceil(size * percent / 100) + 1
+    """(gram, n, name, size, u, part): each set's short lists with another member in theirs; n is how many have the list as
+    a short one, u a number in [0, 1) of the set. A long list's members are in parts of some thousand.
+
+    Which lists are longer than each tier is told by bitmaps of bounded size; what one tells wrongly is told alike to all.
+    """
+    spark = grams.sparkSession
+    need = Need(percent)
+    counts = stage(grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sizes = counts.agg(*[F.count(F.when(F.col("n") > t, 1)) for t in TIERS]).first()
+    marks = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") > t), F.col("gram"), k) for t, k in zip(TIERS, sizes, strict=True) if k])
+    drop(counts)
+
+    def cut(batches):
+        for batch in batches:
+            lists = batch.column("grams")
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            tier = np.zeros(len(flat), np.int64)
+            for words in marks.value:
+                tier += inside(words, flat)
+            keep = np.flatnonzero(tier > 0)
+            keep = keep[np.lexsort((flat[keep], tier[keep], owner[keep]))]
+            own = np.bincount(owner[keep], minlength=len(size))
+            first = np.concatenate([[0], np.cumsum(own)])[:-1]
+            taken = keep[np.arange(len(keep)) - first[owner[keep]] < (own - need.share(size) + 1)[owner[keep]]]
+            o = owner[taken]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[taken]), batch.column("name").take(pa.array(o)), pa.array(size[o].astype(np.int32))], names=["gram", "name", "size"])
+
+    short = stage(grams.mapInArrow(cut, "gram long, name long, size int"))
+    lists = stage(short.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     u = F.pmod(F.xxhash64("name", F.lit(7)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    short = ordered.join(grams, "name").where(spare > 0).select("name", size.alias("size"), F.explode(F.slice("of", F.lit(1), spare.cast("int"))).alias("x"))
-    out = stage(short.select("x.gram", "x.n", "name", "size", u.alias("u"), F.pmod(F.hash("name"), _parts(F.col("x.n"))).alias("part")))
+    out = stage(split_join(short, lists, ["gram"]).select("gram", "n", "name", "size", u.alias("u"), F.pmod(F.hash("name"), _parts(F.col("n"))).alias("part")))
+    drop(short)
     drop(lists)
     return out
 
 
-def _parts(n):
-    return F.ceil(n / 2048).cast("int")
-
-
-def linked_sets(grams: DataFrame, percent: int) -> DataFrame:
+def linked_sets(grams: DataFrame, percent: int, first: int = 2, faster: int = 8, per_bucket: int = 256) -> DataFrame:
     """(name, root) of sets (name, grams): root names the component of a set's links. Sets without short lists are left out."""
     need = Need(percent)
     members = short_lists(grams, percent)
     roots = stage(members.groupBy("name").agg(F.first("name").alias("root")))
-    most = 2  # heads that a list has had by the end of the round
+    was, most = 0, first  # heads that a list has had before the round, and by its end
+    every_part = F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1)).alias("part")
     while True:
-        now = members.join(roots, "name")
-        was = 0 if most == 2 else most // 2
-        open_ = now.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where((F.col("low") < F.col("high")) & (F.col("n") > was))
-        open_ = open_.select("gram", F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1)).alias("part"))
-        left = stage(now.join(open_, ["gram", "part"]).where(F.col("u") * F.col("n") >= was))
-        if left.isEmpty():
-            break
+        # Members of lists with two components at least; old heads have met all others of their lists.
+        now = members.withColumn("root", F.col("name")) if was == 0 else members.drop("root").where(F.col("u") * F.col("n") >= was).join(roots, "name")
+        if was:
+            open_ = now.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where(F.col("low") < F.col("high"))
+            now = stage(now.join(open_.select("gram", every_part), ["gram", "part"]))
+            drop(members)
+            members = now
+            if members.isEmpty():
+                break
+        else:
+            now = members = stage(now)
         is_head = F.col("u") * F.col("n") < most
-        heads = left.where(is_head).select("gram", F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1)).alias("part"), F.col("name").alias("head"), F.col("root").alias("other"), F.col("size").alias("m"))
-        like = (100 * F.col("m") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("m"))
-        pairs = left.join(heads, ["gram", "part"]).where((F.col("root") != F.col("other")) & like & (~is_head | (F.col("name") < F.col("head")))).select("name", "head").distinct()
-        pairs = stage(pairs)
-        drop(left)
-        if not pairs.isEmpty():
-            links = _verify(pairs, grams, need)
+        heads = stage(members.where(is_head).select(F.col("name"), "root", "size", "u").distinct())
+        n = max(1, -(-heads.count() // per_bucket))
+        bucket = F.pmod(F.xxhash64("name"), F.lit(n)).alias("bucket")
+        of_list = members.where(is_head).select("gram", "n", bucket, "root", "size", "u").groupBy("gram", "n", "bucket")
+        of_list = of_list.agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least"), F.max("size").alias("largest"), F.max("u").alias("last"))
+        of_list = of_list.select("gram", every_part, "bucket", "low", "high", "least", "largest", "last")
+        wanted = (F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))
+        wanted &= (100 * F.col("largest") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
+        wanted &= ~is_head | (F.col("u") < F.col("last"))  # of two heads, one asks
+        queries = stage(members.join(of_list, ["gram", "part"]).where(wanted).select("bucket", "name").distinct())
+        if not queries.isEmpty():
+            links = _links(queries, heads.select(bucket, "name"), grams, need)
             of = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
             between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct()
             joined = stage(components(between).select(F.col("node").alias("root"), F.col("root").alias("least")))
@@ -293,8 +343,9 @@ def linked_sets(grams: DataFrame, percent: int) -> DataFrame:
             for table in (links, joined, roots):
                 drop(table)
             roots = new
-        drop(pairs)
-        most *= 2
+        drop(queries)
+        drop(heads)
+        was, most = most, most * faster
     drop(members)
     return roots
 

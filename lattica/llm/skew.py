@@ -16,13 +16,15 @@ def hot_keys(df: DataFrame, keys: list[str], most: int = MOST_HOT) -> DataFrame:
     return df.sparkSession.createDataFrame(counts.where(F.col("_n") > F.lit(total // most + 1)).select(*keys).toArrow())
 
 
-def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = MOST_HOT) -> DataFrame:
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = MOST_HOT, few: int = 20_000) -> DataFrame:
     """big joined with small, which has one row for each key, so that no key of big has to fit in a task.
 
-    Rows of big with a hot key meet their row of small where they are read: there are ``most`` such keys at most, so that
-    side is broadcast. The others are joined by their key. Rows of a null key find no partner.
-    Both inputs should be written tables, or cheap: big is read three times.
+    Up to ``few`` rows of small are broadcast. Beyond, rows of big with a hot key meet their row of small where they are
+    read: there are ``most`` such keys at most, so that side is broadcast. The others are joined by their key. Rows of a
+    null key find no partner. Both inputs should be written tables, or cheap: big is read three times.
     """
+    if small.count() <= few:
+        return big.join(F.broadcast(small), keys, how)
     hot = hot_keys(big, keys, most)
     if hot.isEmpty():
         return big.join(small, keys, how)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from lattica.llm import decontam, graph, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, queries, secretscan, substring
+from lattica.llm import decontam, graph, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, queries, secretscan, skew, substring
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string, id string, name int, hash string, row int"
@@ -322,7 +322,7 @@ def test_linked_sets_are_exact(spark):
     sets = near_copy_sets()
     rows = [(1000 + 7 * i, s.tolist()) for i, s in enumerate(sets)]
     grams = spark.createDataFrame(rows, "name long, grams array<long>").repartition(3)
-    got = {r["name"]: r["root"] for r in ngramjoin.linked_sets(grams, 75).collect()}
+    got = {r["name"]: r["root"] for r in ngramjoin.linked_sets(grams, 75, first=1, faster=2, per_bucket=16).collect()}
     union = graph.Union(len(sets))
     for i, a in enumerate(sets):
         for j in range(i):
@@ -330,15 +330,21 @@ def test_linked_sets_are_exact(spark):
             if 100 * o >= 75 * (len(a) + len(sets[j]) - o):
                 union.join(i, j)
     assert all(got.get(name, name) == rows[union.find(i)][0] for i, (name, _) in enumerate(rows))
-    pairs = spark.createDataFrame([(rows[i][0], rows[j][0]) for i in range(60) for j in range(60, 90)], "name long, head long")
-    links = {(r["a"], r["b"]) for r in ngramjoin._verify(pairs, grams, ngramjoin.Need(75), per_bucket=4, per_part=7).collect()}
-    want = set()
-    for i in range(60):
+    heads = spark.createDataFrame([(j % 4, rows[j][0]) for j in range(60, 90)], "bucket int, name long")
+    queries = spark.createDataFrame([(k, rows[i][0]) for i in range(90) for k in range(4)], "bucket int, name long")
+    links = {(r["a"], r["b"]) for r in ngramjoin._links(queries, heads, grams, ngramjoin.Need(75), per_part=7).collect()}
+    want, place = set(), {name: i for i, (name, _) in enumerate(rows)}
+    for i in range(90):
         for j in range(60, 90):
             o = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
+            if i != j and 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
                 want.add((rows[i][0], rows[j][0]))
-    assert want and links == want
+    assert len(links) > 30 and links <= want
+    some, every = graph.Union(len(rows)), graph.Union(len(rows))
+    for union, pairs in ((some, links), (every, want)):
+        for a, b in pairs:
+            union.join(place[a], place[b])
+    assert [some.find(i) for i in range(90)] == [every.find(i) for i in range(90)]
 
 
 def test_ngram_join_of_a_big_group(spark):
@@ -420,10 +426,22 @@ def test_substrings_of_a_hot_passage(spark):
         assert covered == {k for s in r["spans"] for k in range(s["start"], s["end"])} and len(covered) == r["n_removed"]
 
 
+def test_split_join(spark):
+    """Small sides, hot keys and cold ones, and null keys, inner and left."""
+    big = spark.createDataFrame([(None if i % 50 == 0 else 1 if i % 3 == 0 else i, i) for i in range(2000)], "k long, v long")
+    small = spark.createDataFrame([(i, -i) for i in range(0, 2000, 2)] + [(1, -1)], "k long, w long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(small, "k", how).fillna(0).collect()))
+        for few, most in ((20_000, 2000), (10, 2000), (10, 10), (10, 1)):
+            assert sorted(map(tuple, skew.split_join(big, small, ["k"], how, most, few).fillna(0).collect())) == want
+    assert [r["k"] for r in skew.hot_keys(big, ["k"], 10).collect()] == [1]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
-    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+    for few in (100_000, 0):
+        got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -276,7 +276,7 @@ def short_lists(grams: DataFrame, percent: int) -> DataFrame:
     need = Need(percent)
     counts = stage(grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sizes = counts.agg(*[F.count(F.when(F.col("n") > t, 1)) for t in TIERS]).first()
-    marks = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") > t), F.col("gram"), k) for t, k in zip(TIERS, sizes, strict=True) if k])
+    marks = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") > t), F.col("gram"), k, (1 << 25) if t == 1 else (1 << 23)) for t, k in zip(TIERS, sizes, strict=True) if k])
     drop(counts)
 
     def cut(batches):

@@ -118,7 +118,7 @@ matrix("laplacian_square", lambda: basic.Laplacian((8, 8), weights=(1, 2)), "sel
 matrix("smoothing2d_square", lambda: basic.Smoothing2D((3, 5), (8, 8)), "select r, c, 1e0 / 15 a from range(64) s(r), range(64) t(c) where abs(r // 8 - c // 8) <= 1 and abs(r % 8 - c % 8) <= 2")
 matrix("smoothing1d_axis0", lambda: basic.Smoothing1D(3, (16, 4), 0), "select r, c, 1e0 / 3 a from range(64) s(r), range(64) t(c) where abs(r // 4 - c // 4) <= 1 and r % 4 = c % 4")
 matrix("linear_regression", lambda: basic.LinearRegression(np.arange(64) / 64), "select r, c, pow(r / 64e0, c) a from range(64) s(r), range(2) t(c)", n=2)
-matrix("regression", lambda: basic.Regression(np.arange(64) / 64, 3), "select r, c, pow(r / 64e0, c) a from range(64) s(r), range(4) t(c)", n=4)
+matrix("regression_cubic", lambda: basic.Regression(np.arange(64) / 64, 3), "select r, c, pow(r / 64e0, c) a from range(64) s(r), range(4) t(c)", n=4)
 matrix("integration_axis0", lambda: basic.CausalIntegration((8, 8), 0, 0.5), "select r, c, 0.5e0 a from range(64) s(r), range(64) t(c) where r % 8 = c % 8 and c <= r")
 matrix("integration_half", lambda: basic.CausalIntegration(64, kind="half"), ALL.format("case when c = r then 0.5e0 else 1e0 end a") + " where c <= r")
 matrix("integration_trapezoidal", lambda: basic.CausalIntegration(64, kind="trapezoidal"), ALL.format("case when c = r then 0.5e0 else 1e0 end - case when c = 0 then 0.5e0 else 0e0 end a") + " where c <= r and r > 0")
@@ -134,7 +134,7 @@ matrix("restriction_axis0", lambda: basic.Restriction((8, 8), [6, 1, 3], 0), "se
 matrix("identity_wide", lambda: basic.Identity(80, 64), "select c r, c, 1e0 a from range(64) t(c)", m=80)
 matrix("diagonal_axis0", lambda: basic.Diagonal(np.arange(1.0, 9.0), (8, 8), 0), "select c r, c, (c // 8 + 1)::double a from range(64) t(c)")
 matrix("diagonal_complex", lambda: basic.Diagonal(np.arange(64) + 1j), "select c r, c, c::double a, 1e0 ai from range(64) t(c)", is_complex=True)
-matrix("spread", lambda: basic.Spread((8, 8), (8, 8), table=np.fromfunction(lambda a, b, x: (a + b) % 7, (8, 8, 8)), dtable=np.fromfunction(lambda a, b, x: x / 8, (8, 8, 8))), "select x * 8 + (c // 8 + c % 8) % 7 + e r, c, case when e = 0 then 1 - x / 8e0 else x / 8e0 end a from range(64) t(c), range(8) u(x), range(2) w(e)")
+matrix("spread_split", lambda: basic.Spread((8, 8), (8, 8), table=np.fromfunction(lambda a, b, x: (a + b) % 7, (8, 8, 8)), dtable=np.fromfunction(lambda a, b, x: x / 8, (8, 8, 8))), "select x * 8 + (c // 8 + c % 8) % 7 + e r, c, case when e = 0 then 1 - x / 8e0 else x / 8e0 end a from range(64) t(c), range(8) u(x), range(2) w(e)")
 matrix("block", lambda: basic.Block([[basic.Flip(32), 2.0 * basic.Identity(32)], [basic.Zero(32), basic.Roll(32)]]), "select 31 - c r, c, 1e0 a from range(32) t(c) union all select c, c + 32, 2e0 from range(32) t(c) union all select 32 + (c + 1) % 32, 32 + c, 1e0 from range(32) t(c)")
 matrix("vstack_two", lambda: basic.VStack([basic.Flip(64), 3.0 * basic.Identity(64)]), "select 63 - c r, c, 1e0 a from range(64) t(c) union all select 64 + c, c, 3e0 from range(64) t(c)", m=128)
 matrix("hstack_two", lambda: basic.HStack([basic.Flip(64), 3.0 * basic.Identity(64)]), "select 63 - c r, c, 1e0 a from range(64) t(c) union all select c r, 64 + c, 3e0 from range(64) t(c)", n=128)
@@ -234,11 +234,11 @@ matrix(
     f"""with m as (select s, t, {_MOVE} a, {_BACK} b from range(8) x(s), range(8) y(t)), res as (select i * 8 + t r, (2 * i + 1) * 8 + t c, 1e0 a from range(4) w(i), range(8) y(t) union all select i * 8 + t, 2 * i * 8 + s, -a from range(4) w(i), m)
     select r, c, a from res union all select 32 + i * 8 + t, 2 * i * 8 + t, 1e0 from range(4) w(i), range(8) y(t) union all select 32 + i * 8 + m.t, res.c, 0.5e0 * sum(m.b * res.a) from range(4) w(i), m, res where res.r = i * 8 + m.s group by i, m.t, res.c""",
 )
-matrix("sliding1d", lambda: signal.Sliding1D(basic.Identity(4), None, 64, 4, 0, None), "select c r, c, 1e0 a from range(64) t(c)")
+matrix("sliding1d_flat", lambda: signal.Sliding1D(basic.Identity(4), None, 64, 4, 0, None), "select c r, c, 1e0 a from range(64) t(c)")
 #: Ramps of a Hanning taper of two samples: 0 and 1.
 matrix("sliding2d", lambda: signal.Sliding2D(basic.Identity((4, 8)), None, (8, 8), 4, 2, None), "select (2 * (c // 32) + c // 8 % 4) * 8 + c % 8 r, c, 1e0 a from range(96) t(c)", n=96)
 matrix("sliding3d", lambda: signal.Sliding3D(basic.Identity((2, 2, 4)), None, (4, 4, 4), (2, 2), (1, 1), tapertype=None), "select ((c // 48 + c // 8 % 2) * 4 + c // 16 % 3 + c // 4 % 2) * 4 + c % 4 r, c, 1e0 a from range(144) t(c)", n=144)
-matrix("patch2d", lambda: signal.Patch2D(basic.Identity((4, 4)), None, (8, 8), (4, 4), (2, 2), tapertype=None), "select (2 * (c // 48) + c // 4 % 4) * 8 + 2 * (c // 16 % 3) + c % 4 r, c, 1e0 a from range(144) t(c)", n=144)
+matrix("patch2d_flat", lambda: signal.Patch2D(basic.Identity((4, 4)), None, (8, 8), (4, 4), (2, 2), tapertype=None), "select (2 * (c // 48) + c // 4 % 4) * 8 + 2 * (c // 16 % 3) + c % 4 r, c, 1e0 a from range(144) t(c)", n=144)
 matrix("patch3d", lambda: signal.Patch3D(basic.Identity((2, 2, 2)), None, (4, 4, 4), (2, 2, 2), (1, 1, 1), tapertype=None), "select ((c // 72 + c // 4 % 2) * 4 + c // 24 % 3 + c // 2 % 2) * 4 + c // 8 % 3 + c % 2 r, c, 1e0 a from range(216) t(c)", n=216)
 _HANN4 = "case when i < 4 and w > 0 then 0.5e0 - 0.5e0 * cos(pi() * i / 3e0) when i >= 12 and w < 4 then 0.5e0 - 0.5e0 * cos(pi() * (15 - i) / 3e0) else 1e0 end"
 matrix("sliding1d_tapered", lambda: signal.Sliding1D(basic.Identity(16), None, 64, 16, 4), f"select 12 * w + i r, w * 16 + i c, {_HANN4} a from range(5) s(w), range(16) t(i)", n=80)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattica import function_queries, operator_queries
 from lattica.functions import series, thresholds
 from lattica.functions.tapers import hanningtaper
 from lattica.functions.wavelets import ricker
 from lattica.operators import avo, basic, signal
 from lattica.operators.core import batch, coordinate, parts
+from lattica.plans import solvers, storage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -214,11 +216,13 @@ def percentile_threshold(spark, sf_dir):
 SQL["percentile_threshold"] = "select event_id, round(greatest(abs(value) - l, 0e0) * sign(value), 6) + 0e0 v from events, (select quantile_cont(abs(value), 0.75) l from events)"
 
 
-def matrix(spark, sf_dir):
-    """Supplier by part quantities as a matrix in coordinates."""
+def matrix(spark, sf_dir, keep=False):
+    """Supplier by part quantities as a matrix in coordinates; written once if it is to be used more than once."""
     lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c")).agg(F.sum("l_quantity").alias("a"))
-    bound = lines.agg(F.max("r"), F.max("c")).first()
-    return basic.MatrixMult(lines, shape=(int(bound[0]) + 1, int(bound[1]) + 1))
+    if keep:
+        lines, _ = storage.write(lines)
+    rows, cols = (int(_read(spark, sf_dir, t).agg(F.max(k)).first()[0]) + 1 for t, k in (("supplier", "s_suppkey"), ("part", "p_partkey")))
+    return basic.MatrixMult(lines, shape=(rows, cols))
 
 
 def spmv(spark, sf_dir):
@@ -233,13 +237,13 @@ def spmv_adjoint(spark, sf_dir):
 
 def normal_matvec(spark, sf_dir):
     x = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_retailprice") / 1000).alias("v"))
-    op = matrix(spark, sf_dir)
-    return (op.H @ op).forward(x).select("k", rounded(F.col("v"), 2).alias("v"))
+    op = matrix(spark, sf_dir, keep=True)
+    return (op.H @ op).forward(x).select("k", rounded(F.col("v"), 5).alias("v"))
 
 
 SQL["spmv"] = f"{SPM} select r k, round(sum(a * p_retailprice), 2) + 0e0 v from m join part on c = p_partkey group by 1"
 SQL["spmv_adjoint"] = f"{SPM} select c k, round(sum(a * s_acctbal), 2) + 0e0 v from m join supplier on r = s_suppkey group by 1"
-SQL["normal_matvec"] = f"{SPM}, y as (select r, sum(a * p_retailprice / 1000) y from m join part on c = p_partkey group by 1) select c k, round(sum(a * y), 2) + 0e0 v from m join y using (r) group by 1"
+SQL["normal_matvec"] = f"{SPM}, y as (select r, sum(a * p_retailprice / 1000) y from m join part on c = p_partkey group by 1) select c k, round(sum(a * y), 5) + 0e0 v from m join y using (r) group by 1"
 
 
 def metrics_smoothed(spark, sf_dir):
@@ -272,29 +276,66 @@ def ricker_wavelet(spark, sf_dir):
 SQL["ricker_wavelet"] = "select i::bigint i, round((1 - 2 * a) * exp(-a), 6) + 0e0 v from (select i, pow(pi() * 25 * (i - 30) * 0.004e0, 2) a from range(61) r(i))"
 
 
-def lsqr_distributed(spark, sf_dir):
-    """Three LSQR steps for the supplier-by-part matrix with vectors that stay distributed."""
-    from lattica.plans.solvers import Frame, lsqr
+def _solved(spark, sf_dir, solve):
+    """The solution of the supplier-by-part system for the suppliers' balances, rounded and without zeros."""
+    y = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") / 1000).alias("v"))
+    op = matrix(spark, sf_dir, keep=True)
+    x = solve(op, solvers.Frame(y, op.shape[0]))[0]
+    return x.df.select("k", rounded(F.col("v")).alias("v")).where("v <> 0")
 
-    y = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    op = matrix(spark, sf_dir)
-    return lsqr(op, Frame(y, op.shape[0]), niter=3, damp=1.0)[0].df
+
+def lsqr_distributed(spark, sf_dir):
+    """Three LSQR steps with vectors that stay distributed."""
+    return _solved(spark, sf_dir, lambda op, y: solvers.lsqr(op, y, niter=3, damp=10.0))
 
 
 def cgls_distributed(spark, sf_dir):
-    from lattica.plans.solvers import Frame, cgls
+    return _solved(spark, sf_dir, lambda op, y: solvers.cgls(op, y, niter=3))
 
-    y = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    op = matrix(spark, sf_dir)
-    return cgls(op, Frame(y, op.shape[0]), niter=3)[0].df
+
+def cg_distributed(spark, sf_dir):
+    """Two conjugate-gradient steps for A^H A + 100, in the space of parts."""
+    return _solved(spark, sf_dir, lambda op, y: solvers.normal_equations_inversion(op, y, epsI=10.0, niter=2))
 
 
 def ista_distributed(spark, sf_dir):
-    from lattica.plans.solvers import Frame, ista
+    return _solved(spark, sf_dir, lambda op, y: solvers.ista(op, y, niter=2, eps=200.0, alpha=1e-6))
+
+
+def fista_distributed(spark, sf_dir):
+    return _solved(spark, sf_dir, lambda op, y: solvers.fista(op, y, niter=2, eps=200.0, alpha=1e-6))
 
-    y = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    op = matrix(spark, sf_dir)
-    return ista(op, Frame(y, op.shape[0]), niter=2, eps=0.1, alpha=1e-7)[0].df
+
+def _conjugate_gradients(steps: int, damp: float) -> str:
+    """Least squares in SQL, one CTE for each vector of each step; LSQR and the normal equations take the same steps."""
+    d = f"{damp * damp!r}"
+    ctes = ["y as (select s_suppkey r, s_acctbal / 1000 v from supplier)", "s0 as (select * from y)", "c0 as (select c, sum(a * v) v from m join s0 using (r) group by c)", "k0 as (select sum(v * v) k from c0)", "x0 as (select c, 0e0 v from c0)"]
+    for i in range(steps):
+        j = i + 1
+        ctes += [
+            f"q{i} as (select r, sum(a * v) v from m join c{i} using (c) group by r)",
+            f"a{i} as (select (select k from k{i}) / ((select sum(v * v) from q{i}) + {d} * (select sum(v * v) from c{i})) a)",
+            f"x{j} as (select c, x{i}.v + (select a from a{i}) * c{i}.v v from x{i} join c{i} using (c))",
+            f"s{j} as (select r, s{i}.v - (select a from a{i}) * coalesce(q{i}.v, 0e0) v from s{i} left join q{i} using (r))",
+            f"r{j} as (select c, g.v - {d} * x{j}.v v from (select c, sum(a * v) v from m join s{j} using (r) group by c) g join x{j} using (c))",
+            f"k{j} as (select sum(v * v) k from r{j})",
+            f"c{j} as (select c, r{j}.v + (select k from k{j}) / (select k from k{i}) * c{i}.v v from r{j} join c{i} using (c))",
+        ]
+    return f"{SPM}, {', '.join(ctes)} select c k, round(v, 6) + 0e0 v from x{steps} where round(v, 6) <> 0"
+
+
+def _shrinkage() -> str:
+    """Two steps of ISTA or FISTA in SQL. The momentum of FISTA's first step is 0, so two steps are alike."""
+    soft = "select c, greatest(abs(v) - 1e-4, 0e0) * sign(v) v from {}"
+    return f"""{SPM}, y as (select s_suppkey r, s_acctbal / 1000 v from supplier), g1 as (select c, 1e-6 * sum(a * v) v from m join y using (r) group by c), x1 as ({soft.format("g1")}),
+    e as (select y.r, y.v - coalesce(q.v, 0e0) v from y left join (select r, sum(a * v) v from m join x1 using (c) group by r) q on y.r = q.r), g2 as (select c, x1.v + 1e-6 * g.v v from (select c, sum(a * v) v from m join e using (r) group by c) g join x1 using (c)), x2 as ({soft.format("g2")})
+    select c k, round(v, 6) + 0e0 v from x2 where round(v, 6) <> 0"""
+
+
+SQL["lsqr_distributed"] = _conjugate_gradients(3, 10.0)
+SQL["cgls_distributed"] = _conjugate_gradients(3, 0.0)
+SQL["cg_distributed"] = _conjugate_gradients(2, 10.0)
+SQL["ista_distributed"] = SQL["fista_distributed"] = _shrinkage()
 
 
 def shift_fractional(spark, sf_dir):
@@ -302,23 +343,36 @@ def shift_fractional(spark, sf_dir):
     return grid(signal.Shift((n, 64), 2.5, real=True).forward(df), (n, 64))
 
 
+SQL["shift_fractional"] = f"""{EMB}, h as (select d, (1 + 2 * sum(cos(2 * pi() * f * (d - 2.5e0) / 64)) + cos(pi() * 2.5e0) * cos(pi() * d)) / 64 h from range(-63, 64) t(d), range(1, 32) u(f) group by d)
+select i0, r::bigint i1, round(sum(h * v), 6) + 0e0 v from emb join range(64) t(r) on true join h on d = r - i1 group by 1, 2"""
+
+
 def seismic_events(spark, sf_dir):
+    """Two hyperbolic events whose wavelet is a Ricker, the ends of the traces included."""
     from lattica.sources.generators import hyperbolic2d
 
     w = ricker(np.arange(15) * 0.004, 25)[0]
-    return grid(hyperbolic2d(spark, np.arange(40) * 10.0, np.arange(100) * 0.004, [0.1, 0.2], [1500.0, 1800.0], [1.0, -0.5], w)[1], (40, 100))
+    out = hyperbolic2d(spark, np.arange(40) * 10.0, np.arange(100) * 0.004, [0.1, 0.38], [1500.0, 1800.0], [1.0, -0.5], w)[1]
+    return out.select("k", rounded(F.col("v")).alias("v")).where("v <> 0")
+
+
+SQL["seismic_events"] = """with e as (select x, sqrt(t0 * t0 + x * x * 100 / (v * v)) / 0.004e0 s, a from range(40) r(x), (values (0.1e0, 1500e0, 1e0), (0.38e0, 1800e0, -0.5e0)) t(t0, v, a)),
+f as (select x, floor(s)::bigint + d i, a * case when d = 0 then 1 - (s - floor(s)) else s - floor(s) end a from e, range(2) u(d) where floor(s) between 0 and 112),
+w as (select j, (1 - 2 * q) * exp(-q) w from (select j, pow(pi() * 25 * j * 0.004e0, 2) q from range(-14, 15) r(j))),
+y as (select x * 100 + i + j k, sum(a * w) v from f, w where i + j between 0 and 99 group by 1)
+select k, round(v, 6) + 0e0 v from y where round(v, 6) <> 0"""
 
 
-for _f in (first_derivative_smoothed, percentile_threshold, spmv, spmv_adjoint, normal_matvec, metrics_smoothed, taper_hanning, ricker_wavelet, lsqr_distributed, cgls_distributed, ista_distributed, shift_fractional, seismic_events):
+for _f in (first_derivative_smoothed, percentile_threshold, spmv, spmv_adjoint, normal_matvec, metrics_smoothed, taper_hanning, ricker_wavelet, lsqr_distributed, cgls_distributed, cg_distributed, ista_distributed, fista_distributed, shift_fractional, seismic_events):
     QUERIES[_f.__name__] = _f
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | operator_queries.queries() | function_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | operator_queries.oracle_sql() | function_queries.oracle_sql()
 
 
 __all__ = ["oracle_sql", "queries"]

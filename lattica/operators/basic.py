@@ -19,24 +19,8 @@ def relation_frame(spark, r, c, a) -> DataFrame:
     return spark.createDataFrame(pa.table(cols))
 
 
-def along(dims, axis: int, n_out: int, triples) -> tuple:
-    """make() of a relation that applies (r, c, a) of one axis to each line of an array."""
-    dims = as_dims(dims)
-    axis %= len(dims)
-    r, c, a = triples
-    others = size([d for k, d in enumerate(dims) if k != axis])
-    dimsd = (*dims[:axis], n_out, *dims[axis + 1 :])
-    inner, n = strides(dims)[axis], dims[axis]
-
-    def make(spark):
-        rel = relation_frame(spark, r, c, a)
-        if others == 1:
-            return rel
-        lines = spark.range(others).select(((F.col("id") - F.col("id") % F.lit(inner)) / F.lit(inner)).cast("long").alias("o"), (F.col("id") % F.lit(inner)).alias("i"))
-        rest = [x for x in rel.columns if x not in ("r", "c")]
-        return lines.crossJoin(F.broadcast(rel)).select((F.col("o") * F.lit(n_out * inner) + F.col("r") * F.lit(inner) + F.col("i")).alias("r"), (F.col("o") * F.lit(n * inner) + F.col("c") * F.lit(inner) + F.col("i")).alias("c"), *rest)
-
-    return dimsd, make
+#: Frames of up to so many rows, made from arrays of the driver, are broadcast.
+FEW = 200_000
 
 
 class AxisMatrix(LinOp):
@@ -56,7 +40,8 @@ class AxisMatrix(LinOp):
         rel = relation_frame(df.sparkSession, r, c, a)
         df = complexed(df) if self.is_complex else df
         rel = rel.select(*[F.col(x).alias("_" + x) for x in rel.columns])
-        hit = df.withColumn("_at", coordinate(F.col("k"), dims, self.axis)).join(F.broadcast(rel), F.col("_at") == F.col("_" + by))
+        rel = F.broadcast(rel) if len(r) <= FEW else rel
+        hit = df.withColumn("_at", coordinate(F.col("k"), dims, self.axis)).join(rel, F.col("_at") == F.col("_" + by))
         if self.is_complex:
             values = [(F.col("_a") * F.col("re") - F.lit(sign) * F.col("_ai") * F.col("im")).alias("re"), (F.col("_a") * F.col("im") + F.lit(sign) * F.col("_ai") * F.col("re")).alias("im")]
         else:
@@ -84,17 +69,11 @@ class MatrixMult(Relation):
 
         def make(spark):
             if self.matrix is None:
-                rel = A
-            else:
-                r, c = np.nonzero(self.matrix)
-                rel = relation_frame(spark, r, c, self.matrix[r, c])
-            if n_other == 1:
-                return rel
-            rest = [x for x in rel.columns if x not in ("r", "c")]
-            rel = rel.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-            return rel.select((F.col("r") * n_other + F.col("o")).alias("r"), (F.col("c") * n_other + F.col("o")).alias("c"), *rest)
+                return A
+            r, c = np.nonzero(self.matrix)
+            return relation_frame(spark, r, c, self.matrix[r, c])
 
-        super().__init__((n, *other), (m, *other), make, is_complex_, "MatrixMult")
+        super().__init__((n, *other), (m, *other), make, is_complex_, "MatrixMult", n_other)
 
     def inv(self) -> np.ndarray:
         return np.linalg.inv(self.todense())
@@ -178,7 +157,7 @@ class Transpose(Remap):
         dims = as_dims(dims)
         axes = [a % len(dims) for a in axes]
         if sorted(axes) != list(range(len(dims))):
-            raise ValueError("axes must contain each direction once")
+            raise ValueError(f"{list(axes)} isn't an order of all {len(dims)} axes")
         dimsd = [dims[a] for a in axes]
         back = np.argsort(axes)
         super().__init__(dims, dimsd, lambda k: position([coordinate(k, dims, a) for a in axes], dimsd), lambda k: position([coordinate(k, dimsd, int(b)) for b in back], dims), "Transpose")
@@ -207,7 +186,7 @@ class Pad(Remap):
         dims = as_dims(dims)
         pad = [pad] if len(dims) == 1 and np.ndim(pad) == 1 else list(pad)
         if any(x < 0 for p in pad for x in p):
-            raise ValueError("Padding must be positive or zero")
+            raise ValueError(f"negative padding: {pad}")
         dimsd = [n + a + b for n, (a, b) in zip(dims, pad, strict=True)]
 
         def back(k):
@@ -262,7 +241,7 @@ class Restriction(AxisMatrix):
         dims = as_dims(dims)
         iava = np.asarray(iava, np.int64)
         if len(np.unique(iava)) != len(iava):
-            raise ValueError("Repeated values in iava array")
+            raise ValueError("each index of iava may stand once")
         if len(iava) and (iava.min() < -dims[axis] or iava.max() >= dims[axis]):
             raise IndexError("index outside the axis")
         super().__init__(dims, axis, len(iava), (np.arange(len(iava)), iava % dims[axis], np.ones(len(iava))), "Restriction")
@@ -285,12 +264,18 @@ class Regression(LinOp):
         return rel.select(F.col("r").alias("_r"), F.col("a").alias("_t"))
 
     def _forward(self, df):
-        t = self._axis(df)
-        power = F.when(F.col("k") == 0, F.lit(1.0)).otherwise(F.pow("_t", F.col("k")))
-        return totalled(t.crossJoin(F.broadcast(df)).select(*batch(df), F.col("_r").alias("k"), *[(power * F.col(p)).alias(p) for p in parts(df)]))
+        # A batch's coefficients in one row, then the axis.
+        p, keys = parts(df), batch(df)
+        coefficients = df.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), x))).alias(x) for x in p])
+        axis = self._axis(df)
+        axis = F.broadcast(axis) if len(self.t) <= FEW else axis
+        power = [F.lit(1.0), *[F.pow("_t", F.lit(float(o))) for o in range(1, self.order + 1)]]
+        values = [sum((F.coalesce(F.element_at(x, F.lit(o)), F.lit(0.0)) * q for o, q in enumerate(power)), F.lit(0.0)).alias(x) for x in p]
+        return coefficients.crossJoin(axis).select(*keys, F.col("_r").alias("k"), *values)
 
     def _adjoint(self, df):
-        hit = df.join(F.broadcast(self._axis(df)), F.col("k") == F.col("_r")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(self.order))))
+        axis = self._axis(df)
+        hit = df.join(F.broadcast(axis) if len(self.t) <= FEW else axis, F.col("k") == F.col("_r")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(self.order))))
         power = F.when(F.col("_o") == 0, F.lit(1.0)).otherwise(F.pow("_t", F.col("_o")))
         return totalled(hit.select(*batch(df), F.col("_o").cast("long").alias("k"), *[(power * F.col(p)).alias(p) for p in parts(df)]))
 
@@ -305,54 +290,73 @@ class LinearRegression(Regression):
 
 class CausalIntegration(LinOp):
     """Running sum times sampling along an axis: full, half (less half the sample) or trapezoidal (less half the first
-    sample too). The window's lines are partitioned by the other axes; missing samples count as 0."""
+    sample too). Missing samples count as 0.
+
+    A line is cut into blocks of ``block`` samples: sums run inside blocks, and the blocks' sums, one row each, say where
+    each begins. So a long line is many tasks.
+    """
 
-    def __init__(self, dims, axis: int = -1, sampling: float = 1.0, kind: str = "full", removefirst: bool = False):
+    def __init__(self, dims, axis: int = -1, sampling: float = 1.0, kind: str = "full", removefirst: bool = False, block: int = 1 << 16):
         dims = as_dims(dims)
         if kind not in ("full", "half", "trapezoidal"):
-            raise NotImplementedError(f"{kind} is not an available kind")
-        self.axis, self.sampling, self.kind = axis % len(dims), sampling, kind
+            raise NotImplementedError(f"{kind} is no kind of integration: full, half and trapezoidal are")
+        self.axis, self.sampling, self.kind, self.block = axis % len(dims), sampling, kind, block
         self.first = int(removefirst)
         super().__init__(dims, [d - self.first if a == self.axis else d for a, d in enumerate(dims)])
         self.n = dims[self.axis]
 
-    def _dense(self, df, dims, n):
-        """A row for each sample of the lines that have any."""
-        stride = strides(dims)[self.axis]
-        i = coordinate(F.col("k"), dims, self.axis)
-        line = F.col("k") - i * F.lit(stride)
-        lines = df.select(*batch(df), line.alias("_line")).distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-        own = df.withColumn("_line", line).withColumn("_i", i).drop("k")
-        return lines.join(own, [*batch(df), "_line", "_i"], "left").fillna(0.0, parts(df)), stride
+    def _run(self, df, backwards: bool):
+        """Rows (keys, _line, _i, values, sum_ of each value up to the sample, or from it on, first_ of the line)."""
+        keys, p = batch(df), parts(df)
+        i = coordinate(F.col("k"), self.dims, self.axis)
+        line = [*keys, "_line"]
+        blocks = (self.n - 1) // self.block + 1
+        own = df.select(*keys, (F.col("k") - i * F.lit(strides(self.dims)[self.axis])).alias("_line"), i.alias("_i"), F.floor(i / self.block).cast("long").alias("_b"), *p)
+        every = own.select(*line).distinct()
+        if blocks > 1:
+            every = every.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+            sums = every.join(own.groupBy(*line, "_b").agg(*[F.sum(c).alias(c) for c in p]), [*line, "_b"], "left").fillna(0.0, p)
+            before = Window.partitionBy(*line).orderBy(F.desc("_b") if backwards else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+            every = sums.select(*line, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"before_{c}") for c in p])
+            if not backwards:
+                every = every.join(own.where("_i = 0").select(*line, *[F.col(c).alias(f"first_{c}") for c in p]), line, "left").fillna(0.0, [f"first_{c}" for c in p])
+        else:
+            every = every.withColumn("_b", F.lit(0).cast("long"))
+        low = F.col("_b") * self.block
+        dense = every.withColumn("_i", F.explode(F.sequence(low, F.least(low + (self.block - 1), F.lit(self.n - 1).cast("long")))))
+        dense = dense.join(own, [*line, "_b", "_i"], "left").fillna(0.0, p)
+        inside = Window.partitionBy(*line, "_b").orderBy("_i")
+        span = inside.rowsBetween(0, Window.unboundedFollowing) if backwards else inside.rowsBetween(Window.unboundedPreceding, 0)
+        for c in p:
+            dense = dense.withColumn(f"sum_{c}", F.sum(c).over(span) + (F.col(f"before_{c}") if blocks > 1 else F.lit(0.0)))
+            if blocks == 1 and not backwards:
+                dense = dense.withColumn(f"first_{c}", F.first(c).over(inside))
+        return dense
 
     def _forward(self, df):
         keys, p = batch(df), parts(df)
-        dense, stride = self._dense(df, self.dims, self.n)
-        w = Window.partitionBy(*keys, "_line").orderBy("_i")
+        dense, stride = self._run(df, False), strides(self.dims)[self.axis]
         out = []
         for c in p:
-            y = F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+            y = F.col(f"sum_{c}")
             if self.kind != "full":
                 y = y - F.col(c) / 2
             if self.kind == "trapezoidal":
-                y = F.when(F.col("_i") == 0, F.lit(0.0)).otherwise(y - F.first(c).over(w) / 2)
+                y = F.when(F.col("_i") == 0, F.lit(0.0)).otherwise(y - F.col(f"first_{c}") / 2)
             out.append((F.lit(float(self.sampling)) * y).alias(c))
-        dense = dense.select(*keys, "_line", "_i", *out).where(F.col("_i") >= self.first)
         i = F.col("_i") - F.lit(self.first)
         outer = (F.col("_line") - F.col("_line") % F.lit(stride)) / F.lit(stride * self.n)
         k = outer.cast("long") * F.lit((self.n - self.first) * stride) + F.col("_line") % F.lit(stride) + i * F.lit(stride)
-        return dense.select(*keys, k.alias("k"), *p)
+        return dense.where(F.col("_i") >= self.first).select(*keys, k.alias("k"), *out)
 
     def _adjoint(self, df):
         keys, p = batch(df), parts(df)
-        n = self.n - self.first
         if self.first:
             df = df.withColumn("k", moved(F.col("k"), self.dimsd, self.axis, coordinate(F.col("k"), self.dimsd, self.axis) + 1, self.n))
-        dense, stride = self._dense(df, self.dims, n + self.first)
-        w = Window.partitionBy(*keys, "_line").orderBy("_i")
+        dense, stride = self._run(df, True), strides(self.dims)[self.axis]
         out = []
         for c in p:
-            y = F.sum(c).over(w.rowsBetween(0, Window.unboundedFollowing))
+            y = F.col(f"sum_{c}")
             if self.kind == "half":
                 y = y - F.col(c) / 2
             if self.kind == "trapezoidal":
@@ -380,7 +384,7 @@ class FirstDerivative(Stencil):
             rows = (2, n - 3)
             taps = [(-2, 1 / (12 * d), *rows), (-1, -2 / (3 * d), *rows), (1, 2 / (3 * d), *rows), (2, -1 / (12 * d), *rows)] + ends + (mid((1, 1)) + mid((n - 2, n - 2)) if edge else [])
         else:
-            raise NotImplementedError("'kind' must be 'forward', 'centered' or 'backward', 'order' 3 or 5")
+            raise NotImplementedError(f"no derivative of kind {kind} and order {order}: forward, backward, centered of order 3 or 5 are known")
         super().__init__(dims, axis, taps, name="FirstDerivative")
 
 
@@ -395,7 +399,7 @@ class SecondDerivative(Stencil):
         elif kind == "centered":
             taps = three(-1, (1, n - 2)) + (three(0, (0, 0)) + three(-2, (n - 1, n - 1)) if edge else [])
         else:
-            raise NotImplementedError("'kind' must be 'forward', 'centered' or 'backward'")
+            raise NotImplementedError(f"no derivative of kind {kind}: forward, backward and centered are known")
         super().__init__(dims, axis, taps, name="SecondDerivative")
 
 
@@ -478,7 +482,7 @@ class Spread(Relation):
                 table = np.array(made, float)
         table = np.asarray(table, float)
         if table.shape != (nx0, nt0, nx):
-            raise ValueError("table must have shape [nx0 x nt0 x nx]")
+            raise ValueError(f"the table's shape is {table.shape}, not {(nx0, nt0, nx)}")
         a, b, ix = np.nonzero(~np.isnan(table))
         it = table[a, b, ix].astype(int)
         c, r = a * nt0 + b, ix * nt + it
@@ -511,7 +515,7 @@ class VStack(_Stack):
     def __init__(self, ops):
         ops = [op if isinstance(op, LinOp) else MatrixMult(op) for op in ops]
         if len({op.shape[1] for op in ops}) > 1:
-            raise ValueError("operators have different number of columns")
+            raise ValueError("stacked operators take vectors of different sizes")
         super().__init__(ops, ops[0].dims, sum(op.shape[0] for op in ops))
         self.at = self._offsets([op.shape[0] for op in ops])
 
@@ -526,7 +530,7 @@ class HStack(_Stack):
     def __init__(self, ops):
         ops = [op if isinstance(op, LinOp) else MatrixMult(op) for op in ops]
         if len({op.shape[0] for op in ops}) > 1:
-            raise ValueError("operators have different number of rows")
+            raise ValueError("operators side by side give vectors of different sizes")
         super().__init__(ops, sum(op.shape[1] for op in ops), ops[0].dimsd)
         self.at = self._offsets([op.shape[1] for op in ops])
 
@@ -633,4 +637,4 @@ class Conj(_Part):
     _adjoint = _forward
 
 
-__all__ = ["Adjoint", "AxisMatrix", "Block", "BlockDiag", "CausalIntegration", "Conj", "Diagonal", "FirstDerivative", "FirstDirectionalDerivative", "Flip", "FunctionOperator", "Gradient", "HStack", "Identity", "Imag", "Kronecker", "Laplacian", "LinearRegression", "MatrixMult", "MemoizeOperator", "OnAxis", "Pad", "Real", "Regression", "Restriction", "Roll", "SecondDerivative", "SecondDirectionalDerivative", "Smoothing1D", "Smoothing2D", "Spread", "Sum", "Symmetrize", "Transpose", "VStack", "Zero", "along", "relation_frame"]
+__all__ = ["Adjoint", "AxisMatrix", "Block", "BlockDiag", "CausalIntegration", "Conj", "Diagonal", "FirstDerivative", "FirstDirectionalDerivative", "Flip", "FunctionOperator", "Gradient", "HStack", "Identity", "Imag", "Kronecker", "Laplacian", "LinearRegression", "MatrixMult", "MemoizeOperator", "OnAxis", "Pad", "Real", "Regression", "Restriction", "Roll", "SecondDerivative", "SecondDirectionalDerivative", "Smoothing1D", "Smoothing2D", "Spread", "Sum", "Symmetrize", "Transpose", "VStack", "Zero", "relation_frame"]

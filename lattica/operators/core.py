@@ -575,11 +575,15 @@ class Stencil(LinOp):
 
 
 class Relation(LinOp):
-    """Operator of a relation (r, c, a[, ai]): y[r] = sum of a x[c]. ``make`` builds the relation's frame from a session."""
+    """Operator of a relation (r, c, a[, ai]): y[r] = sum of a x[c]. ``make`` builds the relation's frame from a session.
 
-    def __init__(self, dims, dimsd, make: Callable[[SparkSession], DataFrame], is_complex: bool = False, name: str | None = None):
+    With ``inner`` it acts on the leading part of positions, each row and column standing for ``inner`` neighbours in turn:
+    the join goes by the leading part, so the relation isn't repeated.
+    """
+
+    def __init__(self, dims, dimsd, make: Callable[[SparkSession], DataFrame], is_complex: bool = False, name: str | None = None, inner: int = 1):
         super().__init__(dims, dimsd, name)
-        self.make, self.is_complex = make, is_complex
+        self.make, self.is_complex, self.inner = make, is_complex, int(inner)
 
     def relation(self) -> DataFrame:
         return self.make(session())
@@ -593,7 +597,11 @@ class Relation(LinOp):
             values = [(F.col("_a") * F.col("re") - turn * F.col("im")).alias("re"), (F.col("_a") * F.col("im") + turn * F.col("re")).alias("im")]
         else:
             values = [(F.col("_a") * F.col(p)).alias(p) for p in parts(df)]
-        return totalled(df.join(rel, df["k"] == rel["_" + by]).select(*batch(df), F.col("_" + to).alias("k"), *values))
+        if self.inner == 1:
+            return totalled(df.join(rel, df["k"] == rel["_" + by]).select(*batch(df), F.col("_" + to).alias("k"), *values))
+        at = F.col("k") % F.lit(self.inner)
+        hit = df.withColumn("_at", at).withColumn("_lead", ((F.col("k") - at) / F.lit(self.inner)).cast("long")).join(rel, F.col("_lead") == F.col("_" + by))
+        return totalled(hit.select(*batch(df), (F.col("_" + to) * F.lit(self.inner) + F.col("_at")).alias("k"), *values))
 
     def _forward(self, df):
         return self._join(df, "c", "r", 1.0)

@@ -21,7 +21,7 @@ class Convolve1D(Stencil):
         n = as_dims(dims)[axis]
         m = max(n, len(h)) if h.ndim == 1 else n
         if offset > len(h) - 1:
-            raise ValueError("offset must be less than the length of h")
+            raise ValueError(f"no sample {offset} in a filter of {len(h)}")
         super().__init__(dims, axis, [(offset - k, c, k - offset, n - 1 + k - offset) for k, c in enumerate(h.tolist())], m, "Convolve1D")
 
 
@@ -65,7 +65,7 @@ def _neighbours(n: int, ih) -> list[tuple[int, int, float]]:
     ih = np.asarray(ih, float)
     step = ih[1] - ih[0] if len(ih) > 1 else 1.0
     if len(np.unique(np.diff(ih))) > 1:
-        raise ValueError("the indices of the filters 'ih' are not regularly sampled")
+        raise ValueError("the filters' centres aren't at equal distances")
     out = []
     for i in range(n):
         q = float((i - ih[0]) / step)
@@ -217,7 +217,7 @@ class FFTND(_Composite):
 class FFT2D(FFTND):
     def __init__(self, dims, axes=(-2, -1), nffts=None, sampling=1.0, norm="ortho", real=False, ifftshift_before=False, fftshift_after=False):
         if len(axes) != 2:
-            raise ValueError("FFT2D must be applied along exactly two dimensions")
+            raise ValueError(f"two axes are needed, not {len(axes)}")
         super().__init__(dims, axes, nffts, sampling, norm, real, ifftshift_before, fftshift_after)
         self.f1, self.f2 = self.fs
 
@@ -247,7 +247,7 @@ def dct_matrix(n: int, kind: int) -> np.ndarray:
     if kind == 4:
         return (2 / n) ** 0.5 * np.cos(np.pi * (2 * i + 1) * (2 * k + 1) / (4 * n))
     if kind not in (2, 3):
-        raise ValueError("wrong value supplied for type; type can only be 1, 2, 3 or 4")
+        raise ValueError(f"there is no cosine transform of type {kind}, only 1 to 4")
     m = (2 / n) ** 0.5 * np.cos(np.pi * (2 * i + 1) * k / (2 * n))
     m[0] *= 0.5**0.5
     return m if kind == 2 else m.T
@@ -337,9 +337,9 @@ def Interp(dims, iava, axis: int = -1, kind: str = "linear"):  # noqa: N802
     elif kind == "linear":
         iava = np.where(iava >= n - 1, n - 1 - 1e-10, iava)
     elif kind != "sinc":
-        raise NotImplementedError("kind is not correct...")
+        raise NotImplementedError(f"no interpolation is called {kind}: nearest, linear and sinc are known")
     if len(np.unique(iava)) != len(iava):
-        raise ValueError("Repeated values in iava array")
+        raise ValueError("each position of iava may stand once")
     j = np.arange(len(iava))
     if kind == "nearest":
         return Restriction(dims, iava, axis), iava
@@ -358,7 +358,7 @@ class Bilinear(Relation):
     def __init__(self, iava, dims):
         dims, (a, b) = as_dims(dims), np.asarray(iava, float)
         if len(np.unique(np.stack([a, b]), axis=1).T) != len(a):
-            raise ValueError("Repeated values in iava array")
+            raise ValueError("each position of iava may stand once")
         a, b = np.minimum(a, dims[0] - 1 - 1e-10), np.minimum(b, dims[1] - 1 - 1e-10)
         i, j = np.floor(a).astype(int), np.floor(b).astype(int)
         u, v = a - i, b - j
@@ -366,11 +366,7 @@ class Bilinear(Relation):
         corners = [(i, j, (1 - u) * (1 - v)), (i + 1, j, u * (1 - v)), (i, j + 1, (1 - u) * v), (i + 1, j + 1, u * v)]
         r, c, w = np.concatenate([n] * 4), np.concatenate([x * dims[1] + y for x, y, _ in corners]), np.concatenate([w for *_, w in corners])
 
-        def make(spark):
-            rel = relation_frame(spark, r, c, w).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(rest - 1))))
-            return rel.select((F.col("r") * rest + F.col("o")).alias("r"), (F.col("c") * rest + F.col("o")).alias("c"), "a")
-
-        super().__init__(dims, (len(a), *dims[2:]), make, name="Bilinear")
+        super().__init__(dims, (len(a), *dims[2:]), lambda spark: relation_frame(spark, r, c, w), name="Bilinear", inner=rest)
 
 
 class Fredholm1(Relation):
@@ -381,18 +377,14 @@ class Fredholm1(Relation):
         ns, nx, ny = shape or array.shape
 
         def make(spark):
-            if array is None:
-                rel = G
-            else:
+            if array is not None:
                 s, i, j = np.nonzero(array)
-                rel = relation_frame(spark, (s * nx + i), (s * ny + j), array[s, i, j])
-                rel = rel.withColumn("s", (F.col("c") / ny).cast("long")).withColumn("i", F.col("r") % nx).withColumn("j", F.col("c") % ny).drop("r", "c")
-            rest = [c for c in rel.columns if c in ("a", "ai")]
-            rel = rel.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(nz - 1))))
-            return rel.select(((F.col("s") * nx + F.col("i")) * nz + F.col("z")).cast("long").alias("r"), ((F.col("s") * ny + F.col("j")) * nz + F.col("z")).cast("long").alias("c"), *rest)
+                return relation_frame(spark, s * nx + i, s * ny + j, array[s, i, j])
+            rest = [c for c in G.columns if c in ("a", "ai")]
+            return G.select((F.col("s") * nx + F.col("i")).cast("long").alias("r"), (F.col("s") * ny + F.col("j")).cast("long").alias("c"), *rest)
 
         one = nz == 1
-        super().__init__((ns, ny) if one else (ns, ny, nz), (ns, nx) if one else (ns, nx, nz), make, "ai" in G.columns if array is None else np.iscomplexobj(array), "Fredholm1")
+        super().__init__((ns, ny) if one else (ns, ny, nz), (ns, nx) if one else (ns, nx, nz), make, "ai" in G.columns if array is None else np.iscomplexobj(array), "Fredholm1", nz)
 
 
 def _unitless(axis: np.ndarray, centered: bool) -> tuple[np.ndarray, float]:
@@ -434,7 +426,7 @@ class _Radon(Relation):
             return rel.select("c", F.explode(F.array(F.struct(F.col("r").alias("r"), (1 - F.col("d")).alias("a")), F.struct((F.col("r") + 1).alias("r"), F.col("d").alias("a")))).alias("x")).select("x.r", "c", "x.a")
 
         if not callable(kind) and kind not in ("linear", "parabolic", "hyperbolic"):
-            raise NotImplementedError("kind must be linear, parabolic, or hyperbolic")
+            raise NotImplementedError(f"{kind} is no curve: linear, parabolic, hyperbolic or a function are")
         super().__init__((np_, nt), (nh, nt), make, name=name)
 
 

@@ -108,7 +108,7 @@ class Kirchhoff(_Composite):
             mesh = np.stack([m.ravel() for m in np.meshgrid(*axes, indexing="ij")], axis=1)
             ts, tr = (np.linalg.norm(mesh[:, None, :] - pts.T[None], axis=2) / vel for pts in (srcs, recs))
         else:
-            raise NotImplementedError("method must be analytic, eikonal or byot")
+            raise NotImplementedError(f"{mode} is no mode: analytic, eikonal and byot are")
         n = size(dims)
 
         def make(spark):
@@ -139,7 +139,7 @@ class LSM:
 
     def __init__(self, z, x, t, srcs, recs, vel, wav, wavcenter, y=None, kind: str = "kirchhoff", **kwargs):
         if kind != "kirchhoff":
-            raise NotImplementedError("kind must be kirchhoff")
+            raise NotImplementedError(f"no engine is called {kind}")
         self.Demop = Kirchhoff(z, x, t, srcs, recs, vel, wav, wavcenter, y, **kwargs)
 
     def solve(self, d, solver: Callable | None = None, **kwargs) -> np.ndarray:
@@ -157,7 +157,7 @@ def MDC(G, nt: int, nv: int, dt: float = 1.0, dr: float = 1.0, twosided: bool =
     """Multi-dimensional convolution F^H G F of data (nt, nr, nv) with a kernel (nf, ns, nr) of frequencies."""
     G = np.asarray(G)  # noqa: N806
     if twosided and nt % 2 == 0:
-        raise ValueError("nt must be odd number")
+        raise ValueError(f"a two-sided model has an odd number of times, not {nt}")
     nf, ns, nr = G.shape
     nfft = nt // 2 + 1
     if nf > nfft:
@@ -291,7 +291,7 @@ def WavefieldDecomposition(p, vz, nt, nr, dt, dr, rho, vel, critical=100.0, ntap
         scaled = PressureToVelocity(nt, nr, dt, dr, rho, vel, critical, ntaper, True).matvec(vz.ravel()).reshape(p.shape).real
         return (p - scaled) / 2, (p + scaled) / 2
     if kind != "inverse":
-        raise KeyError("kind must be analytical or inverse")
+        raise KeyError(f"{kind} is no way to decompose: analytical and inverse are")
     op = UpDownComposition2D(nt, nr, dt, dr, rho, vel, critical, ntaper, scaling)
     x = lsqr(op, np.concatenate([p.ravel(), scaling * vz.ravel()]).astype(complex), niter=niter, **kwargs)[0]
     down, up = x.reshape(2, *p.shape).real

@@ -163,9 +163,10 @@ _on_vectors("matrix_otherdims", lambda: basic.MatrixMult(_K1, (8,)), f"select i0
 _on_vectors("fredholm1", lambda: signal.Fredholm1(np.fromfunction(lambda s, i, j: s + i + j + 1.0, (2, 3, 32))), f"select i0, i1 // 32 i1, i::bigint i2, {RS} from (select i0, i1, i, (i1 // 32 + i + i1 % 32 + 1e0) * v v from emb, range(3) r(i)) t group by i0, i1 // 32, i")
 _on_vectors(
     "avo_akirichards",
-    lambda: avo.AVOLinearModelling([10.0, 30.0], 0.5, 21),
-    f"""select i0, t::bigint i1, a::bigint i2, {RS} from (select i0, i1 // 3 t, a, v * case i1 % 3 when 0 then 1 / (2 * cos(th) * cos(th)) when 1 then -1e0 * sin(th) * sin(th) else 0.5e0 - 0.5e0 * sin(th) * sin(th) end v
-      from emb, (values (0, radians(10e0)), (1, radians(30e0))) x(a, th) where i1 < 63) t group by 1, 2, 3""",
+    lambda: avo.AVOLinearModelling([10.0, 30.0], 0.5, 32),
+    f"""select i0, i1 // 2 i1, p::bigint i2, {RS} from (select i0, i1, p, v * case p when 0 then 1 / (2 * cos(th) * cos(th)) when 1 then -1e0 * sin(th) * sin(th) else 0.5e0 - 0.5e0 * sin(th) * sin(th) end v
+      from emb join (values (0, radians(10e0)), (1, radians(30e0))) x(a, th) on i1 % 2 = a, range(3) s(p)) t group by i0, i1 // 2, p""",
+    True,
 )
 
 

@@ -28,6 +28,8 @@ REAL = {
     "restriction": lambda: basic.Restriction((4, 3), [2, 0], 0),
     "regression": lambda: basic.Regression(np.arange(5.0), 2),
     "integration": lambda: basic.CausalIntegration((5, 2), 0, 0.5, "half"),
+    "integration in blocks": lambda: basic.CausalIntegration((2, 11), kind="trapezoidal", block=3),
+    "integration in blocks, half": lambda: basic.CausalIntegration((11, 2), 0, 0.5, "half", True, block=4),
     "integration first removed": lambda: basic.CausalIntegration((2, 5), kind="trapezoidal", removefirst=True),
     "first derivative": lambda: basic.FirstDerivative((3, 7), 0),
     "first derivative 5 edge": lambda: basic.FirstDerivative(9, edge=True, order=5, sampling=2.0),
@@ -127,6 +129,9 @@ def test_dense_probes(spark):
     want[:, 1:-1] += x[:, 2:] - 2 * x[:, 1:-1] + x[:, :-2]
     assert np.allclose(basic.Laplacian((5, 6)) @ x, want)
     assert np.allclose(basic.CausalIntegration((5, 6), 0) @ x, np.cumsum(x, axis=0))
+    for kind in ("full", "half", "trapezoidal"):
+        whole, cut = basic.CausalIntegration((5, 6), 1, 2.0, kind), basic.CausalIntegration((5, 6), 1, 2.0, kind, block=4)
+        assert np.allclose(whole @ x, cut @ x) and np.allclose(whole.rmatvec(x), cut.rmatvec(x))
     h = rng.normal(size=3)
     assert np.allclose(signal.Convolve1D(6, h, 1) @ X, np.convolve(X, h, "same"))
     assert np.allclose(signal.FFT2D((5, 6)) @ x, np.fft.fft2(x) / np.sqrt(30))

@@ -21,7 +21,6 @@ from lattica.llm.skew import split_join
 from lattica.llm.staging import drop, stage
 from lattica.llm.textops import BYTES, mix, pieces, raw, tidy
 
-SPACE = np.array([32, 9, 10, 11, 12, 13], np.uint32)
 
 
 class Lines:
@@ -38,7 +37,7 @@ class Lines:
         n = np.searchsorted(new, at[1:]) - np.searchsorted(new, at[:-1]) + 1
         self.doc = np.repeat(np.arange(len(at) - 1), n)
         self.number = np.arange(len(start)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-        solid = np.flatnonzero(~np.isin(self.codes, SPACE))
+        solid = np.flatnonzero((self.codes != 32) & ((self.codes < 9) | (self.codes > 13)))
         if len(solid):
             first, last = np.searchsorted(solid, start), np.searchsorted(solid, end) - 1
             some = first <= last
@@ -47,10 +46,8 @@ class Lines:
         else:
             self.start = self.end = start
         self.size = self.end - self.start
-        self.name = (BYTES(self.codes.astype(np.uint64) + np.uint64(1), self.start, self.end) ^ mix(self.size.astype(np.uint64))).view(np.int64)
-
-    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return BYTES(self.codes.astype(np.uint64) + np.uint64(1), start, end)
+        self.sums = BYTES.sums(self.codes.astype(np.uint64) + np.uint64(1))
+        self.name = (BYTES.of(self.sums, self.start, self.end) ^ mix(self.size.astype(np.uint64))).view(np.int64)
 
     def text(self, i: int) -> str:
         return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "replace")
@@ -66,14 +63,13 @@ def segment(size: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarra
 def keys_of(lines: Lines, which: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line, whether it is a probe) of the segments and probes of the lines in ``which``."""
     parts = threshold + 1
-    codes = lines.codes.astype(np.uint64) + np.uint64(1)
     size, start = lines.size[which], lines.start[which]
     keys, owner, probe = [], [], []
 
     def add(ok, offset, length, short, i, is_probe):
         begin = start[ok] + offset[ok]
         tag = mix((short[ok] * parts + i).astype(np.uint64))
-        keys.append((BYTES(codes, begin, begin + length[ok]) ^ tag).view(np.int64))
+        keys.append((BYTES.of(lines.sums, begin, begin + length[ok]) ^ tag).view(np.int64))
         owner.append(which[ok])
         probe.append(np.full(len(begin), is_probe, np.int32))
 

@@ -111,13 +111,20 @@ class Rolling:
                 powers[0] = 1
                 setattr(self, name, np.cumprod(powers, dtype=U))
 
-    def __call__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Prefix sums of a sequence, from which of() takes slices."""
         n = len(values)
         self._grow(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(values.astype(U, copy=False) * self.up[:n], out=sums[1:])
+        out = np.zeros(n + 1, U)
+        np.cumsum(values.astype(U, copy=False) * self.up[:n], out=out[1:])
+        return out
+
+    def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((sums[ends] - sums[starts]) * self.down[starts])
 
+    def __call__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.of(self.sums(values), starts, ends)
+
 
 BYTES = Rolling(0x9E3779B97F4A7C15)
 WINDOW = Rolling(0xD1342543DE82EF95)

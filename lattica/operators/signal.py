@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from math import comb
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.tapers import taper
@@ -265,28 +266,88 @@ class DCT(_Composite):
         super().__init__(op, "DCT")
 
 
-def wavelet_filter(wavelet: str) -> np.ndarray:
-    """Scaling filter of haar or dbN, from the roots of Daubechies' polynomial inside the unit circle."""
-    n = 1 if wavelet == "haar" else int(wavelet[2:]) if wavelet.startswith("db") and wavelet[2:].isdigit() else 0
-    if not 1 <= n <= 16:
-        raise ValueError(f"'{wavelet}' is not a wavelet of the families haar and db1 to db16")
-    roots = []
+def _groups(n: int) -> list[list[complex]]:
+    """Roots inside the unit circle of the polynomial that makes n vanishing moments orthonormal, conjugates together."""
+    out: list[list[complex]] = []
     for y in np.roots([comb(n - 1 + k, k) for k in reversed(range(n))]) if n > 1 else []:
+        if y.imag < -1e-12:
+            continue
         z = np.roots([1, -2 + 4 * y, 1])
-        roots.append(z[np.argmin(abs(z))])
+        z = z[np.argmin(abs(z))]
+        out.append([z, np.conj(z)] if y.imag > 1e-12 else [z.real])
+    return out
+
+
+def _scaling(n: int, roots) -> np.ndarray:
     h = np.real(np.poly([*roots, *[-1] * n]))
     return h / h.sum() * 2**0.5
 
 
+def _bend(h: np.ndarray) -> float:
+    """How far a filter's phase is from a straight line, where it passes."""
+    w = np.linspace(0.02, np.pi * 0.75, 200)
+    response = np.exp(-1j * np.outer(w, np.arange(len(h)))) @ h
+    phase = np.unwrap(np.angle(response))
+    slope = (w @ phase) / (w @ w)
+    return float(np.sum(np.abs(response) ** 2 * (phase - slope * w) ** 2))
+
+
+def wavelet_filters(wavelet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, dual low, dual high): x is taken apart by the first two and put together by the others.
+
+    haar and dbN have the roots of least phase, symN those whose phase is the straightest; biorA.B are splines of A vanishing
+    moments for putting together and B for taking apart, rbioA.B the other way round.
+    """
+    family = wavelet.rstrip("0123456789.")
+    order = wavelet[len(family) :]
+    try:
+        if wavelet == "haar" or family == "db" and 1 <= int(order) <= 16:
+            n = 1 if wavelet == "haar" else int(order)
+            low = _scaling(n, [z for g in _groups(n) for z in g])
+        elif family == "sym" and 2 <= int(order) <= 12:
+            n, groups = int(order), _groups(int(order))
+            choices = [_scaling(n, [1 / z if pick >> k & 1 else z for k, g in enumerate(groups) for z in g]) for pick in range(1 << len(groups))]
+            low = min(choices, key=lambda h: round(_bend(h), 9))
+        elif family in ("bior", "rbio"):
+            a, b = map(int, order.split("."))
+            if (a + b) % 2 or not (1 <= a <= 3 and 1 <= b <= 9):
+                raise ValueError
+            spline = lambda m: np.array([comb(m, k) / 2**m for k in range(m + 1)])
+            q, y = np.zeros(1), np.array([-0.25, 0.5, -0.25])
+            power = np.ones(1)
+            for k in range((a + b) // 2):  # the half-band polynomial in y = sin(w / 2) ** 2, centred
+                q = np.pad(q, ((len(power) - len(q)) // 2,)) + comb((a + b) // 2 - 1 + k, k) * power
+                power = np.convolve(power, y)
+            low, dual = 2**0.5 * np.convolve(spline(b), q), 2**0.5 * spline(a)
+            front = (len(low) - len(dual)) // 2
+            dual = np.pad(dual, (front, len(low) - len(dual) - front))
+            if len(low) % 2:  # an even length puts the high ones one sample on
+                low, dual = np.pad(low, (0, 1)), np.pad(dual, (0, 1))
+            if family == "rbio":
+                low, dual = dual, low
+            sign = (-1.0) ** np.arange(len(low))
+            return low, dual[::-1] * sign, dual, low[::-1] * sign
+        else:
+            raise ValueError
+    except ValueError:
+        raise ValueError(f"'{wavelet}' is no wavelet here: haar, db1 to db16, sym2 to sym12, and biorA.B and rbioA.B with A up to 3 and B up to 9 are") from None
+    high = low[::-1] * (-1.0) ** np.arange(len(low))
+    return low, high, low, high
+
+
+def wavelet_filter(wavelet: str) -> np.ndarray:
+    return wavelet_filters(wavelet)[0]
+
+
 class DWT(Traces):
-    """Periodic wavelet transform along an axis, zeros appended up to a length that halves ``level`` times. Samples are
-    the coarsest averages, then the details from coarse to fine; the transform is orthonormal."""
+    """Periodic wavelet transform along an axis, zeros appended up to a length that halves ``level`` times. Samples are the
+    coarsest averages, then the details from coarse to fine. It is orthonormal but for biorthogonal wavelets, whose inverse()
+    isn't the adjoint."""
 
     def __init__(self, dims, axis: int = -1, wavelet: str = "haar", level: int = 1):
         n = as_dims(dims)[axis]
         m = max(2 ** int(np.ceil(np.log2(n))), 2**level)
-        low = wavelet_filter(wavelet)
-        high = low[::-1] * (-1.0) ** np.arange(len(low))
+        low, high, dual_low, dual_high = wavelet_filters(wavelet)
 
         def forward(x):
             x = np.pad(x, ((0, 0), (0, m - n)))
@@ -298,7 +359,7 @@ class DWT(Traces):
                 x = x[:, at] @ low
             return np.concatenate([x, *reversed(details)], axis=1)
 
-        def adjoint(y):
+        def together(y, low, high):
             half = m >> level
             x = y[:, :half]
             for _ in range(level):
@@ -306,11 +367,16 @@ class DWT(Traces):
                 at = (2 * np.arange(half)[:, None] + np.arange(len(low))[None, :]) % (2 * half)
                 out = np.zeros((len(y), 2 * half), y.dtype)
                 for t in range(len(low)):
-                    out[:, at[:, t]] += x * low[t] + d * high[t]
+                    np.add.at(out, (slice(None), at[:, t]), x * low[t] + d * high[t])
                 x, half = out, 2 * half
             return x[:, :n]
 
-        super().__init__(dims, axis, m, forward, adjoint, False, None, "DWT")
+        super().__init__(dims, axis, m, forward, lambda y: together(y, low, high), False, None, "DWT")
+        self._inverse = Traces(self.dimsd, self.axis, n, lambda y: together(y, dual_low, dual_high), forward, False, None, "IDWT")
+
+    def inverse(self, y):
+        """What the transform was taken of."""
+        return self._inverse.forward(y) if isinstance(y, DataFrame) else self._inverse.matvec(np.ravel(y))
 
 
 class DWTND(_Composite):

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import functions as F
 
-from lattica.operators.basic import Block, BlockDiag, Diagonal, HStack, Identity, MatrixMult, Roll, VStack, _Composite
-from lattica.operators.core import LinOp, Relation, Stencil, as_dims, coordinate, size
+from lattica.functions.tapers import tapernd
+from lattica.operators.basic import Block, BlockDiag, Diagonal, HStack, Identity, MatrixMult, Pad, Roll, VStack, _Composite
+from lattica.operators.core import LinOp, Relation, Stencil, as_dims, batch, coordinate, size, totalled
 from lattica.operators.signal import FFT, FFTND, Convolve1D, Fredholm1, Shift
 
 
@@ -149,10 +150,6 @@ class LSM:
         return np.reshape(out[0] if isinstance(out, tuple) else out, self.Demop.dims)
 
 
-class _Truncate(Identity):
-    """Complex low frequencies of a spectrum (nf, ...)."""
-
-
 def MDC(G, nt: int, nv: int, dt: float = 1.0, dr: float = 1.0, twosided: bool = True, conj: bool = False, prescaled: bool = False):  # noqa: N802, N803
     """Multi-dimensional convolution F^H G F of data (nt, nr, nv) with a kernel (nf, ns, nr) of frequencies."""
     G = np.asarray(G)  # noqa: N806
@@ -224,20 +221,40 @@ class PhaseShift(_Composite):
         super().__init__(ft.H @ fx.H @ op @ fx @ ft, "PhaseShift", ft.dims, ft.dims)
 
 
-def Deghosting(p, nt, nr, dt, dr, vel, zrec, kind="p", win=None, npad=0, ntaper=0, niter=20, **kwargs):  # noqa: N802
-    """(up-going, down-going) parts of pressure or velocity (nt, [nry,] nrx) below a free surface: the ghost is the
-    up-going part moved over twice the depth, of opposite sign for pressure."""
+def Deghosting(p, nt, nr, dt, dr, vel, zrec, kind="p", pd=None, win=None, npad=0, ntaper=0, restriction=None, sptransf=None, solver=None, niter=20, **kwargs):  # noqa: N802
+    """(up-going, down-going) parts of pressure or velocity (nt, [nry,] nrx) below a free surface.
+
+    The ghost is the up-going part, tapered by ``ntaper`` traces at the edges and padded by ``npad``, moved over twice the
+    depth, of opposite sign for pressure. pd, the direct wave, is taken off first and counts as down-going; win is a window
+    that data and model of them share; restriction says which traces there are, and sptransf the domain that is solved for.
+    """
     from lattica.plans.solvers import lsqr
 
-    nr, dr = as_dims(nr), np.atleast_1d(dr)
-    f = np.fft.rfftfreq(nt, dt)
-    ks = [np.fft.fftfreq(n, d) for n, d in zip(nr, np.broadcast_to(dr, len(nr)), strict=True)]
-    shift = PhaseShift(vel, 2 * zrec, nt, f, ks[-1], ks[0] if len(nr) == 2 else None)
-    sign = -1.0 if kind == "p" else 1.0
-    op = Identity(shift.shape[0]) + sign * shift
-    data = np.ravel(p if win is None else p * win)
-    up = lsqr(op, data, niter=niter, **kwargs)[0]
-    return up.reshape(np.shape(p)), np.reshape(p, -1).reshape(np.shape(p)) - up.reshape(np.shape(p))
+    if kind not in ("p", "vz"):
+        raise ValueError(f"{kind} is no kind of data: p and vz are")
+    nr = as_dims(nr)
+    npad, ntaper = (np.broadcast_to(x, len(nr)) for x in (npad, ntaper))
+    wide = [n + 2 * int(q) for n, q in zip(nr, npad, strict=True)]
+    ks = [np.fft.fftfreq(n, d) for n, d in zip(wide, np.broadcast_to(dr, len(nr)), strict=True)]
+    shift = PhaseShift(vel, 2 * zrec, nt, np.fft.rfftfreq(nt, dt), ks[-1], ks[0] if len(nr) == 2 else None)
+    if npad.any():
+        pad = Pad((nt, *nr), [(0, 0), *[(int(q), int(q)) for q in npad]])
+        shift = pad.H @ shift @ pad
+    if ntaper.any():
+        edge = tapernd(nr, [int(x) for x in ntaper])
+        shift = shift @ Diagonal(np.broadcast_to(edge, (nt, *nr)).ravel())
+    ghost = Identity(shift.shape[0]) + (-1.0 if kind == "p" else 1.0) * shift
+    data = np.ravel(p) - (0.0 if pd is None else np.ravel(pd) if restriction is None else restriction.matvec(np.ravel(pd)))
+    op = ghost if restriction is None else restriction @ ghost
+    if win is not None:
+        w = np.broadcast_to(win, np.shape(p)).ravel().astype(float)
+        op, data = Diagonal(w) @ op, w * data
+    if sptransf is not None:
+        op = op @ sptransf
+    up = (solver or lsqr)(op, data, niter=niter, **kwargs)[0]
+    up = np.real(up if sptransf is None else sptransf.matvec(up))
+    down = np.ravel(ghost.matvec(up)).real - up + (0.0 if pd is None else np.ravel(pd)) if restriction is not None else np.ravel(p) - up
+    return up.reshape(nt, *nr), down.reshape(nt, *nr)
 
 
 def _obliquity(nt, nr, dt, dr, rho, vel, critical=100.0, ntaper=10, composition=True):
@@ -298,48 +315,83 @@ def WavefieldDecomposition(p, vz, nt, nr, dt, dr, rho, vel, critical=100.0, ntap
     return up, down
 
 
+def smoothed(x: np.ndarray, n: int) -> np.ndarray:
+    """Moving mean of n along the last axis, forwards and then backwards, so without a delay; beyond its ends a line goes on
+    by reflection through its end points, and before that as the last value."""
+    far = min(3 * n, x.shape[-1] - 1)
+    x = np.concatenate([2 * x[..., :1] - x[..., far:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -far - 2 : -1]], axis=-1)
+    for _ in range(2):
+        x = np.concatenate([np.repeat(x[..., :1], n, axis=-1), x], axis=-1)
+        sums = np.cumsum(x, axis=-1)
+        x = ((sums[..., n:] - sums[..., :-n]) / n)[..., ::-1]
+    return x[..., far : x.shape[-1] - far]
+
+
 class Marchenko:
-    """Focusing functions by inversion of coupled reflection responses R (ns, nr, nt)."""
+    """Focusing functions by inversion of coupled reflection responses R (ns, nr, nt), or their spectra with nt.
+
+    Times run from -(nt - 1) to nt - 1. With W the window between the direct wave and its mirror, R the convolution with
+    the responses and R* the correlation, f solves [1, -W R; -W R*, 1] [W, 0; 0, W] f = [W R fd; 0], fd being the direct
+    wave reversed in time.
+    """
 
-    def __init__(self, R, dt=0.004, dr=1.0, nfmax=None, toff=0.0, nsmooth=10):  # noqa: N803
-        R = np.asarray(R, float)  # noqa: N806
-        self.ns, self.nr, self.nt = R.shape
-        self.dt, self.dr, self.toff, self.nsmooth = dt, dr, toff, nsmooth
+    def __init__(self, R, dt=0.004, nt=None, dr=1.0, nfmax=None, wav=None, toff=0.0, nsmooth=10, prescaled=False):  # noqa: N803
+        R = np.asarray(R)  # noqa: N806
+        if np.iscomplexobj(R) and nt is None:
+            raise ValueError("responses by frequency need nt")
+        self.ns, self.nr = R.shape[:2]
+        self.nt = nt if np.iscomplexobj(R) else R.shape[2]
+        self.dt, self.dr, self.wav, self.toff, self.nsmooth, self.prescaled = dt, dr, wav, toff, nsmooth, prescaled
         self.nt2 = 2 * self.nt - 1
-        spectrum = np.fft.rfft(R, self.nt2, axis=-1) / np.sqrt(self.nt2)
-        nf = min(nfmax or spectrum.shape[-1], spectrum.shape[-1])
-        self.kernel = np.moveaxis(spectrum[..., :nf], -1, 0)
-
-    def _window(self, trav) -> np.ndarray:
-        """Passes what lies before the direct wave, and after its mirror, with smooth edges."""
-        t = (np.arange(self.nt2) - self.nt + 1)[:, None] * self.dt
-        w = (np.abs(t) < np.maximum(np.asarray(trav) - self.toff, 0)[None, :]).astype(float)
-        if self.nsmooth > 1:
-            w = np.apply_along_axis(lambda x: np.convolve(x, np.ones(self.nsmooth) / self.nsmooth, "same"), 0, w)
-        return w
-
-    def operators(self, trav) -> tuple[LinOp, LinOp, LinOp, Diagonal]:
-        r = MDC(self.kernel, self.nt2, 1, self.dt, self.dr, True)
-        back = MDC(self.kernel, self.nt2, 1, self.dt, self.dr, True, conj=True)
-        roll = Roll((self.nt2, self.ns), 0, -1) if self.nt2 % 2 == 0 else Identity(self.nt2 * self.ns)
-        w = Diagonal(self._window(trav))
-        centre = Roll((self.nt2, self.ns), 0, self.nt - 1)
-        return centre @ r, roll @ centre @ back, Identity(self.nt2 * self.ns), w
-
-    def apply_onepoint(self, trav, G0, niter: int = 10, **kwargs):  # noqa: N803
-        """(f1 minus, f1 plus, green minus, green plus), each (nt2, ns), for one focal point with direct wave G0 (ns, nt)."""
+        if not np.iscomplexobj(R):
+            # Responses begin in the middle of the two-sided times.
+            R = np.fft.rfft(np.pad(R, ((0, 0), (0, 0), (self.nt - 1, 0))), axis=-1) / np.sqrt(self.nt2)  # noqa: N806
+        nf = min(nfmax or R.shape[-1], (self.nt2 + 1) // 2, R.shape[-1])
+        self.kernel = np.moveaxis(R[..., :nf], -1, 0)
+
+    def window(self, trav) -> np.ndarray:
+        """(nt2, receivers, points): 1 before the direct wave and after its mirror, smooth at the edges."""
+        last = np.round((np.asarray(trav, float) - self.toff) / self.dt).astype(int)[..., None]
+        w = (np.abs(np.arange(self.nt2) - self.nt + 1) < last).astype(float)
+        return np.moveaxis(smoothed(w, self.nsmooth) if self.nsmooth > 0 else w, -1, 0)
+
+    def operators(self, nv: int = 1) -> tuple[LinOp, LinOp]:
+        """(R, R*) on (nt2, receivers, points): convolution with the responses, and correlation."""
+        make = lambda conj: MDC(self.kernel, self.nt2, nv, self.dt, self.dr, True, conj, self.prescaled)
+        # The correlation's time 0 falls one sample late on an axis of odd length.
+        return make(False), Roll((self.nt2, self.ns * nv), 0, -1) @ make(True)
+
+    def apply_multiplepoints(self, trav, G0=None, nfft=None, rtm: bool = False, greens: bool = False, niter: int = 10, **kwargs):  # noqa: N803
+        """(f1 minus, f1 plus[, p0 minus][, green minus, green plus]) for points with travel times trav (nr, points) and
+        direct waves G0 (nr, points, nt), each (nr, points, nt2)."""
         from lattica.plans.solvers import lsqr
 
-        r, back, one, w = self.operators(trav)
-        direct = np.zeros((self.nt2, self.ns))
-        direct[: self.nt] = np.asarray(G0).T[::-1]
-        m = Block([[one, -1 * (w @ r)], [-1 * (w @ back), one]])
-        rhs = np.concatenate([(w @ r).matvec(direct.ravel()), np.zeros(direct.size)])
-        f = lsqr(m, rhs, niter=niter, **kwargs)[0]
-        minus, plus = f[: direct.size], f[direct.size :] + direct.ravel()
-        g = Block([[one, -1 * r], [-1 * back, one]])
-        green = g.matvec(np.concatenate([minus, plus]))
-        return tuple(x.reshape(self.nt2, self.ns) for x in (minus, plus, -green[: direct.size], green[direct.size :]))
+        trav = np.asarray(trav, float)
+        nv = trav.shape[1]
+        if G0 is None:
+            if self.wav is None or nfft is None:
+                raise ValueError("without G0, wav and nfft are needed")
+            G0 = np.stack([directwave(self.wav, trav[:, v], self.nt, self.dt, nfft=nfft, derivative=True).T for v in range(nv)], axis=1)  # noqa: N806
+        n = self.nt2 * self.nr * nv
+        direct = np.concatenate([np.moveaxis(np.asarray(G0), -1, 0)[::-1], np.zeros((self.nt - 1, self.nr, nv))]).ravel()
+        r, back = self.operators(nv)
+        w, one = Diagonal(self.window(trav).ravel()), Identity(n)
+        p0 = r.matvec(direct)
+        m = Block([[one, -1.0 * (w @ r)], [-1.0 * (w @ back), one]]) @ BlockDiag([w, w])
+        f = lsqr(m, np.concatenate([self.window(trav).ravel() * p0, np.zeros(n)]), niter=niter, **kwargs)[0]
+        f[n:] += direct
+        shape = lambda x: np.moveaxis(x.reshape(self.nt2, -1, nv), 0, -1)
+        out = [shape(f[:n]), shape(f[n:])]
+        if rtm:
+            out.append(shape(p0))
+        if greens:
+            out += [-shape(f[:n] - r.matvec(f[n:])), shape(f[n:] - back.matvec(f[:n]))[..., ::-1]]
+        return tuple(out)
+
+    def apply_onepoint(self, trav, G0=None, nfft=None, rtm: bool = False, greens: bool = False, niter: int = 10, **kwargs):  # noqa: N803
+        """apply_multiplepoints() for one point: trav (nr,), G0 (nr, nt), results (nr, nt2)."""
+        many = self.apply_multiplepoints(np.asarray(trav).reshape(-1, 1), None if G0 is None else np.asarray(G0)[:, None], nfft, rtm, greens, niter, **kwargs)
+        return tuple(x[:, 0] for x in many)
 
 
 def directwave(wav, trav, nt, dt, nfft=None, dist=None, kind="2d", derivative=True) -> np.ndarray:
@@ -361,20 +413,17 @@ def directwave(wav, trav, nt, dt, nfft=None, dist=None, kind="2d", derivative=Tr
 
 
 def hankel2(x: np.ndarray) -> np.ndarray:
-    """H0 of the second kind, J0 - i Y0, from their integrals."""
+    """H0 of the second kind, J0 - i Y0, from their integrals, or far out from its asymptotic form."""
     x = np.asarray(x, float)
-    theta = (np.arange(2000) + 0.5) * np.pi / 2000
     flat = x.ravel()
-    j0, y0 = np.empty_like(flat), np.empty_like(flat)
-    s = np.sin(theta)
-    u = (np.arange(4000) + 0.5) * 12.0 / 4000
-    for i, v in enumerate(flat):
-        if v > 50:
-            j0[i], y0[i] = np.sqrt(2 / (np.pi * v)) * np.cos(v - np.pi / 4), np.sqrt(2 / (np.pi * v)) * np.sin(v - np.pi / 4)
-            continue
-        j0[i] = np.cos(v * s).mean()
-        y0[i] = np.sin(v * s).mean() - 2 / np.pi * np.exp(-v * np.sinh(u)).sum() * (12.0 / 4000)
-    return (j0 - 1j * y0).reshape(x.shape)
+    out = np.sqrt(2 / (np.pi * np.maximum(flat, 1e-300))) * np.exp(-1j * (flat - np.pi / 4))
+    sine = np.sin((np.arange(2000) + 0.5) * np.pi / 2000)
+    sinh = np.sinh((np.arange(4000) + 0.5) * 12.0 / 4000)
+    near = np.flatnonzero(flat <= 50)
+    for at in np.split(near, range(256, len(near), 256)):
+        v = flat[at][:, None]
+        out[at] = np.cos(v * sine).mean(axis=1) - 1j * (np.sin(v * sine).mean(axis=1) - 2 / np.pi * np.exp(-v * sinh).sum(axis=1) * (12.0 / 4000))
+    return out.reshape(x.shape)
 
 
 def SeismicInterpolation(data, nrec, iava, kind="fk", niter=50, eps=0.1, nffts=None, paxis=None, taxis=None, spataxis=None, epsR=0.1, nwin=None, nover=None, nop=None, **kwargs):  # noqa: N802, N803
@@ -463,20 +512,21 @@ class AcousticWave2D(LinOp):
         import pandas as pd
 
         n, per = len(self.src), len(self.rec) * self.nt
-        me = self
+        me, keys = self, batch(df)
         if adjoint:
-            df = df.withColumn("s", ((F.col("k") - F.col("k") % per) / per).cast("int")).withColumn("k", F.col("k") % per)
+            df = df.withColumn("_s", ((F.col("k") - F.col("k") % per) / per).cast("int")).withColumn("k", F.col("k") % per)
         else:
-            df = df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            df = df.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = int(pdf["s"].iloc[0])
+            s = int(pdf["_s"].iloc[0])
             x = np.zeros(per if adjoint else me.c2.size)
             np.add.at(x, pdf["k"].to_numpy(), pdf["v"].to_numpy())
             out = me._unshot(s, x.reshape(len(me.rec), me.nt)) if adjoint else me._shot(s, x.reshape(me.c2.shape))
-            return pd.DataFrame({"k": np.arange(out.size) + (0 if adjoint else s * per), "v": out.ravel()})
+            return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "k": np.arange(out.size) + (0 if adjoint else s * per), "v": out.ravel()})
 
-        return df.groupBy("s").applyInPandas(one, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+        kinds = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), "k long", "v double"])
+        return totalled(df.groupBy(*keys, "_s").applyInPandas(one, kinds))
 
     def _forward(self, df):
         return self._run(df, False)

@@ -153,6 +153,27 @@ def test_dense_probes(spark):
     assert np.allclose(estimates.convmtx(h, 6, 1), signal.Convolve1D(6, h, 1).todense())
 
 
+@pytest.mark.parametrize("wavelet", ["haar", "db5", "sym4", "sym7", "bior1.3", "bior2.2", "bior2.6", "bior3.3", "rbio2.4", "rbio3.1"])
+def test_wavelets_put_together_what_they_take_apart(wavelet):
+    """Perfect reconstruction, and as many vanishing moments of what is taken apart as the name says."""
+    low, high, dual_low, dual_high = signal.wavelet_filters(wavelet)
+    n = 64
+    periodic = lambda f: sum(c * np.eye(n)[(2 * np.arange(n // 2) + t) % n] for t, c in enumerate(f))
+    apart, back = np.vstack([periodic(low), periodic(high)]), np.vstack([periodic(dual_low), periodic(dual_high)])
+    assert np.allclose(back.T @ apart, np.eye(n), atol=1e-9)
+    moments = {"h": 1, "d": 5, "s": int(wavelet[3:4] or 1) if wavelet.startswith("sym") else 0, "b": int(wavelet[4:5] or 0) if "bior" in wavelet else 0, "r": int(wavelet[-1]) if wavelet[-1].isdigit() else 0}[wavelet[0]]
+    assert all(abs(high @ np.arange(len(high)) ** p) < 1e-6 * len(high) ** p for p in range(moments))
+
+
+def test_wavelet_inverse(spark):
+    x = rng.normal(size=24)
+    for wavelet in ("sym3", "bior2.2"):
+        op = signal.DWT(24, wavelet=wavelet, level=2)
+        assert np.allclose(op.inverse(op.matvec(x)), x) and dottest(op)
+    with pytest.raises(ValueError):
+        signal.DWT(8, wavelet="coif9")
+
+
 def test_reflection_and_wavelets():
     args = (2000, 1000, 2.0, 2300, 1200, 2.2, [0, 10, 20])
     assert np.allclose(avo.approx_zoeppritz_pp(*args), avo.zoeppritz_pp(*args))

@@ -267,35 +267,50 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
+    longs = pa.list_(pa.int64())
+
     def cut(batches):
-        cols = ["id", "hash", "number", "name", "key", "probe"]
+        """Rows of two kinds: places of lines, and for each line of the piece the keys of its segments and its probes."""
+        cols = ["id", "hash", "number", "name", "segments", "probes"]
         for batch in pieces(batches, "text"):
             lines = Lines(batch.column("text"))
             some = np.flatnonzero(lines.size >= shortest)
             if not len(some):
                 continue
             d = pa.array(lines.doc[some])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(d), batch.column("hash").take(d), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.name[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32())], names=cols)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(d), batch.column("hash").take(d), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.name[some]), pa.nulls(len(some), longs), pa.nulls(len(some), longs)], names=cols)
             long = some[lines.size[some] >= least]
             if not len(long):
                 continue
             _, one = np.unique(lines.name[long], return_index=True)
-            key, owner, probe = keys_of(lines, long[one], threshold, least)
-            n = len(key)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, batch.column("id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(lines.name[owner]), pa.array(key), pa.array(probe)], names=cols)
-
-    rows = stage(slim.mapInArrow(cut, f"id {kind}, hash long, number int, name long, key long, probe int"))
-    places = stage(rows.where("key is null").select("id", "hash", "number", "name"))
+            one = long[np.sort(one)]
+            key, owner, probe = keys_of(lines, one, threshold, least)
+            lists = []
+            for kind in (0, 1):
+                mine = np.flatnonzero(probe == kind)
+                mine = mine[np.argsort(owner[mine], kind="stable")]
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[mine], np.append(one, len(lines.name))).astype(np.int32)), pa.array(key[mine])))
+            n = len(one)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, batch.column("id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(lines.name[one]), *lists], names=cols)
+
+    rows = stage(slim.mapInArrow(cut, f"id {kind}, hash long, number int, name long, segments array<long>, probes array<long>"))
+    places = stage(rows.where("segments is null").select("id", "hash", "number", "name"))
+    keyed = rows.where("segments is not null").select("name", "segments", "probes")
     # Keys of two lines at least, by partial sums; the few rows that have them; and of those the keys with both kinds of rows.
-    shared = stage(rows.where("key is not null").groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high").select("key"))
+    shared = stage(keyed.select("name", F.explode(F.concat("segments", "probes")).alias("key")).groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high").select("key"))
     marks = spark.sparkContext.broadcast(bitmap(shared, F.col("key"), shared.count()))
     drop(shared)
 
     def some(batches):
         for batch in batches:
-            yield batch.filter(pa.array(inside(marks.value, batch.column("key").to_numpy())))
-
-    near = stage(rows.where("key is not null").select("key", "name", "probe").mapInArrow(some, "key long, name long, probe int").distinct())
+            for probe, column in enumerate(("segments", "probes")):
+                of = batch.column(column)
+                flat = of.flatten().to_numpy()
+                here = np.flatnonzero(inside(marks.value, flat))
+                line = np.repeat(np.arange(len(of)), of.value_lengths().to_numpy())[here]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[here]), batch.column("name").take(pa.array(line)), pa.array(np.full(len(here), probe, np.int32))], names=["key", "name", "probe"])
+
+    near = stage(keyed.mapInArrow(some, "key long, name long, probe int").distinct())
     drop(rows)
     keys = stage(near.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.sum("probe").alias("probes"), F.count(F.lit(1)).alias("n")).where("low < high and probes > 0 and probes < n").select("key", F.ceil((F.col("n") - F.col("probes")) / 1024).cast("int").alias("parts")))
     met = stage(split_join(near, keys, ["key"]))

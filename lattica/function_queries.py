@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattica import operator_queries
 from lattica.functions import estimates, estimators, tapers, thresholds
 from lattica.functions.wavelets import gaussian, klauder, ormsby
 from lattica.operators import avo, basic, core, signal, wave
 from lattica.operators.core import LinOp, parts
 from lattica.operators.wave import directwave
-from lattica.plans import solvers
+from lattica.plans import solvers, storage
 from lattica.plans.solvers import Frame
 from lattica.sources import generators
+from lattica.streaming import fir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -232,6 +236,111 @@ _array("sliding_design", lambda: np.stack([*signal.sliding1d_design(64, 16, 4, 8
 _array("patch_design", lambda: [float(x) for d in signal.patch2d_design((8, 10), (4, 4), (2, 2), (3, 5))[:2] for x in d], "select * from (values (0::bigint, 3e0), (1, 4e0), (2, 9e0), (3, 20e0)) t(i0, v)")
 
 
+
+
+# Procedures
+_UPSQL = operator_queries._PLANE
+_array(
+    "decomposition_up",
+    lambda: wave.WavefieldDecomposition(np.cos(np.arange(64.0)).reshape(8, 8), 1e-6 * np.sin(np.arange(64.0)).reshape(8, 8), 8, 8, 0.004, 10.0, 1000.0, 1500.0, ntaper=0, kind="analytical")[0],
+    f"with d as ({operator_queries._TO_P}) select r // 8 i0, r % 8 i1, round((cos(r) - sum(a * 1e-6 * sin(c))) / 2, 6) + 0e0 v from ({_UPSQL}) group by r",
+)
+
+
+def _spike():
+    g = np.zeros((3, 3, 5))
+    g[np.arange(3), np.arange(3), 0] = 2.0
+    return wave.MDD(g, np.arange(15.0).reshape(3, 1, 5), dt=1.0, dr=1.0, niter=8).real.reshape(3, 9)
+
+
+_array("mdd", _spike, "select s::bigint i0, t::bigint i1, case when t < 4 then 0e0 else (s * 5 + t - 4) / 2e0 end v from range(3) r(s), range(9) q(t)", 3)
+
+
+def _marchenko():
+    r = np.fromfunction(lambda s, q, t: 1.0 + s + 2 * q + t, (2, 2, 4))
+    g0 = np.fromfunction(lambda q, t: 1.0 + q + t * t, (2, 4))
+    return np.stack(wave.Marchenko(r, 0.5, dr=2.0, nsmooth=0).apply_onepoint(np.zeros(2), g0, greens=True, niter=1)).real
+
+
+_array(
+    "marchenko",
+    _marchenko,
+    """with direct as (select q, t, case when t < 4 then 1e0 + q + (3 - t) * (3 - t) else 0e0 end v from range(2) x(q), range(7) y(t)),
+    r as (select s, q, u, 1e0 + s + 2 * q + u a from range(2) x(s), range(2) y(q), range(4) z(u)),
+    g as (select s, (t + u) % 7 t, sum(a * v) v from r join direct using (q) group by 1, 2)
+    select 0::bigint i0, q::bigint i1, t::bigint i2, 0e0 v from direct union all select 1, q, t, v from direct union all select 2, s, t, v from g union all select 3, q, 6 - t, v from direct""",
+    4,
+)
+_array("deghosting", lambda: wave.Deghosting(np.add.outer(np.arange(8.0), np.arange(4.0) ** 2), 8, 4, 0.004, 10.0, 1500.0, 0.0, kind="vz", niter=4)[0], "select t::bigint i0, x::bigint i1, (t + x * x) / 2e0 v from range(8) r(t), range(4) s(x)", 3)
+_array("seismic_interpolation", lambda: wave.SeismicInterpolation(np.add.outer(np.array([0.0, 2, 3, 6, 8]), np.arange(3.0)), 9, [0, 2, 3, 6, 8], kind="spatial", niter=40, epsR=0.1)[0], "select x::bigint i0, t::bigint i1, (x + t)::double v from range(9) r(x), range(3) s(t)", 2)
+_WAVELET = [0.25, 1.0, 0.5]
+
+
+def _poststack():
+    m = np.cos(np.arange(20.0))
+    return avo.PoststackInversion(avo.PoststackLinearModelling(_WAVELET, 20) @ m, _WAVELET, m0=m, niter=2)[0]
+
+
+def _prestack():
+    m = np.cos(np.arange(36.0)).reshape(12, 3)
+    return avo.PrestackInversion(avo.PrestackLinearModelling(_WAVELET, [5.0, 15.0, 25.0], 0.5, 12) @ m, [5.0, 15.0, 25.0], _WAVELET, m0=m, niter=2)[0]
+
+
+_array("poststack_inversion", _poststack, "select i::bigint i0, round(cos(i), 6) + 0e0 v from range(20) r(i)")
+_array("prestack_inversion", _prestack, "select (i // 3)::bigint i0, (i % 3)::bigint i1, round(cos(i), 6) + 0e0 v from range(36) r(i)")
+_array("nonstationary_convmtx", lambda: estimates.nonstationary_convmtx(np.fromfunction(lambda i, t: 1.0 + 3 * i + t, (5, 3)), 5, 1, (0, 5)), "select i::bigint i0, c::bigint i1, case when (c + 1 - i + 8) % 8 < 3 then 1e0 + 3 * i + (c + 1 - i + 8) % 8 else 0e0 end v from range(5) r(i), range(5) s(c)")
+
+
+def _mean_vector(spark, sf_dir) -> Frame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.posexplode("embedding").alias("j", "x"))
+    return Frame(df.groupBy(F.col("j").cast("long").alias("k")).agg(F.avg("x").alias("v")), 64)
+
+
+def _spgl1(spark, sf_dir):
+    y = _mean_vector(spark, sf_dir)
+    out = solvers.spgl1(basic.Identity(64), y, tau=0.2, niter=8)[0]
+    return out.df.select("k", (F.round("v", 4) + F.lit(0.0)).alias("v")).where("v <> 0")
+
+
+_add(
+    "solve_spgl1",
+    _spgl1,
+    """with y as (select j - 1 k, avg(x) v from (select generate_subscripts(embedding, 1) j, unnest(embedding)::double x from embeddings) group by 1),
+    l as (select max((s - 0.2e0) / n) l from (select sum(abs(v)) over w s, row_number() over w n from y window w as (order by abs(v) desc, k rows unbounded preceding)))
+    select k::bigint k, round(greatest(abs(v) - l, 0e0) * sign(v), 4) + 0e0 v from y, l where round(greatest(abs(v) - l, 0e0), 4) <> 0""",
+)
+
+
+def _callbacks(spark, sf_dir):
+    truth = np.arange(1.0, 5.0)
+    seen = solvers.MetricsCallback(truth, which=("mse", "mae"))
+    solvers.cg(basic.Diagonal(np.array([1.0, 2.0, 1.0, 2.0])), truth * np.array([1.0, 2.0, 1.0, 2.0]), niter=2, tol=1e-30, callback=[seen])
+    return spark.createDataFrame([(k, len(v), bool(v[-1] < 1e-10)) for k, v in seen.metrics.items()], "metric string, steps long, solved boolean")
+
+
+_add("callbacks", _callbacks, "select * from (values ('mse', 2::bigint, true), ('mae', 2, true)) t(metric, steps, solved)")
+
+
+# Streams
+def _fir(spark, sf_dir):
+    """Differences of each user's events, read as a stream in one trigger."""
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    at = f"{storage.folder(spark)}/lattica-stream-{uuid.uuid4().hex}"
+    storage.written.append((spark, at))
+    query = fir.fir(source, "user_id", "ts", "value", [1.0, -1.0]).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("us"), (F.round("y", 6) + F.lit(0.0)).alias("y"))
+
+
+def _hours(spark, sf_dir):
+    out = fir.windowed_sum(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "value", "1 hour", keys=["event_type"])
+    return out.select("event_type", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', window.start)").alias("start"), (F.round("y", 4) + F.lit(0.0)).alias("y"))
+
+
+_add("stream_fir", _fir, "select user_id, epoch_us(ts) us, round(value - coalesce(lag(value) over w, 0e0), 6) + 0e0 y from events window w as (partition by user_id order by ts)")
+_add("windowed_sum", _hours, "select event_type, epoch(date_trunc('hour', ts))::bigint as start, round(sum(value), 4) + 0e0 y from events group by 1, 2")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -276,6 +276,11 @@ _K3 = "sqrt(pow(case when k < 1 then k else k - 2 end / 20e0, 2) + pow(case when
 _UP3 = _TO_V.replace(_KX, _K3).replace("select f, k,", "select f, k, l,").replace("range(8) y(k)", "range(2) y(k), range(2) z(l)")
 matrix("updown3d", lambda: wave.UpDownComposition3D(8, (2, 2), 0.004, (10.0, 10.0), 1000.0, 1500.0, ntaper=0, scaling=1e6), _UPDOWN.format(d=_UP3, k="(k * (r // 16 - c // 16) + l * (r // 8 % 2 - c // 8 % 2)) / 2e0"), is_complex=True)
 
+#: Two time steps of a shot at (2, 1), at the source itself and beside it.
+_ACOUSTIC = (np.full((8, 8), 1000.0), 5.0, [[2, 1]], [[2, 1], [3, 1]], 2, 0.002, 100.0)
+_WAVE2 = "(select (1 - 2 * q0) * exp(-q0) w0, (1 - 2 * q1) * exp(-q1) w1, 0.16e0 c2 from (select pow(pi(), 2) q0, pow(pi() * 0.8e0, 2) q1))"
+matrix("acoustic", lambda: 1000.0 * wave.AcousticWave2D(*_ACOUSTIC), f"select 0::bigint r, 17::bigint c, 1000 * w0 a from {_WAVE2} union all select 1, 17, 1000 * (2 * w0 - 8 * c2 * w0 + w1) from {_WAVE2} union all select 3, c, 1000 * c2 * w0 from {_WAVE2}, (values (17), (25)) t(c)", m=4)
+
 # Reflectivity
 _TH = "(values (0, radians(10e0)), (1, radians(30e0))) x(i, th)"
 matrix("avo_fatti", lambda: avo.AVOLinearModelling([10.0, 30.0], 0.5, 32, None, "fatti"), f"select t * 2 + i r, t * 3 + p c, case p when 0 then 0.5e0 * (1 + pow(tan(th), 2)) when 1 then -pow(sin(th), 2) else 0.5e0 * (pow(sin(th), 2) - pow(tan(th), 2)) end a from range(32) s(t), range(3) u(p), {_TH}", n=96)

@@ -16,9 +16,9 @@ def bitmap(df: DataFrame, hash_: Column, n: int, most: int = 1 << 27) -> np.ndar
     bits = 1 << 16
     while bits < 16 * n and bits < most:
         bits <<= 1
-    rows = df.select(slot(hash_, bits).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toPandas()
+    rows = df.select(slot(hash_, bits).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return out
 
 

@@ -311,8 +311,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(flat[here]), batch.column("name").take(pa.array(line)), pa.array(np.full(len(here), probe, np.int32))], names=["key", "name", "probe"])
 
     near = stage(keyed.mapInArrow(some, "key long, name long, probe int").distinct())
+    marks.destroy()
     drop(rows)
-    keys = stage(near.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.sum("probe").alias("probes"), F.count(F.lit(1)).alias("n")).where("low < high and probes > 0 and probes < n").select("key", F.ceil((F.col("n") - F.col("probes")) / 1024).cast("int").alias("parts")))
+    keys = stage(near.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.sum("probe").alias("probes"), F.count(F.lit(1)).alias("n")).where("low < high and probes > 0 and probes < n").select("key", F.ceil((F.col("n") - F.col("probes")) / 512).cast("int").alias("high"), F.ceil(F.col("probes") / 512).cast("int").alias("wide")))
     met = stage(split_join(near, keys, ["key"]))
     for table in (near, keys):
         drop(table)
@@ -328,9 +329,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(lines.name[one]), pa.array([lines.text(i) for i in one.tolist()], pa.string())], names=["name", "line"])
 
     line = stage(slim.select("text").mapInArrow(texts, "name long, line string").join(names, "name", "left_semi").groupBy("name").agg(F.min("line").alias("line")))
-    # A key's index rows go into parts of about 1024, and its probes to each of them.
-    own = F.array(F.pmod(F.hash("name"), F.col("parts")))
-    spread = met.withColumn("part", F.explode(F.when(F.col("probe") == 0, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    wanted.destroy()
+    # A key's index rows and its probes go into parts of about 512 each, and each part of the one meets each of the other.
+    row, column = F.pmod(F.hash("name"), F.col("high")), F.pmod(F.hash("name"), F.col("wide"))
+    across = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda c: row * F.col("wide") + c)
+    down = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda r: r * F.col("wide") + column)
+    spread = met.withColumn("part", F.explode(F.when(F.col("probe") == 0, across).otherwise(down)))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grouped = spread.join(line, "name").select("key", "part", "probe", "name", "line").repartition(n, "key", "part").sortWithinPartitions("key", "part", "probe")
     links = stage(grouped.mapInArrow(_verify(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

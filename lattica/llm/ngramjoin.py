@@ -7,7 +7,7 @@ share of its set with the other. Sets are known by 64-bit hashes of their n-gram
    any other has no links. What recurs is settled where the rows are read, so a hot n-gram sends some rows a task.
 2. Of the sets left, each n-gram has an inverted list, and a set's lists are ordered by length, to a factor of four. If a
    set of n must share T n-grams, what links with it stands in one of all but its T - 1 last lists: its short lists.
-3. In rounds, some members of each short list are its heads, eight times as many in each round, until all have been. The
+3. In rounds, some members of each short list are its heads, 16 times as many in each round, until all have been. The
    heads' sets are indexed in buckets of some hundred. The list's members of other components are searched in the buckets
    with heads of it: a query merges its short lists there, and looks up what occurs often enough in its long lists by
    binary search. Links join components, and a list whose members are all in one is done. So a group of near copies meets
@@ -296,6 +296,7 @@ def short_lists(grams: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat[taken]), batch.column("name").take(pa.array(o)), pa.array(size[o].astype(np.int32))], names=["gram", "name", "size"])
 
     short = stage(grams.mapInArrow(cut, "gram long, name long, size int"))
+    marks.destroy()
     lists = stage(short.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     u = F.pmod(F.xxhash64("name", F.lit(7)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     out = stage(split_join(short, lists, ["gram"]).select("gram", "n", "name", "size", u.alias("u"), F.pmod(F.hash("name"), _parts(F.col("n"))).alias("part")))
@@ -304,7 +305,7 @@ def short_lists(grams: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def linked_sets(grams: DataFrame, percent: int, first: int = 2, faster: int = 8, per_bucket: int = 256) -> DataFrame:
+def linked_sets(grams: DataFrame, percent: int, first: int = 4, faster: int = 16, per_bucket: int = 256) -> DataFrame:
     """(name, root) of sets (name, grams): root names the component of a set's links. Sets without short lists are left out."""
     need = Need(percent)
     members = short_lists(grams, percent)
@@ -376,6 +377,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = spark.sparkContext.broadcast(bitmap(names, hashed, names.count(), 1 << 26))
     grams = slim.withColumn("hash", hashed).mapInArrow(_second_pass("text", n, wanted), "name long, grams array<long>")
     grams = stage(grams.join(names.select("name"), "name", "left_semi").groupBy("name").agg(F.first("grams").alias("grams")))
+    wanted.destroy()
     drop(names)
     roots = linked_sets(grams, percent)
     drop(grams)

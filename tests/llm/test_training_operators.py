@@ -188,6 +188,20 @@ def test_big_group_of_lines_keeps_its_links():
     assert [union.find(i) for i in range(80)] == [want.find(i) for i in range(80)]
 
 
+def test_a_hot_segment_is_split(spark):
+    """Some thousand different lines that begin alike: links are found over all parts of the segment."""
+    rng = random.Random(17)
+    head, lines = "Copyright of the estate of the author, number ", []
+    for i in range(1500):
+        lines.append(head + "".join(rng.choice("abcdefghij") for _ in range(24)))
+    for i in range(0, 1500, 3):
+        at = rng.randrange(len(head), len(head) + 24)
+        lines.append(lines[i][:at] + "z" + lines[i][at + 1 :])
+    docs_ = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string").repartition(5)
+    got = {r["row"]["doc_id"]: r["removed"] for r in linededup.dedup_lines(docs_).collect()}
+    assert got == {k: [0] if k >= 1500 else [] for k in range(2000)}
+
+
 def test_substring_dedup(docs, plain):
     got = substring.dedup_substrings(docs, with_text=True).collect()
     words = [WORD.findall(t or "") for _, t in plain]

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.config import get_ndarray_multiplication
+
 VALUES = ("v", "re", "im")
 
 
@@ -147,6 +149,11 @@ class LinOp:
     def shape(self) -> tuple[int, int]:
         return size(self.dimsd), size(self.dims)
 
+    @property
+    def dtype(self) -> np.dtype:
+        """Values are doubles, or pairs of them."""
+        return np.dtype(complex if self.is_complex else float)
+
     def reset_count(self) -> None:
         self.matvec_count = self.rmatvec_count = self.matmat_count = self.rmatmat_count = 0
 
@@ -209,6 +216,8 @@ class LinOp:
             return self.forward(x)
         if hasattr(x, "through"):
             return x.through(self.forward)
+        if not get_ndarray_multiplication():
+            raise TypeError("products with arrays are switched off: use matvec")
         x = np.asarray(x)
         if x.ndim == 2 and x.shape != self.dims and x.shape[0] == self.shape[1]:
             return self.matmat(x)
@@ -330,6 +339,17 @@ class LinOp:
 
 
 
+def common_dtype(ops: Iterable[LinOp], dtypes: Iterable = ()) -> np.dtype:
+    """The type that holds the values of all operators and types."""
+    return np.result_type(*[op.dtype for op in ops], *dtypes)
+
+
+def need_dtype(x: np.ndarray, dtype, name: str) -> None:
+    """Refuse an array that a real operator would lose the imaginary part of."""
+    if np.iscomplexobj(x) and not np.issubdtype(np.dtype(dtype), np.complexfloating):
+        raise TypeError(f"{name} is real, but the array holds complex numbers")
+
+
 def session() -> SparkSession:
     found = SparkSession.getActiveSession()
     if found is None:
@@ -659,22 +679,29 @@ class Traces(LinOp):
 
 
 class Cached(_Node):
-    """Operator that keeps the results of its last ``max_neval`` inputs, each input known by its plan."""
+    """Operator that keeps the results of its last ``max_neval`` products, each known by the values it was taken of.
+
+    Values are told apart by their number and the sum and exclusive or of their hashes, one job for each product; results
+    are written to the shared folder and deleted when they are forgotten.
+    """
 
     def __init__(self, op: LinOp, max_neval: int = 10):
         super().__init__((op,), op.dims, op.dimsd)
         self.op, self.max_neval = op, max_neval
-        self.kept: list[tuple[str, int, DataFrame]] = []
+        self.kept: list[tuple[tuple, DataFrame, str]] = []
 
     def _of(self, kind: str, df: DataFrame, f: Callable) -> DataFrame:
-        code = df.semanticHash()
-        for k, c, out in self.kept:
-            if (k, c) == (kind, code):
+        from lattica.plans import storage
+
+        nonzero = df.where(" or ".join(f"{p} <> 0" for p in parts(df))).select(F.xxhash64(*sorted(batch(df)), "k", *parts(df)).alias("h"))
+        key = (kind, tuple(sorted(df.columns)), *nonzero.agg(F.count("h"), F.expr("bit_xor(h)"), F.sum(F.col("h").cast("decimal(38,0)"))).first())
+        for known, out, _ in self.kept:
+            if known == key:
                 return out
-        out = f(df).cache()
-        self.kept.append((kind, code, out))
+        out, path = storage.write(f(df))
+        self.kept.append((key, out, path))
         if len(self.kept) > self.max_neval:
-            self.kept.pop(0)[2].unpersist()
+            storage.forget(self.kept.pop(0)[2])
         return out
 
     def _forward(self, df):

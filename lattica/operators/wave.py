@@ -136,12 +136,14 @@ class Kirchhoff(_Composite):
 
 
 class LSM:
-    """Least-squares migration: a modelling operator and its inversion."""
+    """Least-squares migration: a modelling operator and its inversion. kirchhoff takes what Kirchhoff does; twoway takes
+    what AcousticWave2D does: velocities, spacing, sources and receivers as grid points, nt, dt and f0."""
 
-    def __init__(self, z, x, t, srcs, recs, vel, wav, wavcenter, y=None, kind: str = "kirchhoff", **kwargs):
-        if kind != "kirchhoff":
+    def __init__(self, *args, kind: str = "kirchhoff", **kwargs):
+        engines = {"kirchhoff": Kirchhoff, "twoway": AcousticWave2D}
+        if kind not in engines:
             raise NotImplementedError(f"no engine is called {kind}")
-        self.Demop = Kirchhoff(z, x, t, srcs, recs, vel, wav, wavcenter, y, **kwargs)
+        self.Demop = engines[kind](*args, **kwargs)
 
     def solve(self, d, solver: Callable | None = None, **kwargs) -> np.ndarray:
         from lattica.plans.solvers import lsqr

@@ -50,6 +50,13 @@ def sweep(since: int, live: set[str]) -> None:
     written[since:] = [x for x in written[since:] if x[1] in live]
 
 
+def forget(path: str) -> None:
+    """Delete one of the tables written."""
+    for x in [x for x in written if x[1] == path]:
+        delete(*x)
+        written.remove(x)
+
+
 @atexit.register
 def _forget() -> None:
     for spark, path in written:

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from lattica import config
 from lattica.functions import estimates, estimators, tapers, thresholds
 from lattica.functions.wavelets import gaussian, klauder, ormsby, ricker
 from lattica.operators import avo, basic, signal, wave
-from lattica.operators.core import FunctionOperator, MemoizeOperator, collected, dottest, scaled, vector
+from lattica.operators.core import FunctionOperator, MemoizeOperator, collected, common_dtype, dottest, need_dtype, scaled, vector
+from lattica.plans import storage
 
 rng = np.random.default_rng(0)
 A = rng.normal(size=(4, 6))
@@ -77,6 +79,7 @@ REAL = {
     "acoustic": lambda: wave.AcousticWave2D(np.full((8, 9), 1000.0), 5.0, [[2, 1], [5, 1]], [[1, 2], [6, 2]], 12, 0.002),
     "avo": lambda: avo.AVOLinearModelling([5, 15, 25.0], 0.5, 6, 3),
     "poststack": lambda: avo.PoststackLinearModelling(WAV, 12, 3),
+    "poststack explicit": lambda: avo.PoststackLinearModelling(rng.normal(size=(12, 5)), 12, 3, explicit=True),
     "prestack": lambda: avo.PrestackLinearModelling(WAV, [5, 15, 25.0], 0.5, 12, 2, "fatti"),
     "wavelet": lambda: avo.PrestackWaveletModelling(rng.normal(size=(12, 3)), [5, 15.0], 5),
 }
@@ -115,11 +118,25 @@ def test_algebra(spark):
 
 
 def test_memoize(spark):
+    """Results are known by values: another plan of the same values gives what is kept, and old ones are forgotten."""
     op = MemoizeOperator(basic.MatrixMult(A), 1)
-    x = vector(spark, X)
-    assert op.forward(x) is op.forward(x)
-    op.forward(vector(spark, X + 1))
-    assert len(op.kept) == 1
+    before = len(storage.written)
+    first = op.forward(vector(spark, X))
+    assert op.forward(vector(spark, X).repartition(3)) is first and np.allclose(collected(first, 4), A @ X)
+    assert np.allclose(collected(op.forward(vector(spark, X + 1)), 4), A @ (X + 1)) and op.forward(vector(spark, X)) is not first
+    assert len(op.kept) == 1 and len(storage.written) == before + 1
+    assert np.allclose(op.rmatvec(np.ones(4)), A.T @ np.ones(4))
+
+
+def test_settings_and_types():
+    m = basic.MatrixMult(A)
+    with config.disabled_ndarray_multiplication(), pytest.raises(TypeError):
+        m @ X
+    assert config.get_ndarray_multiplication()
+    assert m.dtype == float and basic.MatrixMult(A * 1j).dtype == complex and common_dtype([m, signal.FFT(4)], [np.float32]) == complex
+    need_dtype(X, float, "x")
+    with pytest.raises(TypeError):
+        need_dtype(X * 1j, float, "x")
 
 
 def test_dense_probes(spark):

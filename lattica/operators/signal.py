@@ -6,24 +6,88 @@ from collections.abc import Sequence
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.tapers import taper
 from lattica.operators.basic import AxisMatrix, BlockDiag, Diagonal, OnAxis, Restriction, _Composite, relation_frame
-from lattica.operators.core import LinOp, Relation, Stencil, Traces, as_dims, batch, coordinate, parts, position, size, totalled
+from lattica.operators.core import LinOp, Relation, Stencil, Traces, as_dims, batch, complexed, coordinate, parts, position, size, strides, totalled
 
 
-class Convolve1D(Stencil):
-    """y[i] = sum of h[k] x[i - k + offset]: as long as x, or as h if that is longer."""
+class LongConvolve1D(LinOp):
+    """Convolution along an axis with a filter of many samples: y[i] = sum of h[k] x[i - k + offset].
 
-    def __init__(self, dims, h, offset: int = 0, axis: int = -1):
-        h = np.asarray(h)
-        n = as_dims(dims)[axis]
-        m = max(n, len(h)) if h.ndim == 1 else n
-        if offset > len(h) - 1:
-            raise ValueError(f"no sample {offset} in a filter of {len(h)}")
-        super().__init__(dims, axis, [(offset - k, c, k - offset, n - 1 + k - offset) for k, c in enumerate(h.tolist())], m, "Convolve1D")
+    The axis is cut into blocks; a sample goes to the blocks that its filter reaches, and each block is convolved as a whole
+    in Arrow batches. Rows grow by the filter's length over ``block``, not by its samples.
+    """
+
+    def __init__(self, dims, h, offset: int = 0, axis: int = -1, n_out: int | None = None, block: int = 4096):
+        dims = as_dims(dims)
+        self.axis, self.h, self.offset, self.block = axis % len(dims), np.asarray(h), offset, block
+        self.n, self.n_out = dims[self.axis], dims[self.axis] if n_out is None else n_out
+        super().__init__(dims, (*dims[: self.axis], self.n_out, *dims[self.axis + 1 :]), "Convolve1D")
+        self.is_complex = np.iscomplexobj(self.h)
+
+    def _run(self, df, dims, n, n_to, h, offset):
+        if np.iscomplexobj(h):
+            df = complexed(df)
+        p, keys, size_, taps = parts(df), batch(df), self.block, len(h)
+        stride = strides(dims)[self.axis]
+        i = coordinate(F.col("k"), dims, self.axis)
+        line = F.col("k") - i * F.lit(stride)
+        outer = ((line - line % F.lit(stride)) / F.lit(stride * n)).cast("long")
+        first = F.greatest(F.lit(0), F.floor((i - F.lit(offset)) / F.lit(size_)))
+        last = F.least(F.lit((n_to - 1) // size_), F.floor((i + F.lit(taps - 1 - offset)) / F.lit(size_)))
+        rows = df.select(*keys, (outer * F.lit(n_to * stride) + line % F.lit(stride)).alias("_to"), i.alias("_i"), first.alias("_f"), last.alias("_l"), *p).where("_f <= _l")
+        rows = rows.withColumn("_b", F.explode(F.sequence("_f", "_l")))
+        packed = rows.groupBy(*keys, "_to", "_b").agg(F.collect_list(F.struct("_i", *p)).alias("x"))
+
+        def run(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, 64):
+                    b = whole.slice(at, 64)
+                    k, values, lengths = [], [], []
+                    for to, block, x in zip(b.column("_to").to_pylist(), b.column("_b").to_pylist(), b.column("x"), strict=True):
+                        base = block * size_
+                        samples = x.values
+                        take = lambda c: samples.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                        window = np.zeros(size_ + taps - 1, complex if "re" in p else float)
+                        np.add.at(window, take("_i") - (base + offset - taps + 1), take("v") if "v" in p else take("re") + 1j * take("im"))
+                        y = np.convolve(window, h, "valid")[: n_to - base]
+                        k.append(to + (base + np.arange(len(y))) * stride)
+                        values.append(y)
+                        lengths.append(len(y))
+                    row, y = pa.array(np.repeat(np.arange(b.num_rows), lengths)), np.concatenate(values)
+                    cols = [b.column(c).take(row) for c in keys] + [pa.array(np.concatenate(k))] + [pa.array(np.ascontiguousarray(v)) for v in ((y.real, y.imag) if "re" in p else (y,))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*keys, "k", *p])
+
+        ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), "k long", *(f"{c} double" for c in p)])
+        return packed.mapInArrow(run, ddl)
+
+    def _forward(self, df):
+        return self._run(df, self.dims, self.n, self.n_out, self.h, self.offset)
+
+    def _adjoint(self, df):
+        return self._run(df, self.dimsd, self.n_out, self.n, np.conj(self.h[::-1]), len(self.h) - 1 - self.offset)
+
+
+#: Filters of more samples are convolved block by block.
+FEW_TAPS = 64
+
+
+def Convolve1D(dims, h, offset: int = 0, axis: int = -1):  # noqa: N802
+    """y[i] = sum of h[k] x[i - k + offset]: as long as x, or as h if that is longer."""
+    h = np.asarray(h)
+    n = as_dims(dims)[axis]
+    if h.ndim != 1:
+        raise ValueError("a filter of one axis is needed")
+    if offset > len(h) - 1:
+        raise ValueError(f"no sample {offset} in a filter of {len(h)}")
+    m = max(n, len(h))
+    if len(h) > FEW_TAPS:
+        return LongConvolve1D(dims, h, offset, axis, m)
+    return Stencil(dims, axis, [(offset - k, c, k - offset, n - 1 + k - offset) for k, c in enumerate(h.tolist())], m, "Convolve1D")
 
 
 class ConvolveND(LinOp):

@@ -50,6 +50,8 @@ REAL = {
     "columns": lambda: basic.MatrixMult(A).apply_columns([4, 1]),
     "convolve1d": lambda: signal.Convolve1D((3, 8), [1, 2, 3.0], 2),
     "convolve1d long": lambda: signal.Convolve1D(3, [1, 2, 3.0, 4, 5], 2),
+    "convolve1d blocks": lambda: signal.LongConvolve1D((3, 23), rng.normal(size=9), 4, block=5),
+    "convolve1d blocks, axis 0, longer": lambda: signal.LongConvolve1D((7, 2), rng.normal(size=11), 2, 0, 11, 4),
     "convolvend": lambda: signal.ConvolveND((4, 4, 4), rng.normal(size=(2, 3, 2)), (0, 1, 1), (0, 1, 2)),
     "nonstationary1d": lambda: signal.NonStationaryConvolve1D(12, rng.normal(size=(3, 5)), (2, 5, 8)),
     "nonstationary1d axis": lambda: signal.NonStationaryConvolve1D((12, 2), rng.normal(size=(3, 5)), (2, 5, 8), 0),
@@ -151,6 +153,12 @@ def test_dense_probes(spark):
         assert np.allclose(whole @ x, cut @ x) and np.allclose(whole.rmatvec(x), cut.rmatvec(x))
     h = rng.normal(size=3)
     assert np.allclose(signal.Convolve1D(6, h, 1) @ X, np.convolve(X, h, "same"))
+    long = rng.normal(size=9)
+    for dims, axis, offset in (((5, 6), 1, 0), ((5, 6), 1, 8), ((30,), 0, 3)):
+        few, blocks = signal.Convolve1D(dims, long, offset, axis), signal.LongConvolve1D(dims, long, offset, axis, max(dims[axis], 9), 4)
+        z = rng.normal(size=few.shape[1])
+        assert np.allclose(few.matvec(z), blocks.matvec(z)) and np.allclose(few.rmatvec(few.matvec(z)), blocks.rmatvec(few.matvec(z)))
+    assert np.allclose(signal.LongConvolve1D(30, long * 1j, 3, block=7).matvec(z), 1j * signal.Convolve1D(30, long, 3).matvec(z))
     assert np.allclose(signal.FFT2D((5, 6)) @ x, np.fft.fft2(x) / np.sqrt(30))
     f = signal.FFT(9, norm="none")
     z = rng.normal(size=9) + 0j

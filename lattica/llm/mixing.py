@@ -76,13 +76,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(text_col)
     weight = F.coalesce((text_quality(text) if quality is None else quality).cast("double"), F.lit(0.05))
-    slim = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("rest"), F.col(source_col).alias("source"), words_in(text).alias("size"), weight.alias("weight"), uniform(seed, F.col(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u"))
+    kept = [c for c in keep if c not in (id_col, source_col)]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest")] if kept else []
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), *rest, F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text).alias("size"), weight.alias("weight"), uniform(seed, F.col(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u"))
     positive = (F.col("weight") > 0) & ~F.isnan("weight")
     infinite = F.lit(float("inf"))
     key = F.when(positive, F.try_divide(-F.log("u"), F.col("weight"))).otherwise(infinite)
     # The keys' order in [0, 2], with those of no weight behind all others by u, so that they spread over ranges too.
     rank = F.when(positive, F.when(F.col("key") < infinite, F.col("key") / (1 + F.col("key"))).otherwise(1.0)).otherwise(1 + F.col("u"))
-    slim = stage(slim.withColumn("key", key).withColumn("rank", rank))
+    whole_rows = slim = stage(slim.withColumn("key", key).withColumn("rank", rank))
+    slim = slim.drop("rest")
     cuts = F.percentile_approx("rank", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(20 * RANGES))
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), cuts.alias("_cuts"))
     targets = source_targets(sources, weights, share, cap)
@@ -101,4 +104,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before")))
     out = joined.withColumn("_before", before).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "weight", "epochs", "taken", *[F.col("rest")[c].alias(c) for c in keep if c not in (id_col, source_col)])
+    if kept:  # what is kept goes through one shuffle, and not through the ranges
+        out = out.join(whole_rows.select("row", "rest"), "row")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "weight", "epochs", "taken", *[F.col("rest")[c].alias(c) for c in kept])

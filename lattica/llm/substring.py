@@ -4,10 +4,13 @@
    names candidates first: a window whose minimizer has no second place can't recur. The candidates are counted by 96-bit
    hashes. Repeated windows at consecutive places of a document are a run.
 2. The runs' words make a sparse De Bruijn graph: nodes are the k-mers whose hash falls in one of ``every`` classes, and
-   the ends of runs; an edge is the words from one such k-mer of a run to the next. Degrees are counted over the distinct
-   edges. Where a node has one edge in and one out, the two belong to one path: pointer doubling by joins gives each edge
-   its path and its offset there.
-3. A path's edges that stand at matching offsets and touch in a document's coordinates are one span. Spans are removed.
+   the ends of runs; an edge is the words from one such k-mer of a run to the next. A run is split at rarer nodes first, so
+   that near copies share most of its pieces; each distinct piece is cut into edges once, however many documents have it.
+   Degrees are counted over the distinct edges.
+   Where a node has one edge in and one out, the two belong to one path: pointer doubling by joins gives each edge its
+   path and its offset there.
+3. A path's edges that stand at matching offsets and touch are one span, first of a distinct piece, then in the
+   coordinates of each document with that piece. Spans are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bitmaps import bitmap, inside
-from lattica.llm.skew import split_join
+from lattica.llm.skew import MOST_HOT, split_join
 from lattica.llm.staging import drop, stage
 from lattica.llm.textops import WINDOW, WINDOW2, pieces, raw, spans, windows, word_hashes
 
@@ -58,7 +61,7 @@ def anchors(words: np.ndarray, ptr: np.ndarray, window: int, k: int) -> tuple[np
 
 
 class Seen:
-    """Windows that a task has met before: a table of bounded size, so that a passage in every piece of the input sends
+    """Windows or runs that a task has met before: a table of bounded size, so that a passage in every piece of the input sends
     some rows for each task, not for each piece. What it forgets is counted like anything new."""
 
     def __init__(self, bits: int = 20):
@@ -146,9 +149,26 @@ def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame
     return found.groupBy("key", "key2").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"))
 
 
+def _between(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, from, to): each range first to last, split at the places in at that are inside."""
+    low, high = np.searchsorted(at, first, side="right"), np.searchsorted(at, last)
+    inner = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)])[:-1], high - low) + np.arange((high - low).sum())
+    which = np.concatenate([np.arange(len(first)), np.repeat(np.arange(len(first)), high - low), np.arange(len(first))])
+    place = np.concatenate([first, at[inner], last])
+    order = np.lexsort((place, which))
+    which, place = which[order], place[order]
+    begin = np.flatnonzero(which[1:] == which[:-1])
+    return which[begin], place[begin], place[begin + 1]
+
+
 def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int) -> DataFrame:
-    """(key, key2, start, n, a, b, edge): the edges of the runs; start and n in words, a and b their nodes, edge the hash of
-    their words."""
+    """(key, key2, run, run2, start, n, a, b, edge): where pieces of runs stand, and the edges of distinct pieces.
+
+    A piece ends where its run does or at a node in one of 16 * every classes; run and run2 are 96 bits of its words. A place
+    of a piece has key, key2 and its first word, start, and no edge. An edge has start, from the piece's first word on, and n
+    in words, its nodes a and b and the hash of its words, and no key; a piece's edges come once, or once for each task that
+    meets it and for each time that Seen forgets it.
+    """
     spark = docs.sparkSession
     marks = spark.sparkContext.broadcast(bitmap(runs, F.col("key"), runs.count(), 1 << 26))
 
@@ -158,11 +178,15 @@ def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int)
 
     joined = docs.select("key", "key2", "text").mapInArrow(some, "key long, key2 int, text string").dropDuplicates(["key", "key2"]).join(runs, ["key", "key2"])
 
+    cols = ["key", "key2", "run", "run2", "start", "n", "a", "b", "edge"]
+
     def cut(batches):
+        seen = Seen()
         for batch in pieces(batches, "text"):
             words, ptr = _words(batch.column("text"))
             nodes = WINDOW(words, np.arange(len(words) - k + 1), np.arange(len(words) - k + 1) + k) if len(words) >= k else np.zeros(0, np.uint64)
-            station = nodes % np.uint64(every) == 0
+            stations = np.flatnonzero(nodes % np.uint64(every) == 0)
+            rare = stations[nodes[stations] % np.uint64(16 * every) == 0]
             of = batch.column("runs")
             doc = np.repeat(np.arange(batch.num_rows), of.value_lengths().to_numpy())
             start = of.flatten().field("start").to_numpy() + ptr[doc]
@@ -175,24 +199,30 @@ def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int)
             reach = np.maximum.accumulate(end)  # places grow from document to document
             new = np.flatnonzero(np.concatenate([[True], (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])]))
             first, last = start[new], np.concatenate([reach[new[1:] - 1], reach[-1:]]) - 1 + window - k
-            doc = doc[new]
-            # Nodes of each run: its first and last k-mer and the stations between.
-            at = np.flatnonzero(station)
-            low, high = np.searchsorted(at, first, side="right"), np.searchsorted(at, last)
-            inner = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)])[:-1], high - low) + np.arange((high - low).sum())
-            which = np.concatenate([np.arange(len(first)), np.repeat(np.arange(len(first)), high - low), np.arange(len(first))])
-            place = np.concatenate([first, at[inner], last])
-            order = np.lexsort((place, which))
-            which, place = which[order], place[order]
-            one = np.flatnonzero(which[1:] == which[:-1])
-            p, q = place[one], place[one + 1]
-            d = doc[which[one]]
+            of, first, last = _between(first, last, rare)
+            doc = doc[new][of]
+            one, two = WINDOW(words, first, last + k), (WINDOW2(words, first, last + k) >> np.uint64(32)).astype(np.uint32)
+            run, run2 = pa.array(one.view(np.int64)), pa.array(two.view(np.int32))
+            d = pa.array(doc)
+            none = pa.nulls(len(doc), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(d), batch.column("key2").take(d), run, run2, pa.array((first - ptr[doc]).astype(np.int32)), none.cast(pa.int32()), none, none, none], names=cols)
+            order = np.lexsort((two, one))
+            new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+            heads = order[new]
+            met, _ = seen.meet(one[heads], two[heads], np.zeros(len(heads), bool))
+            heads = np.sort(heads[~met])
+            if not len(heads):
+                continue
+            # Nodes of each piece: its first and last k-mer and the stations between.
+            of, p, q = _between(first[heads], last[heads], stations)
+            r = pa.array(heads[of])
+            none = pa.nulls(len(p), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(d)), batch.column("key2").take(pa.array(d)), pa.array((p - ptr[d]).astype(np.int32)), pa.array((q - p).astype(np.int32)), pa.array(nodes[p].view(np.int64)), pa.array(nodes[q].view(np.int64)), pa.array(WINDOW2(words, p, q + k).view(np.int64))],
-                names=["key", "key2", "start", "n", "a", "b", "edge"],
+                [none, none.cast(pa.int32()), run.take(r), run2.take(r), pa.array((p - first[heads[of]]).astype(np.int32)), pa.array((q - p).astype(np.int32)), pa.array(nodes[p].view(np.int64)), pa.array(nodes[q].view(np.int64)), pa.array(WINDOW2(words, p, q + k).view(np.int64))],
+                names=cols,
             )
 
-    return joined.mapInArrow(cut, "key long, key2 int, start int, n int, a long, b long, edge long")
+    return joined.mapInArrow(cut, "key long, key2 int, run long, run2 int, start int, n int, a long, b long, edge long")
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -216,23 +246,48 @@ def compact(edges: DataFrame) -> DataFrame:
     return at.select("edge", F.when(alone, F.col("edge")).otherwise(F.col("to")).alias("path"), F.when(alone, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
 
 
+def touching(parts: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Parts (path, base, start, end) in order, joined where one goes on in the next."""
+    out: list[list[int]] = []
+    for path, base, start, end in sorted(parts):
+        if out and out[-1][0] == path and out[-1][1] == base and start <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], end)
+        else:
+            out.append([path, base, start, end])
+    return out
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, every: int = 16) -> DataFrame:
-    """(key, key2, edges) of the documents with repeated windows; edges is an array of (path, base, start, end).
+    """(key, key2, runs) of the documents with repeated windows; runs is an array of (start, parts), parts one of (path,
+    base, start, end).
 
-    Words start to end of the document are an edge of the path, whose first word would stand at base: edges of one path and
-    base that touch are one place of the passage. keyed() gives key and key2 of a row.
+    Words start to end of a piece of a run are on the path, whose first word would stand at base, all from the piece's first
+    word on, which is the document's word start. keyed() gives key and key2 of a row.
     """
     named = keyed(docs, id_col, text_col)
     runs = stage(repeated_windows(named, window, k))
-    places = stage(run_edges(named, runs, window, k, every))
+    cuts = stage(run_edges(named, runs, window, k, every))
     drop(runs)
-    distinct = stage(places.groupBy("edge").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n")))
+    edges = stage(cuts.where("edge is not null").select("run", "run2", "start", "n", "a", "b", "edge").dropDuplicates(["run", "run2", "start", "n"]))
+    distinct = stage(edges.groupBy("edge").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n")))
     paths = stage(compact(distinct))
     drop(distinct)
-    found = split_join(places, paths, ["edge"]).select("key", "key2", F.struct("path", (F.col("start") - F.col("offset")).alias("base"), "start", (F.col("start") + F.col("n") + k).alias("end")).alias("e"))
-    out = stage(found.groupBy("key", "key2").agg(F.sort_array(F.collect_list("e")).alias("edges")))
-    drop(places)
+    found = split_join(edges, paths, ["edge"]).select("run", "run2", F.struct("path", (F.col("start") - F.col("offset")).alias("base"), F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + k).cast("long").alias("end")).alias("e"))
+    part = pa.list_(pa.struct([(c, pa.int64()) for c in ("path", "base", "start", "end")]))
+
+    def joined(batches):
+        for batch in batches:
+            own = [[dict(zip(("path", "base", "start", "end"), p, strict=True)) for p in touching([tuple(e.values()) for e in of])] for of in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("run2"), pa.array(own, part)], names=["run", "run2", "parts"])
+
+    of_run = stage(found.groupBy("run", "run2").agg(F.collect_list("e").alias("parts")).mapInArrow(joined, "run long, run2 int, parts array<struct<path:long,base:long,start:long,end:long>>"))
+    drop(edges)
     drop(paths)
+    # A piece of many parts has a long row, so no more pieces are broadcast than can be hot.
+    placed = split_join(cuts.where("edge is null").select("key", "key2", "run", "run2", "start"), of_run, ["run", "run2"], few=MOST_HOT)
+    out = stage(placed.groupBy("key", "key2").agg(F.collect_list(F.struct("start", "parts")).alias("runs")))
+    drop(cuts)
+    drop(of_run)
     return out
 
 
@@ -249,31 +304,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = repeated_passages(docs, id_col, text_col, window, k)
     named = keyed(docs, id_col, text_col)
-    joined = named.join(found, ["key", "key2"], "left").select("id", "text", "edges")
+    joined = named.join(found, ["key", "key2"], "left").select("id", "text", "runs")
     kind = named.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     of_path = pa.list_(pa.struct([("path", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def touching(edges):
-        """Places of paths: edges in order of path, base and start, joined where one goes on in the next."""
-        out: list[list[int]] = []
-        base = None
-        for e in edges or ():
-            if out and out[-1][0] == e["path"] and base == e["base"] and e["start"] <= out[-1][2]:
-                out[-1][2] = max(out[-1][2], e["end"])
-            else:
-                out.append([e["path"], e["start"], e["end"]])
-                base = e["base"]
-        return out
-
     def cut(batches):
         for batch in pieces(batches, "text"):
             n_words, removed, digests, found, places, kept = [], [], [], [], [], []
-            for text, edges in zip(batch.column("text"), batch.column("edges").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
-                own = touching(edges)
+                own = touching([(p["path"], *(r["start"] + p[c] for c in ("base", "start", "end"))) for r in runs or () for p in r["parts"]])
                 gone: list[list[int]] = []
-                for s, e in sorted((s, e) for _, s, e in own):
+                for s, e in sorted((s, e) for _, _, s, e in own):
                     if gone and gone[-1][1] >= s:
                         gone[-1][1] = max(gone[-1][1], e)
                     else:
@@ -288,7 +331,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 removed.append(len(words) - len(left))
                 digests.append(hashlib.sha256(joined).hexdigest())
                 found.append([{"start": s, "end": e} for s, e in gone])
-                places.append([{"path": p, "start": s, "end": e} for p, s, e in own])
+                places.append([{"path": p, "start": s, "end": e} for p, _, s, e in own])
                 kept.append(joined.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(found, span), pa.array(places, of_path), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "paths", "kept_text"]

@@ -440,6 +440,32 @@ def test_substrings_of_a_hot_passage(spark):
         assert covered == {k for s in r["spans"] for k in range(s["start"], s["end"])} and len(covered) == r["n_removed"]
 
 
+def test_copies_share_the_edges_of_their_words(spark, monkeypatch):
+    """Joins get a row for each place of a repeated passage and each edge of a distinct one, not for each edge of each copy."""
+    rng = random.Random(47)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, end = own(640), own(40)
+    rows = [(i, " ".join(passage)) for i in range(200)] + [(200 + i, " ".join(own(5) + passage[200:] + own(3) + end)) for i in range(50)]
+    base = own(640)
+    for i in range(100):  # near copies, three words changed in each
+        w = list(base)
+        for j in (0, 60 + i % 20, 300 + i % 10):
+            w[j] = f"x{i}y{j}"
+        rows.append((250 + i, " ".join(w)))
+    given = []
+
+    def counted(big, *args, **kw):
+        given.append(big.count())
+        return skew.split_join(big, *args, **kw)
+
+    monkeypatch.setattr(substring, "split_join", counted)
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    want = {i: [(0, 640)] if i < 200 else [(5, 445), (448, 488)] for i in range(250)}
+    want |= {250 + i: [(1, 60 + i % 20), (61 + i % 20, 300 + i % 10), (301 + i % 10, 640)] for i in range(100)}
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == want
+    assert sum(given) < 5000  # some 40 edges in each of 350 texts
+
+
 def test_split_join(spark):
     """Small sides, hot keys and cold ones, and null keys, inner and left."""
     big = spark.createDataFrame([(None if i % 50 == 0 else 1 if i % 3 == 0 else i, i) for i in range(2000)], "k long, v long")

@@ -4,9 +4,9 @@
    names candidates first: a window whose minimizer has no second place can't recur. The candidates are counted by 96-bit
    hashes. Repeated windows at consecutive places of a document are a run.
 2. The runs' words make a sparse De Bruijn graph: nodes are the k-mers whose hash falls in one of ``every`` classes, and
-   the ends of runs; an edge is the words from one such k-mer of a run to the next. A run is split at rarer nodes first, so
-   that near copies share most of its pieces; each distinct piece is cut into edges once, however many documents have it.
-   Degrees are counted over the distinct edges.
+   the ends of runs; an edge is the words from one such k-mer of a run to the next. Where a few words repeat in a row, only
+   the first time round has nodes. A run is split at rarer nodes first, so that near copies share most of its pieces; each
+   distinct piece is cut into edges once, however many documents have it. Degrees are counted over the distinct edges.
    Where a node has one edge in and one out, the two belong to one path: pointer doubling by joins gives each edge its
    path and its offset there.
 3. A path's edges that stand at matching offsets and touch are one span, first of a distinct piece, then in the
@@ -27,6 +27,10 @@ from lattica.llm.skew import MOST_HOT, split_join
 from lattica.llm.staging import drop, stage
 from lattica.llm.textops import WINDOW, WINDOW2, pieces, raw, spans, windows, word_hashes
 
+#: A k-mer that comes again within so many words of a run doesn't split it again: words that repeat in a row would give a node
+#: each time round.
+NEAR = 256
+
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     """f (minimum or maximum) of each ``width`` neighbours."""
@@ -149,12 +153,19 @@ def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame
     return found.groupBy("key", "key2").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"))
 
 
-def _between(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which, from, to): each range first to last, split at the places in at that are inside."""
-    low, high = np.searchsorted(at, first, side="right"), np.searchsorted(at, last)
-    inner = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)])[:-1], high - low) + np.arange((high - low).sum())
-    which = np.concatenate([np.arange(len(first)), np.repeat(np.arange(len(first)), high - low), np.arange(len(first))])
-    place = np.concatenate([first, at[inner], last])
+def _between(first: np.ndarray, last: np.ndarray, at: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, from, to): each range first to last, split at the places in at that are inside, unless the k-mer there (grams
+    has its hash) stood at a place in at of the same range less than NEAR words before."""
+    low, high = np.searchsorted(at, first), np.searchsorted(at, last)
+    which = np.repeat(np.arange(len(first)), high - low)
+    inner = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)])[:-1], high - low) + np.arange(len(which))
+    place, gram = at[inner], grams[inner]
+    order = np.lexsort((place, gram, which))
+    again = np.flatnonzero((np.diff(which[order]) == 0) & (np.diff(gram[order]) == 0) & (np.diff(place[order]) < NEAR))
+    keep = place > first[which]
+    keep[order[again + 1]] = False
+    which = np.concatenate([np.arange(len(first)), which[keep], np.arange(len(first))])
+    place = np.concatenate([first, place[keep], last])
     order = np.lexsort((place, which))
     which, place = which[order], place[order]
     begin = np.flatnonzero(which[1:] == which[:-1])
@@ -167,7 +178,8 @@ def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int)
     A piece ends where its run does or at a node in one of 16 * every classes; run and run2 are 96 bits of its words. A place
     of a piece has key, key2 and its first word, start, and no edge. An edge has start, from the piece's first word on, and n
     in words, its nodes a and b and the hash of its words, and no key; a piece's edges come once, or once for each task that
-    meets it and for each time that Seen forgets it.
+    meets it and for each time that Seen forgets it. Nodes that stood less than NEAR words before in the same run (for
+    pieces) or piece (for edges) are passed over.
     """
     spark = docs.sparkSession
     marks = spark.sparkContext.broadcast(bitmap(runs, F.col("key"), runs.count(), 1 << 26))
@@ -199,7 +211,7 @@ def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int)
             reach = np.maximum.accumulate(end)  # places grow from document to document
             new = np.flatnonzero(np.concatenate([[True], (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])]))
             first, last = start[new], np.concatenate([reach[new[1:] - 1], reach[-1:]]) - 1 + window - k
-            of, first, last = _between(first, last, rare)
+            of, first, last = _between(first, last, rare, nodes[rare])
             doc = doc[new][of]
             one, two = WINDOW(words, first, last + k), (WINDOW2(words, first, last + k) >> np.uint64(32)).astype(np.uint32)
             run, run2 = pa.array(one.view(np.int64)), pa.array(two.view(np.int32))
@@ -214,7 +226,7 @@ def run_edges(docs: DataFrame, runs: DataFrame, window: int, k: int, every: int)
             if not len(heads):
                 continue
             # Nodes of each piece: its first and last k-mer and the stations between.
-            of, p, q = _between(first[heads], last[heads], stations)
+            of, p, q = _between(first[heads], last[heads], stations, nodes[stations])
             r = pa.array(heads[of])
             none = pa.nulls(len(p), pa.int64())
             yield pa.RecordBatch.from_arrays(

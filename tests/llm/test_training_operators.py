@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lattica.llm import decontam, graph, htmltext, langid, linededup, mixing, ngramjoin, ppm, quality, queries, secretscan, skew, substring
 from pyspark.sql import functions as F
@@ -466,6 +467,31 @@ def test_copies_share_the_edges_of_their_words(spark, monkeypatch):
     assert sum(given) < 5000  # some 40 edges in each of 350 texts
 
 
+@pytest.mark.parametrize("period", [2, 11])
+def test_words_that_repeat_in_a_row_are_one_piece(spark, monkeypatch, period):
+    """Some words, many times in a row, with a k-mer that splits runs into pieces: rows don't grow with the times."""
+    rng = random.Random(53)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def splits(part):
+        words, _ = substring._words(pa.array([" ".join(part * 8)]))
+        first = np.arange(period)
+        return (substring.WINDOW(words, first, first + 8) % np.uint64(256) == 0).any()
+
+    part = next(p for p in iter(lambda: own(period), None) if splits(p))
+    rows = [(i, own(i % 7) + (part * 400)[: 440 + i] + own(i % 5)) for i in range(60)]
+    given = []
+
+    def counted(big, *args, **kw):
+        given.append(big.count())
+        return skew.split_join(big, *args, **kw)
+
+    monkeypatch.setattr(substring, "split_join", counted)
+    got = substring.dedup_substrings(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(7)).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == {i: [(i % 7, i % 7 + 440 + i)] for i, _ in rows}
+    assert sum(given) < 1000  # with a piece each time round, some 14,000 or 2,500
+
+
 def test_split_join(spark):
     """Small sides, hot keys and cold ones, and null keys, inner and left."""
     big = spark.createDataFrame([(None if i % 50 == 0 else 1 if i % 3 == 0 else i, i) for i in range(2000)], "k long, v long")
